@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash
-from .common import read_table
+from . import bpe, langid, packing, simhash
+from .common import crc_mod, read_table
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,6 +23,12 @@ def op2_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_word_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs, crc_mod("doc_id", 5) != 0))
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -31,6 +37,7 @@ def op8_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_tiered_packing": op1_tiered_packing,
     "op2_pair_index_bpe": op2_pair_index_bpe,
+    "op6_word_backoff_langid": op6_word_backoff_langid,
     "op8_simhash_trie_join": op8_simhash_trie_join,
 }
 ORACLES: dict[str, str] = {}
