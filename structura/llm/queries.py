@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, simhash
+from . import bpe, importance, langid, packing, simhash
 from .common import crc_mod, read_table
 
 
@@ -34,10 +34,17 @@ def op8_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_hashed_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return importance.judge(docs, importance.fit(docs, good))
+
+
 QUERIES = {
     "op1_tiered_packing": op1_tiered_packing,
     "op2_pair_index_bpe": op2_pair_index_bpe,
     "op6_word_backoff_langid": op6_word_backoff_langid,
     "op8_simhash_trie_join": op8_simhash_trie_join,
+    "op9_hashed_ngram_ratio": op9_hashed_ngram_ratio,
 }
 ORACLES: dict[str, str] = {}
