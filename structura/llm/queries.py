@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, importance, langid, packing, simhash
+from . import bpe, importance, langid, packing, simhash, toxicity
 from .common import crc_mod, read_table
 
 
@@ -23,6 +23,13 @@ def op2_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_word_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.fit(docs, crc_mod("doc_id", 5) != 0))
@@ -43,6 +50,7 @@ def op9_hashed_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_tiered_packing": op1_tiered_packing,
     "op2_pair_index_bpe": op2_pair_index_bpe,
+    "op3_compression_toxicity": op3_compression_toxicity,
     "op6_word_backoff_langid": op6_word_backoff_langid,
     "op8_simhash_trie_join": op8_simhash_trie_join,
     "op9_hashed_ngram_ratio": op9_hashed_ngram_ratio,
