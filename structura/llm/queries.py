@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, importance, langid, packing, simhash, toxicity
+from . import bpe, classifier, importance, langid, packing, simhash, toxicity
 from .common import crc_mod, read_table
 
 
@@ -47,6 +47,13 @@ def op9_hashed_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.judge(docs, importance.fit(docs, good))
 
 
+def op10_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = classifier.fit(docs, read_table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    found = classifier.score(docs, model)
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_tiered_packing": op1_tiered_packing,
     "op2_pair_index_bpe": op2_pair_index_bpe,
@@ -54,5 +61,6 @@ QUERIES = {
     "op6_word_backoff_langid": op6_word_backoff_langid,
     "op8_simhash_trie_join": op8_simhash_trie_join,
     "op9_hashed_ngram_ratio": op9_hashed_ngram_ratio,
+    "op10_random_indexing_quality": op10_random_indexing_quality,
 }
 ORACLES: dict[str, str] = {}

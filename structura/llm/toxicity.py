@@ -141,7 +141,7 @@ def fit(
     pairs = docs.mapInArrow(_pair_batches, "toxic int, word string, before long").distinct()
     words = pairs.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o")).cache()
     try:
-        total = words.agg(F.sum("t"), F.sum("o")).first()
+        total = [x or 0 for x in words.agg(F.sum("t"), F.sum("o")).first()]
         marked = F.concat(F.lit(" "), "word")
         grams = words.where("t > 0 or o > 0").select("word", "t", "o", F.explode(F.sequence(F.lit(4), F.greatest(F.lit(4), F.least(F.lit(10), F.length(marked))))).alias("n")).withColumn("gram", F.substring(marked, F.lit(1), F.col("n")))
         contrast = F.log((F.col("t") + 0.5) / F.lit(total[0] + 1.0)) - F.log((F.col("o") + 0.5) / F.lit(total[1] + 1.0))
