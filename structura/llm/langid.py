@@ -18,6 +18,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,73 +26,91 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows
+from .common import Workspace, text_rows
 
 MAX_GRAM = 5
 _LETTERS = regex.compile(r"\p{L}+")
-_MEMORY = 300_000
+_MEMORY = 900_000
+_PORTION = 2_000_000
 
 
 @dataclass
 class WordModel:
-    """Log frequencies of words and n-grams: each a row of one value per language."""
+    """Log frequencies, one row of `table` per known word or n-gram and one column per language."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
-    rows: dict[str, int] = field(default_factory=dict)
-    table: np.ndarray | None = None
-
-    def word_scores(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
+    words: dict[str, int]
+    grams: dict[str, int]
+    table: np.ndarray
+    held: dict[str, int] = field(default_factory=dict)
+    sums: np.ndarray | None = None
+
+    def _known(self, word: str) -> list[int]:
+        """Rows whose mean is the word's score: its own, or those of its longest known n-grams."""
+        if (k := self.words.get(word)) is not None:
+            return [k]
         padded = f"^{word}$"
+        get = self.grams.get
         for n in range(min(MAX_GRAM, len(padded)), 0, -1):
-            held = self.grams.get(n, {})
-            found = [x for i in range(len(padded) - n + 1) if (x := held.get(padded[i : i + n])) is not None]
-            if found:
-                return sum(found) / len(found)
-        return np.zeros(len(self.languages))
-
-    def _row(self, chunk: str) -> int:
-        """The table row of a white-space chunk: scores of its words, and their number in the last place."""
-        if self.table is None or len(self.rows) > _MEMORY:
-            self.rows.clear()
-            self.table = np.zeros((1024, len(self.languages) + 1))
-        k = len(self.rows)
-        if k == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        words = _LETTERS.findall(chunk)
-        self.table[k, :-1] = sum((self.word_scores(w) for w in words), np.zeros(len(self.languages)))
-        self.table[k, -1] = len(words)
-        self.rows[chunk] = k
-        return k
-
-    def totals(self, text: str, portion: int = 200_000) -> np.ndarray:
-        total = np.zeros(len(self.languages) + 1)
-        chunks = text.lower().split()
-        for at in range(0, len(chunks), portion):
-            part = chunks[at : at + portion]
-            if self.table is None or len(self.rows) + len(part) > _MEMORY:
-                self.rows.clear()
-                self.table = np.zeros((1024, len(self.languages) + 1))
-            get = self.rows.get
-            for c in part:
-                if c not in self.rows:
-                    self._row(c)
-            total += self.table[np.fromiter(map(get, part), dtype=np.int64, count=len(part))].sum(axis=0)
-        return total
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages:
-            return "und", 0.0
-        total = self.totals(text)
-        if not total[-1]:
-            return "und", 0.0
-        scores = total[:-1] - total[:-1].max()
-        best = int(np.argmax(scores))
-        return self.languages[best], float(1 / np.exp(scores).sum())
+            if found := [k for i in range(len(padded) - n + 1) if (k := get(padded[i : i + n])) is not None]:
+                return found
+        return []
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """One row per word; a word of which nothing is known scores 0 in every language."""
+        rows = list(map(self._known, words))
+        sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+        out = np.zeros((len(rows), len(self.languages)))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            flat = np.fromiter(chain.from_iterable(rows), dtype=np.int64, count=int(sizes.sum()))
+            starts = (np.cumsum(sizes) - sizes)[some]
+            out[some] = np.add.reduceat(self.table[flat], starts, axis=0) / sizes[some, None]
+        return out
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Sums over the words of white-space chunks that are not held yet; the last column counts the words."""
+        missing = [c for c in chunks if c not in self.held]
+        if self.sums is None or len(self.held) + len(missing) > _MEMORY:
+            self.held.clear()
+            missing = list(chunks)
+            self.sums = np.zeros((0, len(self.languages) + 1))
+        words = [_LETTERS.findall(c) for c in missing]
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        rows = np.zeros((len(missing), len(self.languages) + 1))
+        rows[:, -1] = sizes
+        some = np.flatnonzero(sizes)
+        if len(some):
+            scores = self.word_scores(list(chain.from_iterable(words)))
+            rows[some, :-1] = np.add.reduceat(scores, (np.cumsum(sizes) - sizes)[some], axis=0)
+        self.held.update(zip(missing, range(len(self.sums), len(self.sums) + len(missing))))
+        self.sums = np.concatenate([self.sums, rows])
+
+    def totals(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Per text the sums over its words and the number of words. Texts are split whole, in bounded portions."""
+        part: list[list[str]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            part.append(text.lower().split())
+            size += len(part[-1])
+            if size >= _PORTION or k == len(texts) - 1:
+                self._learn(set().union(*part))
+                get = self.held.__getitem__
+                for chunks in part:
+                    yield self.sums[np.fromiter(map(get, chunks), dtype=np.int64, count=len(chunks))].sum(axis=0)
+                part, size = [], 0
+
+    def predict(self, texts: list[str]) -> Iterator[tuple[str, float]]:
+        if not self.languages:
+            yield from (("und", 0.0) for _ in texts)
+            return
+        for total in self.totals(texts):
+            if not total[-1]:
+                yield "und", 0.0
+                continue
+            scores = total[:-1] - total[:-1].max()
+            best = int(np.argmax(scores))
+            yield self.languages[best], float(1 / np.exp(scores).sum())
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,12 +147,13 @@ def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "t
     rows = text_rows_with(df.where(train & F.col(lang_col).isNotNull()), id_col, text_col, lang_col)
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
     if not sizes:
-        return WordModel([], {}, {})
+        return WordModel([], {}, {}, np.zeros((0, 0)))
     languages = sorted(sizes)
     spread = 1 << 20
     share = F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit(min(spread, math.ceil(spread * docs_per_language / sizes[lang]))))))
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < F.try_element_at(share, F.col("lang")))
     counts = sample.mapInArrow(_count_batches, "lang string, n int, key string, count long").groupBy("n", "key", "lang").agg(F.sum("count").alias("count"))
+    counts = Workspace(df.sparkSession, "langid").write(counts, "counts")
     keyed = counts.groupBy("n", "key").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
     kept = [keyed.where(F.col("n") == n).orderBy(F.desc("total"), "key").limit(max_grams if n else max_words) for n in range(MAX_GRAM + 1)]
     top = kept[0]
@@ -141,15 +161,18 @@ def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "t
         top = top.union(x)
     sums = {(r.n, r.lang): r.total for r in counts.groupBy("n", "lang").agg(F.sum("count").alias("total")).collect()}
     at = {lang: i for i, lang in enumerate(languages)}
-    found: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(MAX_GRAM + 1)}
-    floors = {n: np.log(0.5 / np.array([sums.get((n, lang), 0) + 1.0 for lang in languages])) for n in found}
+    floors = {n: np.log(0.5 / np.array([sums.get((n, lang), 0) + 1.0 for lang in languages])) for n in range(MAX_GRAM + 1)}
+    words: dict[str, int] = {}
+    grams: dict[str, int] = {}
+    table: list[np.ndarray] = []
     for part in top.select("n", "key", F.map_keys("by").alias("langs"), F.map_values("by").alias("counts")).toArrow().to_batches():
         for n, key, langs, values in zip(*(c.to_pylist() for c in part.columns)):
             scores = floors[n].copy()
             for lang, c in zip(langs, values):
                 scores[at[lang]] = math.log(c / (sums[n, lang] + 1.0))
-            found[n][key] = scores
-    return WordModel(languages, found.pop(0), found)
+            (grams if n else words)[key] = len(table)
+            table.append(scores)
+    return WordModel(languages, words, grams, np.array(table))
 
 
 def text_rows_with(df: DataFrame, id_col: str, text_col: str, other: str) -> DataFrame:
@@ -163,7 +186,7 @@ def predict(df: DataFrame, model: WordModel, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
-            found = [held.predict(x.as_py()) for x in batch.column(1)]
+            found = list(held.predict(batch.column(1).to_pylist()))
             lang, score = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 

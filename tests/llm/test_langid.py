@@ -21,14 +21,14 @@ def test_backoff_and_edge_cases(spark):
     model = langid.fit(df, F.lit(True))
     assert model.languages == ["de", "en"]
     # brute force: a known word by its frequency, an unseen one by its longest known n-grams
-    assert np.allclose(model.word_scores("the")[1], np.log(40 / 81)) and np.allclose(model.word_scores("the")[0], np.log(0.5 / 81))
+    assert np.allclose(model.word_scores(["the"])[0, 1], np.log(40 / 81)) and np.allclose(model.word_scores(["the"])[0, 0], np.log(0.5 / 81))
     grams = {n: {} for n in range(1, 6)}
     for w in "the house the river".split() * 20:
         p = f"^{w}$"
         for n in grams:
             for i in range(len(p) - n + 1):
                 grams[n][p[i : i + n]] = grams[n].get(p[i : i + n], 0) + 1
-    assert np.isclose(model.word_scores("rivet")[1], np.mean([np.log(grams[5][g] / (sum(grams[5].values()) + 1)) for g in ("^rive",)]))
+    assert np.isclose(model.word_scores(["rivet"])[0, 1], np.mean([np.log(grams[5][g] / (sum(grams[5].values()) + 1)) for g in ("^rive",)]))
     tests = [None, "", "123 !!", "THE", "der", "rivers", "zzz", "the " * 50_000]
     got = langid.predict(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model).orderBy("doc_id").collect()
     assert [r.lang_pred for r in got] == ["und", "und", "und", "en", "de", "en", "de", "en"]
