@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, importance, langid, packing, simhash, toxicity
-from .common import crc_mod, read_table
+from . import bpe, classifier, hmm, importance, langid, packing, simhash, toxicity
+from .common import Workspace, crc_mod, input_bytes, read_table
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,6 +36,15 @@ def op6_word_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op7_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model, counts = hmm.fit(docs, crc_mod("doc_id", 7) != 2, Workspace(spark, "hmm"))
+    # compressed text grows by about two; a bucket holds some 20 MB of it
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // 10_000_000)
+    found = hmm.score(docs, model, counts, buckets)
+    return found.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -59,6 +68,7 @@ QUERIES = {
     "op2_pair_index_bpe": op2_pair_index_bpe,
     "op3_compression_toxicity": op3_compression_toxicity,
     "op6_word_backoff_langid": op6_word_backoff_langid,
+    "op7_hidden_markov_lm": op7_hidden_markov_lm,
     "op8_simhash_trie_join": op8_simhash_trie_join,
     "op9_hashed_ngram_ratio": op9_hashed_ngram_ratio,
     "op10_random_indexing_quality": op10_random_indexing_quality,
