@@ -19,7 +19,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,10 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Letters whose lower case and composition are the same in every library: up to Latin Extended-A, less U+0130 (its
 #: lower case is two characters), U+0085 and U+00A0 (white space), and the controls that differ as white space.
 _PLAIN = re.compile("[\t\n\r -~¡-įı-ſ]*\\Z")
-_MEMORY = 400_000
+_MEMORY = 900_000
 
 
-@dataclass(frozen=True)
-class Encoded:
+class Encoded(NamedTuple):
     n: int
     ids: bytes
     text: str
