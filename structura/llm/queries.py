@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, hmm, importance, langid, packing, simhash, toxicity
+from . import bpe, classifier, hmm, importance, langid, packing, simhash, toxicity, url_rules
 from .common import Workspace, crc_mod, input_bytes, read_table
 
 
@@ -30,6 +30,62 @@ def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+URL_LISTS = [
+    url_rules.ListRule("com", "", "allow"),
+    url_rules.ListRule("example.com", "en/", "block"),
+    url_rules.ListRule("www.example.com", "en/", "allow"),
+    url_rules.ListRule("net", "es/", "block"),
+    url_rules.ListRule("net", "fr/", "block"),
+]
+
+
+def op5_association_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document whose number its path names; bad is toxic or of low quality."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = read_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
+    number = F.try_to_number(F.regexp_extract("url", r"://[^/?#]*/[a-z]+/([0-9]{1,18})", 1), F.lit("999999999999999999")).cast("long")
+    labelled = pages.select(url_rules.tokens_of(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("tokens"), number.alias("doc_id")).join(bad, "doc_id").select("tokens", "bad")
+    return url_rules.judge(pages, URL_LISTS, url_rules.mine(labelled))
+
+
+OP5_SQL = """
+WITH split AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+marked AS (
+  SELECT *, list_distinct(list_concat(
+      list_transform(list_filter(string_split_regex(regexp_replace(host, '[0-9]+', '0', 'g'), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: 'h:' || x),
+      list_transform(list_filter(string_split_regex(regexp_replace(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: 'p:' || x)
+    )) AS tokens,
+    CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+         WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+         WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM split),
+bad AS (SELECT doc_id, max(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) AS bad FROM labels GROUP BY 1),
+labelled AS (
+  SELECT row_number() OVER () AS k, tokens, bad FROM marked
+  JOIN bad ON bad.doc_id = TRY_CAST(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]{1,18})', 1) AS BIGINT)),
+item AS (SELECT k, bad, unnest(tokens) AS t FROM labelled),
+combo AS (
+  SELECT k, bad, [t] AS ante FROM item
+  UNION ALL SELECT a.k, a.bad, [a.t, b.t] FROM item a JOIN item b ON a.k = b.k AND a.t < b.t
+  UNION ALL SELECT a.k, a.bad, [a.t, b.t, c.t] FROM item a JOIN item b ON a.k = b.k AND a.t < b.t JOIN item c ON b.k = c.k AND b.t < c.t),
+size AS (SELECT count(*) AS n, count(*) FILTER (bad) AS n_bad FROM labelled),
+mined AS (
+  SELECT ante, CAST(count(*) FILTER (bad) AS DOUBLE) / count(*) AS confidence FROM combo, size GROUP BY ante, n, n_bad
+  HAVING count(*) FILTER (bad) >= greatest(ceil(0.002 * n), 8) AND CAST(count(*) FILTER (bad) AS DOUBLE) / count(*) >= 0.6
+     AND CAST(count(*) FILTER (bad) AS DOUBLE) / count(*) / (CAST(n_bad AS DOUBLE) / n) >= 2.0),
+hit AS (SELECT page_id, host, path, max(confidence) AS confidence FROM marked JOIN mined ON list_has_all(tokens, ante) WHERE rule IS NULL GROUP BY ALL)
+SELECT m.page_id, m.host, m.path, m.rule,
+       CASE WHEN m.rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN m.rule IS NOT NULL THEN 'allow' WHEN h.confidence IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+       h.confidence
+FROM marked m LEFT JOIN (SELECT DISTINCT page_id, host, path, confidence FROM hit) h ON m.page_id = h.page_id AND m.host = h.host AND m.path = h.path AND m.rule IS NULL
+"""
+
+
 def op6_word_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.fit(docs, crc_mod("doc_id", 5) != 0))
@@ -67,10 +123,11 @@ QUERIES = {
     "op1_tiered_packing": op1_tiered_packing,
     "op2_pair_index_bpe": op2_pair_index_bpe,
     "op3_compression_toxicity": op3_compression_toxicity,
+    "op5_association_url_filter": op5_association_url_filter,
     "op6_word_backoff_langid": op6_word_backoff_langid,
     "op7_hidden_markov_lm": op7_hidden_markov_lm,
     "op8_simhash_trie_join": op8_simhash_trie_join,
     "op9_hashed_ngram_ratio": op9_hashed_ngram_ratio,
     "op10_random_indexing_quality": op10_random_indexing_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_association_url_filter": OP5_SQL}
