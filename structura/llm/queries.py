@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, hmm, importance, langid, packing, simhash, toxicity, url_rules
+from . import bpe, classifier, hmm, importance, langid, nndescent, packing, simhash, toxicity, url_rules
 from .common import Workspace, crc_mod, input_bytes, read_table
 
 
@@ -30,6 +30,10 @@ def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 URL_LISTS = [
     url_rules.ListRule("com", "", "allow"),
     url_rules.ListRule("example.com", "en/", "block"),
@@ -123,6 +127,7 @@ QUERIES = {
     "op1_tiered_packing": op1_tiered_packing,
     "op2_pair_index_bpe": op2_pair_index_bpe,
     "op3_compression_toxicity": op3_compression_toxicity,
+    "op4_nn_descent": op4_nn_descent,
     "op5_association_url_filter": op5_association_url_filter,
     "op6_word_backoff_langid": op6_word_backoff_langid,
     "op7_hidden_markov_lm": op7_hidden_markov_lm,
