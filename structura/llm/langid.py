@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_rows
+from .common import Workspace, filter_texts, text_rows
 
 MAX_GRAM = 5
 _LETTERS = regex.compile(r"\p{L}+")
@@ -191,3 +191,13 @@ def predict(df: DataFrame, model: WordModel, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return text_rows(df, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def with_language(df: DataFrame, model: WordModel, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+    """The rows, with all columns, whose text has a language that the model is sure of."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
+
+    def keep():
+        return lambda texts: [lang != "und" and score >= min_score for lang, score in shared.value.predict(texts)]
+
+    return filter_texts(df, text_col, keep)

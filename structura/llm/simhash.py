@@ -225,3 +225,16 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
     named = named.select("fp", F.when(F.col("component") != no_id, F.col("component")).alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3, hot_bucket: int = 1000) -> DataFrame:
+    """The rows, with all columns, that keep one document of each component: that with the smallest id.
+
+    Repeated rows of one id count as one document and leave one row. Rows without an id cannot be told apart: all stay.
+    """
+    found = Workspace(df.sparkSession, "simhash").write(simhash_components(df, id_col, text_col, shingle, budget, hot_bucket), "found")
+    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).count()
+    rows = df.join(kept.select("kept_id"), F.col(id_col).cast("long") == F.col("kept_id"), "left_semi")
+    if kept.where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates([id_col])
+    return rows.union(df.where(F.col(id_col).isNull())) if found.where("doc_id is null").limit(1).count() else rows

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows
+from .common import filter_texts, text_rows
 
 CARRIER = bytes(range(1, 33))
 THRESHOLDS = (3, 4, 5, 6)
@@ -171,16 +171,35 @@ def _feature_batches(toxic: bytes, ordinary: bytes):
     return run
 
 
+class Scorer:
+    """Scores of texts by a model."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.margins = Margins(model.toxic, model.ordinary) if model.toxic else None
+
+    def __call__(self, text: str) -> float:
+        z = self.model.bias + (float(self.margins.features(text) @ self.model.weights) if self.margins else 0.0)
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+
+
+def without_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows, with all columns, whose score is below the threshold."""
+
+    def keep():
+        score_of = Scorer(model)
+        return lambda texts: [score_of(t) < threshold for t in texts]
+
+    return filter_texts(df, text_col, keep)
+
+
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (probability of the toxic label) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        margins = Margins(model.toxic, model.ordinary) if model.toxic else None
+        score_of = Scorer(model)
         for batch in batches:
-            found = []
-            for text in batch.column(1):
-                z = model.bias + (float(margins.features(text.as_py()) @ model.weights) if margins else 0.0)
-                found.append(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))))
+            found = [score_of(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     return text_rows(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
