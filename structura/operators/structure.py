@@ -33,7 +33,7 @@ def per_series(bars: DataFrame, fold: Callable[..., Iterator[dict]], fields: dic
     keys = keys or KEYS
     columns = columns or _BAR_FIELDS
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         ordered = table.sort_by("seq")
         rows = list(fold(*(ordered.column(c).to_pylist() for c in columns)))
         arrays = [pa.array([key[i].as_py()] * len(rows), pa.string()) for i in range(len(keys))]

@@ -2,11 +2,446 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracles
+from .functions import classifiers, intervals
+from .operators import structure as st
+from .operators import windows as wn
+from .schema import KEYS
+from .sources import bars as src
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def r6(*columns: str) -> list:
+    """Doubles for comparison, to six places."""
+    return [F.round(c, 6).alias(c) for c in columns]
+
+
+def bars_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.event_bars(spark, sf_dir)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Ticks to bars to merged bars, fractals, strokes and centers: one row per record type and series."""
+    return st.structure(bars_of(spark, sf_dir)).groupBy(*KEYS, "record").count()
+
+
+# Sources and checks -----------------------------------------------------------------------------------------------
+
+
+@query("bars_ohlc", oracles.select("SELECT symbol, '1 hour' AS freq, seq, dt, open, high, low, close, volume FROM b"))
+def bars_ohlc(spark, sf_dir):
+    return bars_of(spark, sf_dir).select(*KEYS, F.col("seq").cast("long").alias("seq"), "dt", "open", "high", "low", "close", "volume")
+
+
+def spoiled(spark, sf_dir) -> DataFrame:
+    """Bars with planted faults, by position."""
+    k = F.col("seq") % 50
+    b = bars_of(spark, sf_dir)
+    return b.select(
+        *KEYS, "seq", F.when(k == 7, F.lag("dt", 2).over(wn.by_seq())).otherwise(F.col("dt")).alias("dt"), "open", F.when(k == 11, F.col("open") - 1000).otherwise(F.col("high")).alias("high"),
+        F.when(k == 13, -F.col("low")).otherwise(F.col("low")).alias("low"), F.when(k == 17, F.lit(None)).otherwise(F.col("close")).alias("close"), F.when(k == 19, -1.0).when(k == 23, 0.0).otherwise(F.col("volume")).alias("volume"),
+    )
+
+
+@query("bars_violations", oracles.VIOLATIONS)
+def bars_violations(spark, sf_dir):
+    return src.violations(spoiled(spark, sf_dir)).select(*KEYS, F.col("seq").cast("long").alias("seq"), "rule")
+
+
+@query("paused_filter", oracles.select("SELECT symbol, count(*) AS n, sum(CASE WHEN volume = 1 THEN 1 ELSE 0 END)::BIGINT AS singles FROM (SELECT symbol, CASE WHEN volume = 1 THEN 0 ELSE volume END AS v, volume, high, low FROM b) WHERE NOT (v = 0 AND high = low) GROUP BY 1"))
+def paused_filter(spark, sf_dir):
+    b = bars_of(spark, sf_dir).withColumn("v", F.when(F.col("volume") == 1, 0.0).otherwise(F.col("volume"))).withColumn("singles", F.col("volume"))
+    kept = src.normalize_bars(b.drop("volume"), {"volume": "v"})
+    return kept.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("volume") == 0).alias("singles"))
+
+
+@query("adjusted_bars", oracles.select("SELECT symbol, seq, round(open * f, 6) AS open, round(high * f, 6) AS high, round(low * f, 6) AS low, round(close * f, 6) AS close FROM (SELECT *, 1 + (seq // 100) * 0.5 AS f FROM b)"))
+def adjusted_bars(spark, sf_dir):
+    b = bars_of(spark, sf_dir).withColumn("adj_factor", 1 + F.floor(F.col("seq") / 100) * 0.5)
+    return src.adjust(b).select("symbol", F.col("seq").cast("long").alias("seq"), *r6("open", "high", "low", "close"))
+
+
+@query("valid_bars", oracles.VALID_BARS)
+def valid_bars(spark, sf_dir):
+    return src.drop_invalid(spoiled(spark, sf_dir)).groupBy(*KEYS).agg(F.count("*").alias("n"))
+
+
+@query("as_of_bars", oracles.select("SELECT symbol, count(*) AS n, max(dt) AS last_dt FROM b WHERE dt <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1"))
+def as_of_bars(spark, sf_dir):
+    return src.visible_bars(bars_of(spark, sf_dir), "2024-01-15 12:00:00").groupBy("symbol").agg(F.count("*").alias("n"), F.max("dt").alias("last_dt"))
+
+
+@query("available_bars", oracles.select(
+    "SELECT symbol, count(*) AS n, max(dt) AS last_dt FROM b WHERE dt + INTERVAL 65 MINUTE + CASE WHEN seq % 10 = 3 THEN INTERVAL 60 MINUTE ELSE INTERVAL 0 MINUTE END <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1"))
+def available_bars(spark, sf_dir):
+    b = src.with_arrival(bars_of(spark, sf_dir), "1 hour", late=F.col("seq") % 10 == 3)
+    return src.available_bars(b, "2024-01-15 12:00:00").groupBy("symbol").agg(F.count("*").alias("n"), F.max("dt").alias("last_dt"))
+
+
+# Base chain -----------------------------------------------------------------------------------------------------------
+
+
+def records(spark, sf_dir, record: str, *columns) -> DataFrame:
+    return st.project(st.structure(bars_of(spark, sf_dir)), record, *columns)
+
+
+def merged_of(spark, sf_dir) -> DataFrame:
+    return records(spark, sf_dir, "merged", "idx", "low", "high", "start_index", "end_index", "start_dt", "end_dt", "start_value", "end_value", "n")
+
+
+@query("merged_bars", oracles.select("SELECT symbol, idx, low, high, first AS start_index, last AS end_index FROM m", "m"))
+def merged_bars(spark, sf_dir):
+    return merged_of(spark, sf_dir).select("symbol", *longs("idx"), "low", "high", *longs("start_index", "end_index"))
+
+
+def longs(*names: str) -> list:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+@query("fractals", oracles.select("SELECT symbol, idx AS bar_index, kind, low3 AS low, high3 AS high, first_bar, last_bar FROM f", "f"))
+def fractals(spark, sf_dir):
+    return wn.fractals(merged_of(spark, sf_dir)).select("symbol", *longs("bar_index"), "kind", "low", "high", *longs("first_bar", "last_bar"))
+
+
+STROKE = ("idx", "direction", "start_index", "end_index", "start_value", "end_value", "low", "high", "start_dt", "end_dt")
+CENTER = ("idx", "direction", "zd", "zg", "gg", "dd", "n", "first", "last", "start_dt", "end_dt", "complete")
+
+
+def strokes_of(spark, sf_dir) -> DataFrame:
+    return records(spark, sf_dir, "stroke", *STROKE)
+
+
+def centers_of(spark, sf_dir) -> DataFrame:
+    return records(spark, sf_dir, "stroke_center", *CENTER)
+
+
+@query("strokes_81", oracles.select("SELECT symbol, idx, direction, start_index, end_index, start_value, end_value FROM s", "s"))
+def strokes_81(spark, sf_dir):
+    return strokes_of(spark, sf_dir).select("symbol", *longs("idx"), "direction", *longs("start_index", "end_index"), "start_value", "end_value")
+
+
+@query("strokes_106")
+def strokes_106(spark, sf_dir):
+    return st.project(st.structure(bars_of(spark, sf_dir), standard="106"), "stroke", *STROKE)
+
+
+@query("centers_stroke", oracles.select("SELECT symbol, idx, zd, zg, gg, dd, n, first, last FROM c", "c"))
+def centers_stroke(spark, sf_dir):
+    return centers_of(spark, sf_dir).select("symbol", *longs("idx"), "zd", "zg", "gg", "dd", *longs("n", "first", "last"))
+
+
+@query("center_relations", oracles.CENTER_RELATIONS)
+def center_relations(spark, sf_dir):
+    return wn.center_relations(centers_of(spark, sf_dir)).select("symbol", *longs("idx"), "relation", "lineage_relation")
+
+
+@query("trend_groups", oracles.TREND_GROUPS)
+def trend_groups(spark, sf_dir):
+    return wn.trend_groups(centers_of(spark, sf_dir)).select("symbol", F.col("grp").cast("long").alias("grp"), "type", "n", "zd", "zg")
+
+
+@query("center_events")
+def center_events(spark, sf_dir):
+    return records(spark, sf_dir, "center_event", "idx", "kind", "first", "last", "end_dt", "relation", "zd", "zg", "n")
+
+
+@query("segments")
+def segments(spark, sf_dir):
+    return records(spark, sf_dir, "segment", *STROKE, "mode", "complete", "evidence_index", "evidence_dt", "first", "last")
+
+
+@query("centers_segment")
+def centers_segment(spark, sf_dir):
+    return records(spark, sf_dir, "segment_center", *CENTER)
+
+
+@query("overlap_starts", oracles.OVERLAP_STARTS)
+def overlap_starts(spark, sf_dir):
+    return wn.overlap_starts(strokes_of(spark, sf_dir)).select("symbol", *longs("idx"), "zd", "zg", "shared", F.col("next_center").cast("long").alias("next_center"))
+
+
+@query("same_level_moves")
+def same_level_moves(spark, sf_dir):
+    return records(spark, sf_dir, "same_level", "idx", "kind", "complete", "direction", "first", "last", "low", "high", "n", "zd", "zg", "start_dt", "end_dt")
+
+
+@query("level_up_moves")
+def level_up_moves(spark, sf_dir):
+    return records(spark, sf_dir, "level_up", "idx", "kind", "complete", "direction", "first", "last", "low", "high", "n", "zd", "zg", "start_dt", "end_dt")
+
+
+@query("level_units")
+def level_units(spark, sf_dir):
+    return records(spark, sf_dir, "level_unit", "level", "idx", "kind", "direction", "low", "high", "start_dt", "end_dt")
+
+
+@query("batch_points")
+def batch_points(spark, sf_dir):
+    return records(spark, sf_dir, "point", "idx", "kind", "end_dt", "end_value", "first", "ratio")
+
+
+# Indicators -----------------------------------------------------------------------------------------------------------
+
+
+@query("macd", oracles.select("SELECT symbol, seq, round(e12, 6) AS ema_fast, round(e12 - e26, 6) AS dif, round(dea, 6) AS dea, round((e12 - e26 - dea) * 2, 6) AS hist FROM e", "e"))
+def macd(spark, sf_dir):
+    return st.macd(bars_of(spark, sf_dir)).select("symbol", *longs("seq"), *r6("ema_fast", "dif", "dea", "hist"))
+
+
+@query("macd_guard", oracles.select("SELECT symbol, seq, (e12 - e26 < 0) AND (dea < 0) AS below_zero FROM e", "e"))
+def macd_guard(spark, sf_dir):
+    m = st.macd(bars_of(spark, sf_dir))
+    return m.select("symbol", *longs("seq"), classifiers.macd_below_zero(F.col("dif"), F.col("dea")).alias("below_zero"))
+
+
+def lines_of(spark, sf_dir) -> DataFrame:
+    return wn.with_lines(bars_of(spark, sf_dir))
+
+
+@query("sma", oracles.select("SELECT symbol, seq, round(short, 6) AS short, round(long, 6) AS long FROM l", "l"))
+def sma(spark, sf_dir):
+    return lines_of(spark, sf_dir).select("symbol", *longs("seq"), *r6("short", "long"))
+
+
+@query("above_sma", oracles.select(
+    "SELECT symbol, seq, CASE WHEN count(*) OVER w = 13 THEN CAST(close AS DECIMAL(28,10)) * 13 > sum(CAST(close AS DECIMAL(28,10))) OVER w END AS above FROM b WINDOW w AS (PARTITION BY symbol ORDER BY seq ROWS 12 PRECEDING)"))
+def above_sma(spark, sf_dir):
+    return bars_of(spark, sf_dir).select("symbol", *longs("seq"), wn.above_sma(F.col("close"), 13).alias("above"))
+
+
+def bands_of(spark, sf_dir) -> DataFrame:
+    return wn.boll(bars_of(spark, sf_dir))
+
+
+@query("bands", oracles.select("SELECT symbol, seq, round(mid, 6) AS mid, round(upper, 6) AS upper, round(lower, 6) AS lower, state FROM bb", "bb"))
+def bands(spark, sf_dir):
+    return bands_of(spark, sf_dir).select("symbol", *longs("seq"), *r6("mid", "upper", "lower"), "state")
+
+
+@query("band_events", oracles.BAND_EVENTS)
+def band_events(spark, sf_dir):
+    return wn.boll_changes(bands_of(spark, sf_dir)).select("symbol", *longs("seq"), "event")
+
+
+@query("band_turns")
+def band_turns(spark, sf_dir):
+    return st.band_turns(bands_of(spark, sf_dir))
+
+
+@query("reentry_hints")
+def reentry_hints(spark, sf_dir):
+    return st.reentry_hints(bands_of(spark, sf_dir))
+
+
+@query("ma_alignment", oracles.ALIGNMENT)
+def ma_alignment(spark, sf_dir):
+    return wn.alignment(lines_of(spark, sf_dir)).select("symbol", *longs("seq"), "alignment")
+
+
+@query("ma_areas", oracles.select("SELECT symbol, sign, start, stop AS \"end\", round(area, 6) AS area, bars, closed FROM a", "a"))
+def ma_areas(spark, sf_dir):
+    return wn.ma_areas(lines_of(spark, sf_dir)).select("symbol", *longs("sign", "start", "end"), *r6("area"), "bars", "closed")
+
+
+@query("ma_weakening", oracles.MA_WEAKENING)
+def ma_weakening(spark, sf_dir):
+    return wn.ma_weakening(wn.ma_areas(lines_of(spark, sf_dir))).select("symbol", "direction", *longs("start", "idx"), *r6("area_prev", "area_last"))
+
+
+@query("ma_strength", oracles.MA_STRENGTH)
+def ma_strength(spark, sf_dir):
+    lines = lines_of(spark, sf_dir)
+    return wn.ma_strength(lines, wn.ma_areas(lines)).select("symbol", "direction", *r6("avg_current", "avg_prev"), "forming_weak", *r6("stretch"), "shortening")
+
+
+@query("ma_break", oracles.MA_BREAK)
+def ma_break(spark, sf_dir):
+    return wn.ma_break(lines_of(spark, sf_dir), "top").select("symbol", "tested", "recovered", *longs("break_index", "confirm_index", "streak"), "state")
+
+
+@query("kisses")
+def kisses(spark, sf_dir):
+    return st.kisses(lines_of(spark, sf_dir))
+
+
+@query("gaps", oracles.select("SELECT symbol, index_a, direction, lower, upper FROM g", "g"))
+def gaps(spark, sf_dir):
+    return wn.gaps(bars_of(spark, sf_dir)).select("symbol", *longs("index_a"), "direction", "lower", "upper")
+
+
+@query("gap_strength", oracles.GAP_STRENGTH)
+def gap_strength(spark, sf_dir):
+    return wn.gap_strength(src.event_bars(spark, sf_dir, "4 hours")).select("symbol", *longs("index_a"), "direction", *longs("fill_index"), "extreme", "strength", "exhaustion")
+
+
+@query("fractal_power", oracles.FRACTAL_POWER)
+def fractal_power(spark, sf_dir):
+    b = bars_of(spark, sf_dir)
+    m = st.project(st.structure(b), "merged", "idx", "low", "high", "start_index", "end_index", "end_dt", "start_value", "end_value")
+    return wn.fractal_powers(m, wn.fractals(m)).select("symbol", *longs("bar_index"), "kind", "power")
+
+
+@query("osc_monitor", oracles.OSC_MONITOR)
+def osc_monitor(spark, sf_dir):
+    whole = st.structure(bars_of(spark, sf_dir))
+    out = wn.oscillation(st.project(whole, "stroke", "idx", "low", "high"), st.project(whole, "stroke_center", "idx", "zd", "zg", "last"))
+    return out.select("symbol", *longs("center"), *r6("z"), "n", "n_above", "n_below", "n_breaks", "status", "wedge", "strength", "upgrade_hint")
+
+
+@query("zn_next", oracles.ZN_NEXT)
+def zn_next(spark, sf_dir):
+    return wn.zn_next(strokes_of(spark, sf_dir)).select("symbol", *r6("low", "high"))
+
+
+@query("transition_phase")
+def transition_phase(spark, sf_dir):
+    return st.transition_phase(strokes_of(spark, sf_dir).withColumn("seq", F.col("idx")))
+
+
+@query("range_divergences", oracles.RANGE_DIVERGENCES)
+def range_divergences(spark, sf_dir):
+    b = bars_of(spark, sf_dir)
+    whole = st.structure(b)
+    swings = wn.stroke_swings(st.project(whole, "stroke", *STROKE), st.macd(b))
+    return wn.range_divergences(swings, st.project(whole, "stroke_center", *CENTER)).select("symbol", *longs("center"), "direction", "dt", "price", F.round("area_prev", 4).alias("area_prev"), F.round("area_last", 4).alias("area_last"))
+
+
+@query("third_points", oracles.THIRD_POINTS)
+def third_points(spark, sf_dir):
+    whole = st.structure(bars_of(spark, sf_dir))
+    out = wn.third_points(st.project(whole, "stroke", *STROKE), st.project(whole, "stroke_center", *CENTER))
+    return out.select("symbol", *longs("center"), "side", "dt", "price", *r6("ratio"))
+
+
+# Classifiers over whole truth tables ----------------------------------------------------------------------------------
+
+
+def grid(spark: SparkSession, **values: str) -> DataFrame:
+    """Every combination of the SQL arrays given by name: a fixed truth table."""
+    out = spark.range(1).select(F.lit(0).alias("_"))
+    for name, array in values.items():
+        out = out.withColumn(name, F.explode(F.expr(array)))
+    return out.drop("_")
+
+
+@query("stroke_states", oracles.STROKE_STATES)
+def stroke_states(spark, sf_dir):
+    d = grid(spark, direction="array('up','down','flat')", forming="array('top','bottom','other',cast(null as string))")
+    state = classifiers.bi_state(F.col("direction"), F.col("forming"))
+    return d.select("direction", "forming", state["d"].alias("d"), state["e"].alias("e"))
+
+
+@query("state_transitions", oracles.STATE_TRANSITIONS)
+def state_transitions(spark, sf_dir):
+    d = grid(spark, d="array(1,-1,0)", e="array(1,0,2)", nd="array(1,-1,0)", ne="array(1,0,2)")
+    return d.select("*", classifiers.bi_transition_valid(*(F.col(c) for c in ("d", "e", "nd", "ne"))).alias("valid"))
+
+
+@query("disease_stage", oracles.DISEASE_STAGE)
+def disease_stage(spark, sf_dir):
+    d = grid(spark, hd="array(1,-1)", he="array(1,0)", ld="array(1,-1)", le="array(1,0)", trend="array(1,-1,0)")
+    stage = classifiers.disease_stage(*(F.col(c) for c in ("hd", "he", "ld", "le", "trend")))
+    return d.select("*", stage.alias("stage"), classifiers.severity_rank(stage).alias("severity"))
+
+
+@query("turn_class", oracles.TURN_CLASS)
+def turn_class(spark, sf_dir):
+    d = grid(spark, trend="array('up','down','flat')", pull="array(8.9D,9.0D,9.5D,10.0D,10.5D,11.0D,11.5D,12.0D,12.1D)")
+    c = [F.lit(x) for x in (10.0, 11.0, 12.0, 9.0)]
+    return d.select("*", classifiers.turn_class(*c, F.col("pull"), F.col("trend")).alias("turn"), F.round(classifiers.rebound_gap(c[2], c[3], F.col("pull"), F.col("trend")), 6).alias("rebound"))
+
+
+@query("minor_turn", oracles.MINOR_TURN)
+def minor_turn(spark, sf_dir):
+    d = grid(spark, trend="array('up','down')", low="array(8.0D,10.0D,11.0D,14.0D,16.0D)", height="array(0.5D,4.0D,9.0D)", bs3="array(true,false)", zd="array(cast(null as double),12.0D)")
+    stage = classifiers.minor_turn_stage(F.lit(9.0), F.lit(10.0), F.col("low"), F.col("low") + F.col("height"), F.col("trend"), F.col("zd"), F.col("zd") + 1, F.col("bs3"))
+    return d.select("*", stage.alias("stage"))
+
+
+@query("followup_quality", oracles.FOLLOWUP)
+def followup_quality(spark, sf_dir):
+    d = grid(spark, direction="array('up','down')", low="array(5.0D,8.0D,10.0D,11.0D,12.0D,13.0D)", high="array(6.0D,10.0D,12.0D,14.0D)")
+    return d.select("*", classifiers.followup_quality(F.lit(12.0), F.lit(10.0), F.col("low"), F.col("high"), F.col("direction")).alias("quality"))
+
+
+@query("center_health", oracles.CENTER_HEALTH)
+def center_health(spark, sf_dir):
+    """Each stroke center against all before it in its series."""
+    c = centers_of(spark, sf_dir)
+    from pyspark.sql import Window
+
+    before = F.collect_list(F.struct("zd", "zg")).over(Window.partitionBy(*KEYS).orderBy("idx").rowsBetween(-8, -1))
+    d = c.select("symbol", *longs("idx"), "zd", "zg", before.alias("previous"))
+    return d.select("symbol", "idx", classifiers.center_health(F.col("previous"), F.col("zd"), F.col("zg")).alias("health"))
+
+
+@query("kiss_kind", oracles.KISS_KIND)
+def kiss_kind(spark, sf_dir):
+    d = grid(spark, crossings="array(0,1,2)", min_gap="array(0.0D,0.4D,0.5D,0.6D)")
+    return d.select("*", classifiers.kiss_kind(F.col("crossings"), F.col("min_gap"), F.lit(1.0)).alias("kind"))
+
+
+@query("finite_sides", oracles.FINITE_SIDES)
+def finite_sides(spark, sf_dir):
+    d = grid(spark, a="array(1.0D,2.0D,cast(null as double),double('NaN'),double('Infinity'))", b="array(1.0D,2.0D,cast(null as double))")
+    a, b = intervals.finite(F.col("a")), intervals.finite(F.col("b"))
+    return d.select(a.alias("a"), b.alias("b"), intervals.side_of(a, b).alias("side"), (b - a).alias("gap"))
+
+
+# Sectors --------------------------------------------------------------------------------------------------------------
+
+
+@query("ma_class", oracles.MA_CLASS)
+def ma_class(spark, sf_dir):
+    return wn.ma_class(src.sector_bars(spark, sf_dir), 200, extra=["sector"]).select("symbol", "sector", F.col("class_no").cast("long").alias("class_no"))
+
+
+@query("sector_strength", oracles.SECTOR_STRENGTH)
+def sector_strength(spark, sf_dir):
+    out = wn.sector_strength(wn.ma_class(src.sector_bars(spark, sf_dir), 200, extra=["sector"]))
+    return out.select("sector", *r6("mean_class"), "valid", "total", *r6("coverage"), *(f"class_{i}" for i in range(1, 10)))
+
+
+# As-of and causal layers ----------------------------------------------------------------------------------------------
+
+
+@query("as_of_structure")
+def as_of_structure(spark, sf_dir):
+    return st.structure(src.visible_bars(bars_of(spark, sf_dir), "2024-01-15 12:00:00")).groupBy(*KEYS, "record").count()
+
+
+@query("replay_ledger")
+def replay_ledger(spark, sf_dir):
+    return st.replay_ledger(bars_of(spark, sf_dir), step=4)
+
+
+@query("replay_arrivals")
+def replay_arrivals(spark, sf_dir):
+    b = src.with_arrival(src.event_bars(spark, sf_dir, "4 hours"), "4 hours", late=F.col("seq") % 10 == 3)
+    return st.replay_arrivals(b, step=2)
+
+
+@query("confirmed_moves")
+def confirmed_moves(spark, sf_dir):
+    from datetime import datetime
+
+    s = strokes_of(spark, sf_dir)
+    units = s.select(*KEYS, F.col("idx").alias("seq"), F.concat_ws(":", F.lit("stroke"), "idx").alias("move_id"), F.lit(1).alias("level"), *STROKE[1:2], *STROKE[4:], F.expr("end_dt + interval 6 hours").alias("confirmed_dt"))
+    return st.confirmed_moves(units, datetime(2030, 1, 1))
