@@ -124,7 +124,7 @@ BAND_EVENTS = select("""SELECT symbol, seq, event FROM (SELECT symbol, seq, unne
 ALIGNMENT = select("""SELECT symbol, seq, CASE WHEN d10 IS NOT NULL THEN last_value(CASE WHEN d10 > 0 THEN 'up' WHEN d10 < 0 THEN 'down' END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY seq) END AS alignment FROM l""", "l")
 MA_WEAKENING = select("""SELECT symbol, CASE WHEN sign > 0 THEN 'up' ELSE 'down' END AS direction, start, stop AS idx, round(abs(prior), 6) AS area_prev, round(abs(area), 6) AS area_last
   FROM (SELECT *, lag(area) OVER (PARTITION BY symbol, sign ORDER BY start) AS prior FROM a) WHERE closed AND abs(area) < abs(prior)""", "a")
-MA_STRENGTH = select("""SELECT x.symbol, CASE WHEN sign > 0 THEN 'up' ELSE 'down' END AS direction, round(avg_area, 6) AS avg_current, round(prior, 6) AS avg_prev, abs(avg_area) < abs(prior) AS forming_weak, round(d, 6) AS stretch, abs(d) < abs(pd) AS shortening
+MA_STRENGTH = select("""SELECT x.symbol, CASE WHEN sign > 0 THEN 'up' ELSE 'down' END AS direction, round(avg_area, 8) AS avg_current, round(prior, 8) AS avg_prev, abs(avg_area) < abs(prior) AS forming_weak, round(d, 6) AS stretch, abs(d) < abs(pd) AS shortening
   FROM (SELECT *, lag(avg_area) OVER (PARTITION BY symbol, sign ORDER BY start) AS prior, row_number() OVER (PARTITION BY symbol ORDER BY start DESC) AS place FROM a) x
   JOIN (SELECT symbol, short - long AS d, lag(short - long) OVER (PARTITION BY symbol ORDER BY seq) AS pd, row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) AS place FROM l WHERE d10 IS NOT NULL) y ON x.symbol = y.symbol AND y.place = 1
   WHERE x.place = 1""", "a")

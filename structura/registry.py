@@ -268,7 +268,7 @@ def ma_weakening(spark, sf_dir):
 @query("ma_strength", oracles.MA_STRENGTH)
 def ma_strength(spark, sf_dir):
     lines = lines_of(spark, sf_dir)
-    return wn.ma_strength(lines, wn.ma_areas(lines)).select("symbol", "direction", *r6("avg_current", "avg_prev"), "forming_weak", *r6("stretch"), "shortening")
+    return wn.ma_strength(lines, wn.ma_areas(lines)).select("symbol", "direction", F.round("avg_current", 8).alias("avg_current"), F.round("avg_prev", 8).alias("avg_prev"), "forming_weak", *r6("stretch"), "shortening")
 
 
 @query("ma_break", oracles.MA_BREAK)

@@ -21,7 +21,7 @@ def db():
 
 def canonical(rows, names):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    value = lambda v: "nan" if isinstance(v, float) and math.isnan(v) else (round(v, 6) + 0.0 if isinstance(v, float) else v)
+    value = lambda v: "nan" if isinstance(v, float) and math.isnan(v) else (round(v, 7) + 0.0 if isinstance(v, float) else v)
     return sorted((tuple(value(r[i]) for i in order) for r in rows), key=str), sorted(names)
 
 
