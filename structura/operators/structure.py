@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEYS, MAX_LEVELS
-from . import averages, base_chain, moves, series
+from . import averages, base_chain, causal, ma_candidates, moves, series
 
 FIELDS = {
     "record": "string", "idx": "int", "direction": "string", "kind": "string", "start_index": "int", "end_index": "int", "start_dt": "timestamp_ntz", "end_dt": "timestamp_ntz",
@@ -181,8 +181,116 @@ def confirmed_moves(units: DataFrame, as_of, next_level: int = 2) -> DataFrame:
     }
 
     def fold(*columns) -> Iterator[dict]:
-        held = [moves.ConfirmedUnit(i, lv, base_chain.Unit(d, a, b, k, k + 1, lo, hi, s, e), c) for k, (i, lv, d, a, b, lo, hi, s, e, c) in enumerate(zip(*columns))]
+        held = _held_units(columns)
         for m in moves.confirm_levels(held, as_of, next_level):
             yield {"move_id": m.move_id, "level": m.level, "kind": m.move.kind, "direction": m.move.direction, "net": m.net, "start_dt": m.start_dt, "end_dt": m.end_dt, "start_value": m.start, "end_value": m.end, "low": m.move.low, "high": m.move.high, "confirmed_dt": m.confirmed_dt, "n_units": len(m.unit_ids), "n_evidence": len(m.evidence_ids), "n_centers": len(m.move.centers)}
 
     return per_series(units, fold, fields, columns=["move_id", "level", "direction", "start_value", "end_value", "low", "high", "start_dt", "end_dt", "confirmed_dt"])
+
+
+UNIT_COLUMNS = ["move_id", "level", "direction", "start_value", "end_value", "low", "high", "start_dt", "end_dt", "confirmed_dt"]
+
+
+def _held_units(columns) -> list[moves.ConfirmedUnit]:
+    return [moves.ConfirmedUnit(i, lv, base_chain.Unit(d, a, b, k, k + 1, lo, hi, s, e), c) for k, (i, lv, d, a, b, lo, hi, s, e, c) in enumerate(zip(*columns))]
+
+
+def _last_known(units: list[moves.ConfirmedUnit], as_of):
+    return as_of if as_of is not None or not units else units[-1].confirmed_dt
+
+
+def first_points(units: DataFrame, bars: DataFrame, as_of=None, level: int = 2, ratio: float = 0.005) -> DataFrame:
+    """First points and exclusions; each point with the first center after it. Units and bars meet per series."""
+    fields = {
+        "record": "string", "kind": "string", "context_id": "string", "dt": "timestamp_ntz", "price": "double", "confirmed_dt": "timestamp_ntz", "zd": "double", "zg": "double", "area_reference": "double",
+        "area_leave": "double", "zero_axis": "double", "causal_id": "string", "causal_zd": "double", "causal_zg": "double", "causal_dt": "timestamp_ntz",
+    }
+
+    def run(key, left, right):
+        held = _held_units([left.sort_by("seq").column(c).to_pylist() for c in UNIT_COLUMNS])
+        at = _last_known(held, as_of)
+        rows_ = right.sort_by("seq")
+        keep = [i for i, x in enumerate(rows_.column("available_dt").to_pylist()) if at is not None and x <= at]
+        if keep != list(range(len(keep))):
+            raise ValueError("visible bars are not a prefix")
+        prices = causal.PriceRows(*(rows_.column(c).to_pylist()[: len(keep)] for c in ("dt", "close", "available_dt")))
+        points, excluded = causal.first_points(held, prices, at, level, ratio) if held else ([], [])
+        out = []
+        for p in points:
+            after = [i for i, u in enumerate(held) if u.unit.start_dt >= p.dt and u.confirmed_dt <= at]
+            boxes = ((i, moves.shared_range([u.unit for u in held], i)) for i in after if i + 2 in after)
+            found = next(((i, b) for i, b in boxes if b), None)
+            c = {"causal_id": held[found[0]].move_id, "causal_zd": found[1][0], "causal_zg": found[1][1], "causal_dt": held[found[0] + 2].confirmed_dt} if found and found[1][0] < found[1][1] else {}
+            out.append({"record": "point", "kind": p.kind, "context_id": f"{p.move_id}:first", "dt": p.dt, "price": p.price, "confirmed_dt": p.confirmed_dt, "zd": p.center[0], "zg": p.center[1], "area_reference": p.area_reference, "area_leave": p.area_leave, "zero_axis": p.zero_axis, **c})
+        out += [{"record": "excluded", "context_id": m, "kind": reason} for m, reason in excluded]
+        keys = [pa.array([k.as_py()] * len(out), pa.string()) for k in key]
+        return pa.Table.from_arrays([*keys, *(pa.array([r.get(n) for r in out], _ARROW[t]) for n, t in fields.items())], names=[*KEYS, *fields])
+
+    left = units.select(*KEYS, "seq", *UNIT_COLUMNS).groupBy(*KEYS)
+    right = bars.select(*KEYS, "seq", "dt", "close", "available_dt").groupBy(*KEYS)
+    return left.cogroup(right).applyInArrow(run, _schema(fields, KEYS))
+
+
+def strict_verdicts(units: DataFrame, as_of=None, level: int = 2, force=None, force_method: str | None = None) -> DataFrame:
+    """Strict verdicts of trends and the open tail, and what was skipped. force(reference, leave) gives two numbers or None."""
+    fields = {"record": "string", "kind": "string", "move_id": "string", "status": "string", "reason": "string", "zd": "double", "zg": "double", "dt": "timestamp_ntz", "price": "double", "n_true": "int", "force_reference": "double", "force_leave": "double"}
+
+    def fold(*columns) -> Iterator[dict]:
+        held = _held_units(columns)
+        found, skipped = causal.strict_scan(held, _last_known(held, as_of), level, force, force_method) if held else ([], [])
+        for v in found:
+            zd, zg = v.center or (None, None)
+            a, b = v.forces or (None, None)
+            yield {"record": "verdict", "kind": v.kind, "move_id": v.move_id, "status": v.status, "reason": v.reason, "zd": zd, "zg": zg, "dt": v.dt, "price": v.price, "n_true": sum(ok is True for _, ok in v.conditions), "force_reference": a, "force_leave": b}
+        for m, reason in skipped:
+            yield {"record": "skipped", "move_id": m, "reason": reason}
+
+    return per_series(units, fold, fields, columns=UNIT_COLUMNS)
+
+
+def center_lineage(units: DataFrame, as_of=None, level: int = 2, upper_level: int | None = 3) -> DataFrame:
+    """Versions of centers, the events that made them, and one graph text per series."""
+    fields = {
+        "record": "string", "kind": "string", "center_id": "string", "version": "int", "level": "int", "zd": "double", "zg": "double", "gg": "double", "dd": "double", "n": "int", "confirmed_dt": "timestamp_ntz",
+        "previous_id": "string", "relation": "string", "text": "string",
+    }
+
+    def fold(*columns) -> Iterator[dict]:
+        held = _held_units(columns)
+        if not held:
+            return
+        line = causal.Lineage(held, _last_known(held, as_of), level, upper_level)
+        for v in line.versions:
+            yield {"record": "version", "center_id": v.center_id, "version": v.version, "level": v.level, "zd": v.zd, "zg": v.zg, "gg": v.gg, "dd": v.dd, "n": len(v.unit_ids), "confirmed_dt": v.confirmed_dt}
+        for e in line.events:
+            yield {"record": "event", "kind": e.kind, "center_id": e.center_id, "version": e.version, "previous_id": e.previous_id, "relation": e.relation, "confirmed_dt": e.observed_dt}
+        yield {"record": "graph", "text": line.dot()}
+
+    return per_series(units, fold, fields, columns=UNIT_COLUMNS)
+
+
+_MA_COLUMNS = ["dt", "high", "low", "close", "volume", "available_dt"]
+
+
+def _visible_rows(columns, as_of) -> ma_candidates.Rows:
+    rows = ma_candidates.Rows(*columns)
+    keep = [i for i, x in enumerate(rows.available_dt) if as_of is None or x <= as_of]
+    if keep != list(range(len(keep))) or any(b < a for a, b in zip(rows.available_dt, rows.available_dt[1:])):
+        raise ValueError("bars must arrive in order")
+    return ma_candidates.Rows(*(c[: len(keep)] for c in columns))
+
+
+def ma_points(bars: DataFrame, as_of=None, settings: ma_candidates.Settings = ma_candidates.Settings()) -> DataFrame:
+    """Candidates of the first and second kind from two averages."""
+    fields = {"kind": "string", "dt": "timestamp_ntz", "price": "double", "confirmed_dt": "timestamp_ntz", "pattern": "string", "kiss_kind": "string", "kiss_index": "int"}
+    return per_series(bars, lambda *c: iter(ma_candidates.Reader(_visible_rows(c, as_of), settings).points()), fields, columns=_MA_COLUMNS)
+
+
+def ma_point_states(bars: DataFrame, as_of=None, settings: ma_candidates.Settings = ma_candidates.Settings()) -> DataFrame:
+    """The revocable snapshot of each series, reasons joined by commas."""
+
+    def fold(*columns) -> Iterator[dict]:
+        s = ma_candidates.Reader(_visible_rows(columns, as_of), settings, volumes=False).state()
+        yield s | {"reasons": ",".join(s["reasons"])}
+
+    return per_series(bars, fold, {"status": "string", "direction": "string", "reasons": "string"}, columns=_MA_COLUMNS)

@@ -213,3 +213,42 @@ _SECTORS = """tk AS (SELECT n_name AS symbol, r_name AS sector, o_orderdate AS t
   cl AS (SELECT symbol, sector, CASE WHEN min(CASE WHEN won IS NOT TRUE THEN place END) IS NULL THEN 9 WHEN arg_min(missing, CASE WHEN won IS NOT TRUE THEN place END) THEN NULL ELSE min(CASE WHEN won IS NOT TRUE THEN place END) END::BIGINT AS class_no FROM ab GROUP BY 1, 2)"""
 MA_CLASS = "WITH " + _SECTORS + " SELECT symbol, sector, class_no FROM cl"
 SECTOR_STRENGTH = "WITH " + _SECTORS + " SELECT sector, round(avg(class_no), 6) AS mean_class, count(class_no) AS valid, count(*) AS total, round(count(class_no) / count(*), 6) AS coverage, " + ", ".join(f"count(*) FILTER (class_no = {i}) AS class_{i}" for i in range(1, 10)) + " FROM cl GROUP BY sector"
+
+SECOND_POINTS = select("""SELECT symbol, side || '2' AS kind, 'context:' || idx AS context_id, p_end_dt AS dt, p_end AS price, p_end_dt + INTERVAL 2 HOUR AS confirmed_dt,
+    CASE WHEN (side = 'buy' AND p_end < anchor) OR (side = 'sell' AND p_end > anchor) THEN 'weak' ELSE 'normal' END AS strength, 'stroke:' || (idx + 1) AS move_id, 'stroke:' || (idx + 2) AS pull_move_id
+  FROM (SELECT symbol, idx, CASE WHEN direction = 'down' THEN 'buy' ELSE 'sell' END AS side, end_value AS anchor, lead(end_value, 2) OVER w AS p_end, lead(end_dt, 2) OVER w AS p_end_dt, lead(low, 2) OVER w AS p_low, lead(high, 2) OVER w AS p_high
+    FROM s WINDOW w AS (PARTITION BY symbol ORDER BY idx))
+  WHERE idx % 3 = 0 AND p_end IS NOT NULL AND NOT (idx % 2 = 1 AND ((side = 'buy' AND p_low < anchor) OR (side = 'sell' AND p_high > anchor)))""", "s")
+_THIRD = """kn AS (SELECT c.symbol, c.idx, c.zd, c.zg, s.end_dt + INTERVAL 2 HOUR AS known FROM c JOIN s ON s.symbol = c.symbol AND s.idx = c.first + 2),
+  pq AS (SELECT *, lead(low) OVER w AS p_low, lead(high) OVER w AS p_high, lead(end_value) OVER w AS p_end, lead(end_dt) OVER w AS p_dt FROM s WINDOW w AS (PARTITION BY symbol ORDER BY idx)),
+  th AS (SELECT kn.symbol, kn.idx, arg_min(CASE WHEN direction = 'up' THEN 'buy3' ELSE 'sell3' END, pq.idx) AS kind, arg_min(p_dt, pq.idx) AS dt, arg_min(p_end, pq.idx) AS price, min(pq.idx) AS leave
+    FROM kn JOIN pq ON pq.symbol = kn.symbol AND pq.start_dt >= kn.known AND p_end IS NOT NULL AND low <= zg AND high >= zd
+      AND CASE WHEN direction = 'up' THEN end_value > zg AND p_low >= zg ELSE end_value < zd AND p_high <= zd END GROUP BY 1, 2)"""
+
+
+def _after_centers(sql: str) -> str:
+    return select("", "c").rstrip() + ",\n" + _THIRD + "\n" + sql
+
+
+CONFIRMED_THIRD = _after_centers("SELECT symbol, kind, 'center:' || idx AS center_id, dt, price, dt + INTERVAL 2 HOUR AS confirmed_dt, 'stroke:' || leave AS move_id, 'stroke:' || (leave + 1) AS pull_move_id FROM th")
+FORMATIONS = _after_centers("""SELECT symbol, context_id, CASE WHEN NOT seen THEN 'waiting' WHEN kind IS NULL THEN 'constructing' WHEN kind = 'buy3' THEN 'completed' ELSE 'failed' END AS phase, CASE WHEN seen THEN 'bottom' END AS formation, kind AS boundary, ended_dt
+  FROM (SELECT kn.symbol, 'center:' || kn.idx AS context_id, known <= TIMESTAMP '2024-01-20' AS seen, th.kind, th.dt + INTERVAL 2 HOUR AS ended_dt
+    FROM kn LEFT JOIN th ON th.symbol = kn.symbol AND th.idx = kn.idx AND th.dt + INTERVAL 2 HOUR <= TIMESTAMP '2024-01-20' AND known <= TIMESTAMP '2024-01-20')""")
+FRACTAL_RANGES = select("""SELECT symbol, fractal_id, coalesce(ends, CASE WHEN streak > 0 THEN 'testing' ELSE 'constructing' END) AS phase, first_test, ended_dt, coalesce(streak, 0)::BIGINT AS streak, coalesce(recovered, false) AS recovered
+  FROM (SELECT symbol, idx AS fractal_id FROM f WHERE idx % 5 = 0) LEFT JOIN (
+    SELECT symbol, fractal_id, arg_max(ends, seq) AS ends, arg_max(CASE WHEN broken THEN prior ELSE run END, seq) AS streak, min(CASE WHEN beyond THEN arrived END) AS first_test, bool_or(NOT beyond AND NOT broken AND prior > 0) AS recovered, max(CASE WHEN ends IS NOT NULL THEN arrived END) AS ended_dt
+    FROM (SELECT *, coalesce(count(ends) OVER (PARTITION BY symbol, fractal_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM (
+      SELECT *, CASE WHEN broken THEN 'failed' WHEN run >= 2 THEN 'completed' END AS ends, lag(run, 1, 0) OVER (PARTITION BY symbol, fractal_id ORDER BY seq) AS prior FROM (
+        SELECT *, sum(beyond::INT) OVER (PARTITION BY symbol, fractal_id, island ORDER BY seq) AS run FROM (
+          SELECT *, sum(CASE WHEN beyond THEN 0 ELSE 1 END) OVER (PARTITION BY symbol, fractal_id ORDER BY seq) AS island FROM (
+            SELECT *, NOT broken AND CASE WHEN kind = 'bottom' THEN close > high3 ELSE close < low3 END AS beyond FROM (
+              SELECT f.symbol, f.idx AS fractal_id, f.kind, f.low3, f.high3, b.seq, b.close, b.dt + INTERVAL 65 MINUTE AS arrived, CASE WHEN f.kind = 'bottom' THEN b.low < f.low3 ELSE b.high > f.high3 END AS broken
+              FROM f JOIN b k ON k.symbol = f.symbol AND k.seq = f.last_bar JOIN b ON b.symbol = f.symbol AND b.dt + INTERVAL 1 HOUR > k.dt + INTERVAL 65 MINUTE WHERE f.idx % 5 = 0)))))) WHERE over = 0 GROUP BY 1, 2) USING (symbol, fractal_id)""", "f")
+NESTED = """WITH d0 AS (SELECT chain_id, level, (chain_id * 7 + level * 5) % 11 AS k FROM range(120) x(chain_id), (VALUES (1), (2), (3)) y(level)),
+  d AS (SELECT chain_id, level, chain_id % 2 = 0 AS up, 11.0 - k % 4 AS cand_low, 19.0 + k % 4 AS cand_high, CASE WHEN chain_id % 2 = 0 THEN k - 1.0 ELSE 1.0 - k END AS cand, CASE WHEN chain_id % 2 = 0 THEN 5.0 ELSE -5.0 END AS ref,
+    TIMESTAMP '2024-01-01' + to_hours((level + k % 2)::INT) AS start_dt, TIMESTAMP '2024-01-01' + to_hours((20 - level)::INT) AS end_dt FROM d0),
+  v AS (SELECT *, CASE WHEN NOT coalesce(start_dt >= lag(start_dt) OVER w AND end_dt <= lag(end_dt) OVER w, true) THEN 'not_nested' WHEN NOT (CASE WHEN up THEN cand_high > 20 ELSE cand_low < 10 END) THEN 'no_new_extreme'
+    WHEN (up AND cand <= 0) OR (NOT up AND cand >= 0) THEN 'weak_sign' WHEN (up AND cand >= ref) OR (NOT up AND cand <= ref) THEN 'stronger' ELSE 'bc' END AS reason FROM d WINDOW w AS (PARTITION BY chain_id ORDER BY level)),
+  r AS (SELECT *, coalesce(sum((reason <> 'bc')::INT) OVER (PARTITION BY chain_id ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS broken FROM v)
+  SELECT chain_id, level::BIGINT AS level, reason, round(cand / ref, 6)::DOUBLE AS ratio, whole AS complete, CASE WHEN whole AND level = 3 THEN end_dt END AS turn_dt, CASE WHEN whole AND level = 3 THEN CASE WHEN up THEN cand_high ELSE cand_low END END::DOUBLE AS turn_price
+  FROM (SELECT *, bool_and(reason = 'bc') OVER (PARTITION BY chain_id) AS whole FROM r WHERE broken = 0)"""

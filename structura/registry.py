@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracles
 from .functions import classifiers, intervals
+from .operators import confirmed as cf
 from .operators import structure as st
 from .operators import windows as wn
+from .operators.ma_candidates import Settings as MaSettings
 from .schema import KEYS
 from .sources import bars as src
 
@@ -385,8 +387,6 @@ def followup_quality(spark, sf_dir):
 def center_health(spark, sf_dir):
     """Each stroke center against all before it in its series."""
     c = centers_of(spark, sf_dir)
-    from pyspark.sql import Window
-
     before = F.collect_list(F.struct("zd", "zg")).over(Window.partitionBy(*KEYS).orderBy("idx").rowsBetween(-8, -1))
     d = c.select("symbol", *longs("idx"), "zd", "zg", before.alias("previous"))
     return d.select("symbol", "idx", classifiers.center_health(F.col("previous"), F.col("zd"), F.col("zg")).alias("health"))
@@ -438,10 +438,166 @@ def replay_arrivals(spark, sf_dir):
     return st.replay_arrivals(b, step=2)
 
 
+def units_of(spark, sf_dir) -> DataFrame:
+    """Strokes as confirmed units, known two periods after they end."""
+    s = strokes_of(spark, sf_dir)
+    return s.select(*KEYS, F.col("idx").alias("seq"), F.concat_ws(":", F.lit("stroke"), "idx").alias("move_id"), F.lit(1).alias("level"), "direction", "start_value", "end_value", "low", "high", "start_dt", "end_dt", F.expr("end_dt + interval 2 hours").alias("confirmed_dt"))
+
+
+def moves_of(spark, sf_dir) -> DataFrame:
+    return units_of(spark, sf_dir).withColumn("sub_level", F.lit("stroke"))
+
+
+def late() -> Column:
+    """After all data."""
+    return F.lit("2030-01-01").cast("timestamp_ntz")
+
+
 @query("confirmed_moves")
 def confirmed_moves(spark, sf_dir):
     from datetime import datetime
 
-    s = strokes_of(spark, sf_dir)
-    units = s.select(*KEYS, F.col("idx").alias("seq"), F.concat_ws(":", F.lit("stroke"), "idx").alias("move_id"), F.lit(1).alias("level"), *STROKE[1:2], *STROKE[4:], F.expr("end_dt + interval 6 hours").alias("confirmed_dt"))
-    return st.confirmed_moves(units, datetime(2030, 1, 1))
+    return st.confirmed_moves(units_of(spark, sf_dir), datetime(2030, 1, 1))
+
+
+@query("first_points")
+def first_points(spark, sf_dir):
+    return st.first_points(units_of(spark, sf_dir), src.with_arrival(bars_of(spark, sf_dir), "1 hour"))
+
+
+def contexts_of(spark, sf_dir) -> DataFrame:
+    """Every third stroke's end as an anchor."""
+    u = units_of(spark, sf_dir).where(F.col("seq") % 3 == 0)
+    return u.select(
+        *KEYS, F.concat_ws(":", F.lit("context"), "seq").alias("context_id"), F.lit("target").alias("level"), F.lit("stroke").alias("sub_level"), F.when(F.col("direction") == "down", "buy").otherwise("sell").alias("side"),
+        F.when(F.col("seq") % 2 == 0, "first").otherwise("minor_turn").alias("source"), F.col("end_dt").alias("anchor_dt"), F.col("end_value").alias("anchor_price"), "confirmed_dt", F.lit(None).cast("timestamp_ntz").alias("ended_dt"),
+    )
+
+
+def causal_centers(spark, sf_dir) -> DataFrame:
+    """Stroke centers as known from the confirmation of their third stroke."""
+    c = centers_of(spark, sf_dir).select(*KEYS, "idx", "zd", "zg", (F.col("first") + 2).alias("seq"))
+    u = units_of(spark, sf_dir).select(*KEYS, "seq", "confirmed_dt")
+    return c.join(u, [*KEYS, "seq"]).select(*KEYS, F.concat_ws(":", F.lit("center"), "idx").alias("center_id"), "zd", "zg", "confirmed_dt")
+
+
+@query("second_points", oracles.SECOND_POINTS)
+def second_points(spark, sf_dir):
+    out = cf.second_points(moves_of(spark, sf_dir), contexts_of(spark, sf_dir), late())
+    return out.select("symbol", "kind", "context_id", "dt", "price", "confirmed_dt", "strength", "move_id", "pull_move_id")
+
+
+@query("confirmed_third_points", oracles.CONFIRMED_THIRD)
+def confirmed_third_points(spark, sf_dir):
+    c = causal_centers(spark, sf_dir).select("*", F.col("center_id").alias("context_id"), F.lit("target").alias("level"), F.lit("stroke").alias("sub_level"))
+    return cf.third_points(moves_of(spark, sf_dir), c, late()).select("symbol", "kind", "center_id", "dt", "price", "confirmed_dt", "move_id", "pull_move_id")
+
+
+@query("formations", oracles.FORMATIONS)
+def formations(spark, sf_dir):
+    """Each center's own confirmation as a buy point of that center, settled by its third point."""
+    c = causal_centers(spark, sf_dir)
+    third = cf.third_points(moves_of(spark, sf_dir), c.select("*", F.col("center_id").alias("context_id"), F.lit("target").alias("level"), F.lit("stroke").alias("sub_level")), late())
+    first = c.select(*KEYS, F.col("center_id").alias("context_id"), F.lit("buy1").alias("kind"), F.lit("target").alias("level"), "center_id", "confirmed_dt")
+    return cf.formation_states(first, third, F.lit("2024-01-20").cast("timestamp_ntz")).select("symbol", "context_id", "phase", "formation", "boundary", "ended_dt")
+
+
+@query("fractal_ranges", oracles.FRACTAL_RANGES)
+def fractal_ranges(spark, sf_dir):
+    b = src.with_arrival(bars_of(spark, sf_dir), "1 hour")
+    f = wn.fractals(merged_of(spark, sf_dir)).where(F.col("bar_index") % 5 == 0)
+    f = f.join(b.select(*KEYS, F.col("seq").alias("last_bar"), F.col("available_dt").alias("confirmed_dt")), [*KEYS, "last_bar"])
+    f = f.select(*KEYS, F.col("bar_index").alias("fractal_id"), "kind", "low", "high", "confirmed_dt")
+    return cf.fractal_range_states(f, b, late()).select("symbol", *longs("fractal_id"), "phase", "first_test", "ended_dt", *longs("streak"), "recovered")
+
+
+@query("strict_verdicts")
+def strict_verdicts(spark, sf_dir):
+    from .operators.causal import travel
+
+    return st.strict_verdicts(units_of(spark, sf_dir), force=lambda a, b: (travel(a), travel(b)), force_method="travel")
+
+
+@query("center_lineage")
+def center_lineage(spark, sf_dir):
+    return st.center_lineage(units_of(spark, sf_dir))
+
+
+@query("point_rounds")
+def point_rounds(spark, sf_dir):
+    """First points with their causal center, its third point, formation, second point and handover."""
+    p = st.first_points(units_of(spark, sf_dir), src.with_arrival(bars_of(spark, sf_dir), "1 hour")).where("record = 'point'")
+    m = moves_of(spark, sf_dir)
+    base = p.select(*KEYS, "context_id", "kind", F.lit("target").alias("level"), F.lit("stroke").alias("sub_level"), F.coalesce("causal_id", F.lit("none")).alias("center_id"), F.col("causal_zd").alias("zd"), F.col("causal_zg").alias("zg"), "causal_dt", "confirmed_dt", "dt", "price")
+    third = cf.third_points(m, base.where("causal_dt is not null").drop("confirmed_dt").withColumnRenamed("causal_dt", "confirmed_dt"), late())
+    states = cf.formation_states(base, third, late())
+    contexts = base.select(*KEYS, "context_id", "level", "sub_level", F.when(F.col("kind") == "buy1", "buy").otherwise("sell").alias("side"), F.lit("first").alias("source"), F.col("dt").alias("anchor_dt"), F.col("price").alias("anchor_price"), "confirmed_dt")
+    ended = contexts.join(states.select(*KEYS, "context_id", "ended_dt"), [*KEYS, "context_id"], "left")
+    second = cf.second_points(m, ended, late()).select(*KEYS, "context_id", F.col("dt").alias("second_dt"), "strength")
+    handover = F.min("confirmed_dt").over(Window.partitionBy(*KEYS, "kind").orderBy("confirmed_dt").rowsBetween(1, Window.unboundedFollowing))
+    rounds = base.withColumn("handover_dt", handover)
+    return rounds.join(states, [*KEYS, "context_id"], "left").join(second, [*KEYS, "context_id"], "left").select(*KEYS, "context_id", "kind", "dt", "price", "confirmed_dt", "phase", "ended_dt", "second_dt", "strength", "handover_dt")
+
+
+@query("nested_divergence", oracles.NESTED)
+def nested_divergence(spark, sf_dir):
+    """Chains over numbers spread by arithmetic: a fixed truth table of three levels."""
+    d = spark.range(120).select(F.col("id").alias("chain_id"), F.explode(F.array(*(F.lit(x) for x in (1, 2, 3)))).alias("level"))
+    k = (F.col("chain_id") * 7 + F.col("level") * 5) % 11
+    d = d.select(
+        "chain_id", F.col("level").cast("long").alias("level"), F.when(F.col("chain_id") % 2 == 0, "up").otherwise("down").alias("direction"), F.lit(10.0).alias("ref_low"), F.lit(20.0).alias("ref_high"),
+        (11.0 - k % 4).alias("cand_low"), (19.0 + k % 4).alias("cand_high"), F.when(F.col("chain_id") % 2 == 0, 5.0).otherwise(-5.0).alias("ref_strength"), F.when(F.col("chain_id") % 2 == 0, k - 1.0).otherwise(1.0 - k).alias("cand_strength"),
+        F.timestamp_add("HOUR", (F.col("level") + k % 2).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("start_dt"), F.timestamp_add("HOUR", (20 - F.col("level")).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("end_dt"),
+    )
+    return cf.nested_divergence(d).select("chain_id", "level", "reason", *r6("ratio"), "complete", "turn_dt", "turn_price")
+
+
+@query("level_reading")
+def level_reading(spark, sf_dir):
+    return cf.level_reading(level_units(spark, sf_dir), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
+
+
+@query("change_starts_low")
+def change_starts_low(spark, sf_dir):
+    whole = st.structure(bars_of(spark, sf_dir))
+    return cf.change_starts_low(st.project(whole, "level_unit", "level", "idx", "direction"), st.project(whole, "level_up", "idx", "direction", "first", "last"))
+
+
+def cross_period(spark, sf_dir):
+    """Fine bars' structure, and the coarse period's third buy points as signals."""
+    fine, coarse = src.event_bars(spark, sf_dir, "30 minutes"), st.structure(src.event_bars(spark, sf_dir, "4 hours"))
+    third = wn.third_points(st.project(coarse, "stroke", *STROKE), st.project(coarse, "stroke_center", *CENTER))
+    named = third.join(st.project(coarse, "stroke_center", F.col("idx").alias("center"), "zd", "zg"), [*KEYS, "center"])
+    signals = named.select("symbol", F.lit("30 minutes").alias("freq"), F.concat_ws(":", "side", "center").alias("signal_id"), F.col("dt").alias("signal_dt"), "side", "zd", "zg", "price")
+    return fine, st.structure(fine), signals
+
+
+@query("run_exhaustion")
+def run_exhaustion(spark, sf_dir):
+    fine, whole, signals = cross_period(spark, sf_dir)
+    return cf.run_exhaustion(st.project(whole, "stroke", *STROKE), st.macd(fine), st.project(whole, "stroke_center", *CENTER), "down", signals.select(*KEYS, "signal_id", "signal_dt"), stale_days=40, min_prev_swing=0.00001, closes=fine)
+
+
+@query("confirm_third")
+def confirm_third(spark, sf_dir):
+    fine, whole, signals = cross_period(spark, sf_dir)
+    buys = signals.where("side = 'buy'")
+    ex = cf.run_exhaustion(st.project(whole, "stroke", *STROKE), st.macd(fine), st.project(whole, "stroke_center", *CENTER), "down", buys.select(*KEYS, "signal_id", "signal_dt"), stale_days=40)
+    return cf.confirm_third(ex, buys.select(*KEYS, "signal_id", "zd", "zg"), "buy")
+
+
+@query("confirm_second")
+def confirm_second(spark, sf_dir):
+    _, whole, signals = cross_period(spark, sf_dir)
+    m = st.project(whole, "merged", "idx", "low", "high", "start_index", "end_index", "end_dt")
+    return cf.confirm_second(wn.fractals(m), signals.select(*KEYS, "signal_id", "signal_dt", "price"), pierce_tol=0.01)
+
+
+@query("ma_points")
+def ma_points(spark, sf_dir):
+    return st.ma_points(src.with_arrival(bars_of(spark, sf_dir), "1 hour"), settings=MaSettings(min_pre_gain=0.0))
+
+
+@query("ma_point_states")
+def ma_point_states(spark, sf_dir):
+    return st.ma_point_states(src.with_arrival(bars_of(spark, sf_dir), "1 hour"))
