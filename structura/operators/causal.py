@@ -377,3 +377,105 @@ class Lineage:
                 lines.append(f"  {quote(s)} -> {quote(e.center_id)} [label={quote(e.kind)}];")
         lines += [f"  {quote(name)} -> {quote(name)} [label={quote(f'extended x{n}')}];" for name, n in sorted(counts.items())]
         return "\n".join([*lines, "}"])
+
+
+# Layers: what finer units say inside a parent's leave. ------------------------------------------------------------------
+
+
+@dataclass
+class ChainLevel:
+    depth: int
+    level: int
+    status: str
+    center: tuple[float, float] | None = None
+    forces: tuple[float, float] | None = None
+    confirmed_dt: object = None
+    dt: object = None
+    price: float | None = None
+    reference_ids: list[str] = field(default_factory=list)
+    leave_ids: list[str] = field(default_factory=list)
+
+
+def parent_leave(verdict: Verdict, units: Sequence[ConfirmedUnit], as_of, level: int) -> list[ConfirmedUnit]:
+    known = {u.move_id: u for u in visible_units(units, as_of, level)}
+    if any(i not in known for i in verdict.leave_ids):
+        raise ValueError("the leave is not visible")
+    return [known[i] for i in verdict.leave_ids]
+
+
+def read_layer(units: Sequence[ConfirmedUnit], sign: int, force: Force | None) -> tuple[str, Legs | None, tuple[float, float] | None, tuple[float, float] | None]:
+    """(status, legs, center, forces) of the last center of a finer layer that fills a parent's leave."""
+    held = [m for m in decompose([u.unit for u in units], extend=True) if m.spans]
+    if not held:
+        return "no_sub_center", None, None, None
+    move, against = held[-1], "down" if sign > 0 else "up"
+    tails = [next((i for i in range(span[2], span[1] - 1, -1) if net(units[i]) == against), None) for span in move.spans[-2:]]
+    begin = move.first if len(move.spans) == 1 else None if tails[0] is None else tails[0] + 1
+    if tails[-1] is None or begin is None:
+        return "no_compare_legs", None, None, None
+    span = move.spans[-1]
+    whole = list(units[: tails[-1] + 1])
+    legs = Legs(sign, [], [], list(units[begin : span[0]]), list(units[tails[-1] + 1 :]), whole, span)
+    if not legs.reference or not legs.leave:
+        return "no_compare_legs", None, None, None
+    center = move.centers[-1]
+    if not legs.ahead(legs.edge(legs.leave), legs.edge(whole)):
+        return "no_new_extreme", legs, center, None
+    forces = force(legs.reference, legs.leave) if force else None
+    if forces is None:
+        return "force_unavailable" if force else "force_missing", legs, center, None
+    return ("bc" if forces[1] < forces[0] else "force_not_declining"), legs, center, forces
+
+
+def nested_chain(verdict: Verdict, units: Sequence[ConfirmedUnit], layers: Sequence[tuple[int, Sequence[ConfirmedUnit]]], as_of, level: int, force: Force | None = None) -> tuple[list[ChainLevel], tuple[object, float] | None]:
+    """Finer and finer layers of a verdict's leave, until one contradicts or cannot say; the innermost agreeing turn.
+
+    level is the parent's; each layer names its units' level and must exactly fill the interval above it.
+    """
+    leave = parent_leave(verdict, units, as_of, level)
+    sign, out = (1 if verdict.kind == "sell1" else -1), []
+    upper = level
+    for depth, (name, finer) in enumerate(layers if verdict.status != "rejected" else [], 1):
+        held = visible_units(finer, as_of, upper)
+        if held and held[0].level != name:
+            raise ValueError("a layer's units are of another level")
+        inside = [u for u in held if leave[0].unit.start_dt <= u.unit.start_dt and u.unit.end_dt <= leave[-1].unit.end_dt]
+        covers = inside and inside[0].unit.start_dt == leave[0].unit.start_dt and inside[-1].unit.end_dt == leave[-1].unit.end_dt
+        if not covers:
+            out.append(ChainLevel(depth, name, "not_covered", confirmed_dt=inside[-1].confirmed_dt if inside else None))
+            break
+        if inside[0].unit.start != leave[0].unit.start or inside[-1].unit.end != leave[-1].unit.end:
+            raise ValueError("a layer does not meet the prices above it")
+        status, legs, center, forces = read_layer(inside, sign, force)
+        row = ChainLevel(depth, name, status, center, forces, inside[-1].confirmed_dt)
+        if legs is not None:
+            row.dt, row.price = legs.leave[-1].unit.end_dt, legs.edge(legs.leave)
+            row.reference_ids, row.leave_ids = [u.move_id for u in legs.reference], [u.move_id for u in legs.leave]
+        out.append(row)
+        if status not in ("bc", "force_missing", "force_unavailable"):
+            break
+        leave, upper = legs.leave, name
+    turn = next(((r.dt, r.price) for r in reversed(out) if r.status == "bc"), None)
+    return out, turn
+
+
+def completion_cascade(verdict: Verdict, units: Sequence[ConfirmedUnit], layers: Sequence[tuple[int, Sequence[ConfirmedUnit]]], as_of, level: int) -> list[tuple[int, str, str, object]]:
+    """(level, unit, status, confirmed_dt) per layer: is the last unit above exactly a completed move of finer units?"""
+    top, out = parent_leave(verdict, units, as_of, level)[-1], []
+    for name, finer in layers:
+        held = visible_units(finer, as_of, top.level)
+        at = next((i for i, u in enumerate(held) if u.unit.start_dt == top.unit.start_dt), None)
+        match = None
+        if at is None:
+            status = "unverified" if any(u.unit.end_dt > top.unit.start_dt for u in held) else "not_covered"
+        else:
+            if held[at].unit.start != top.unit.start:
+                raise ValueError("a layer does not meet the prices above it")
+            done = confirm_levels(held[at:], as_of, top.level)
+            match = next((m for m in done if (m.start_dt, m.end_dt, m.start, m.end) == (top.unit.start_dt, top.unit.end_dt, top.unit.start, top.unit.end)), None)
+            status = "confirmed" if match else "unverified"
+        out.append((name, top.move_id, status, match.confirmed_dt if match else None))
+        if match is None:
+            break
+        top = next(u for u in held if u.move_id == match.unit_ids[-1])
+    return out

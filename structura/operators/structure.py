@@ -294,3 +294,31 @@ def ma_point_states(bars: DataFrame, as_of=None, settings: ma_candidates.Setting
         yield s | {"reasons": ",".join(s["reasons"])}
 
     return per_series(bars, fold, {"status": "string", "direction": "string", "reasons": "string"}, columns=_MA_COLUMNS)
+
+
+def strict_layers(units: DataFrame, as_of=None, level: int = 3, force=None, force_method: str | None = None) -> DataFrame:
+    """units with a column layer (0 the coarsest): each verdict of layer 0, its chain and its completion cascade."""
+    fields = {"record": "string", "move_id": "string", "depth": "int", "level": "int", "status": "string", "zd": "double", "zg": "double", "dt": "timestamp_ntz", "price": "double", "confirmed_dt": "timestamp_ntz"}
+
+    def fold(layer, *columns) -> Iterator[dict]:
+        split: dict[int, list[int]] = {}
+        for i, k in enumerate(layer):
+            split.setdefault(k, []).append(i)
+        held = {k: _held_units([[c[i] for i in at] for c in columns]) for k, at in split.items()}
+        if 0 not in held:
+            return
+        coarse = held.pop(0)
+        at = as_of if as_of is not None else max(u.confirmed_dt for part in [coarse, *held.values()] for u in part)
+        layers = [(part[0].level, part) for _, part in sorted(held.items())]
+        for v in causal.strict_scan(coarse, at, level, force, force_method)[0]:
+            yield {"record": "verdict", "move_id": v.move_id, "depth": 0, "level": level, "status": v.status, "dt": v.dt, "price": v.price}
+            chain, turn = causal.nested_chain(v, coarse, layers, at, level, force)
+            for r in chain:
+                zd, zg = r.center or (None, None)
+                yield {"record": "chain", "move_id": v.move_id, "depth": r.depth, "level": r.level, "status": r.status, "zd": zd, "zg": zg, "dt": r.dt, "price": r.price, "confirmed_dt": r.confirmed_dt}
+            if turn:
+                yield {"record": "turn", "move_id": v.move_id, "dt": turn[0], "price": turn[1]}
+            for k, (name, unit, status, known) in enumerate(causal.completion_cascade(v, coarse, layers, at, level), 1):
+                yield {"record": "completion", "move_id": unit, "depth": k, "level": name, "status": status, "confirmed_dt": known}
+
+    return per_series(units, fold, fields, columns=["layer", *UNIT_COLUMNS])

@@ -601,3 +601,15 @@ def ma_points(spark, sf_dir):
 @query("ma_point_states")
 def ma_point_states(spark, sf_dir):
     return st.ma_point_states(src.with_arrival(bars_of(spark, sf_dir), "1 hour"))
+
+
+@query("strict_layers")
+def strict_layers(spark, sf_dir):
+    """Complete segments as the coarse layer, strokes as the fine one."""
+    from .operators.causal import travel
+
+    whole = st.structure(bars_of(spark, sf_dir))
+    fine = units_of(spark, sf_dir).withColumn("layer", F.lit(1))
+    coarse = st.project(whole, "segment", "idx", "direction", "start_value", "end_value", "low", "high", "start_dt", "end_dt", "evidence_dt", "complete").where("complete")
+    coarse = coarse.select(*KEYS, F.col("idx").alias("seq"), F.concat_ws(":", F.lit("segment"), "idx").alias("move_id"), F.lit(2).alias("level"), "direction", "start_value", "end_value", "low", "high", "start_dt", "end_dt", F.expr("evidence_dt + interval 2 hours").alias("confirmed_dt"), F.lit(0).alias("layer"))
+    return st.strict_layers(coarse.unionByName(fine), force=lambda a, b: (travel(a), travel(b)), force_method="travel")

@@ -64,3 +64,23 @@ def test_no_rewrite_as_units_arrive():
         versions = [(v.center_id, v.version, v.zd, v.gg, v.dd) for v in causal.Lineage(held, u.confirmed_dt, 2).versions]
         assert now[: len(last_points)] == last_points and versions[: len(last_versions)] == last_versions
         last_points, last_versions = now, versions
+
+
+def test_layers_of_a_leave():
+    coarse = units()
+    at = coarse[-1].confirmed_dt
+    force = lambda a, b: (causal.travel(a), causal.travel(b))
+    (v, *_), _ = causal.strict_scan(coarse, at, 3, force, "travel")
+    fine = []
+    for u in coarse:  # three finer units inside each coarse one, the middle one against it
+        a, b, step = u.unit.start, u.unit.end, (u.unit.end_dt - u.unit.start_dt) / 3
+        for k, (x, y) in enumerate([(a, a + (b - a) * 0.6), (a + (b - a) * 0.6, a + (b - a) * 0.4), (a + (b - a) * 0.4, b)]):
+            s, e = u.unit.start_dt + step * k, u.unit.start_dt + step * (k + 1)
+            fine.append(ConfirmedUnit(f"{u.move_id}.{k}", 0, Unit("up" if y > x else "down", x, y, 0, 1, min(x, y), max(x, y), s, e), e + timedelta(minutes=1)))
+    fine.sort(key=lambda u: u.unit.start_dt)
+    chain, turn = causal.nested_chain(v, coarse, [(0, fine)], at, 3, force)
+    assert [r.depth for r in chain] == [1] and chain[0].status != "not_covered"
+    assert turn is None or turn == (chain[0].dt, chain[0].price)
+    assert causal.nested_chain(v, coarse, [(0, fine[:-40])], at, 3, force)[0][0].status == "not_covered"
+    steps = causal.completion_cascade(v, coarse, [(0, fine)], at, 3)
+    assert steps[0][1] == v.leave_ids[-1] and steps[0][2] in ("confirmed", "unverified")
