@@ -21,56 +21,65 @@ class MergedBar:
     low: float
 
 
+def merge_next(out: list[MergedBar], i: int, h: float, l: float) -> None:  # noqa: E741
+    """Fold bar i into the last merged bar if either range holds the other, outward along the run's direction."""
+    tip = out[-1] if out else None
+    inside = tip is not None and ((h <= tip.high and l >= tip.low) or (h >= tip.high and l <= tip.low))
+    if not inside:
+        out.append(MergedBar(i, i, h, l))
+        return
+    rising = tip.high >= out[-2].high if len(out) > 1 else h >= tip.high
+    pick = max if rising else min
+    tip.high, tip.low, tip.last = pick(tip.high, h), pick(tip.low, l), i
+
+
 def merge_contained(high: Sequence[float], low: Sequence[float]) -> list[MergedBar]:
-    """Fold bars whose range lies inside their neighbour's into the last merged bar, outward along the run's direction."""
     out: list[MergedBar] = []
     for i, (h, l) in enumerate(zip(high, low)):  # noqa: E741
-        tip = out[-1] if out else None
-        inside = tip is not None and ((h <= tip.high and l >= tip.low) or (h >= tip.high and l <= tip.low))
-        if not inside:
-            out.append(MergedBar(i, i, h, l))
-            continue
-        rising = tip.high >= out[-2].high if len(out) > 1 else h >= tip.high
-        pick = max if rising else min
-        tip.high, tip.low, tip.last = pick(tip.high, h), pick(tip.low, l), i
+        merge_next(out, i, h, l)
     return out
 
 
+def fractal_at(bars: Sequence[MergedBar], k: int) -> str | None:
+    """The kind of the strict three-bar double extreme around bar k."""
+    a, b, c = bars[k - 1], bars[k], bars[k + 1]
+    if b.high > max(a.high, c.high) and b.low > max(a.low, c.low):
+        return TOP
+    if b.high < min(a.high, c.high) and b.low < min(a.low, c.low):
+        return BOTTOM
+    return None
+
+
 def fractal_points(bars: Sequence[MergedBar]) -> list[tuple[str, int]]:
-    """(kind, position of the middle bar) of every strict three-bar double extreme."""
-    out = []
-    for k in range(1, len(bars) - 1):
-        a, b, c = bars[k - 1], bars[k], bars[k + 1]
-        if b.high > max(a.high, c.high) and b.low > max(a.low, c.low):
-            out.append((TOP, k))
-        elif b.high < min(a.high, c.high) and b.low < min(a.low, c.low):
-            out.append((BOTTOM, k))
-    return out
+    """(kind, position of the middle bar) of every fractal."""
+    return [(kind, k) for k in range(1, len(bars) - 1) if (kind := fractal_at(bars, k))]
+
+
+def pivot_next(chain: list[tuple[str, int]], bars: Sequence[MergedBar], kind: str, k: int, min_gap: int, standard: str = "81", ma5: Sequence[float | None] | None = None) -> None:
+    """Take one fractal into the chain: it moves the last pivot, follows it, or is passed over."""
+    if not chain:
+        chain.append((kind, k))
+        return
+    last_kind, j = chain[-1]
+    value = lambda i: bars[i].high if kind == TOP else bars[i].low
+    if kind == last_kind:
+        gain = value(k) - value(j)
+        if gain > 0 if kind == TOP else gain < 0:
+            chain[-1] = (kind, k)
+        return
+    top, bottom = (j, k) if last_kind == TOP else (k, j)
+    if k - j - 1 < min_gap or bars[top].high <= bars[bottom].low:
+        return
+    if standard == "106" and not _six_bar_rule(bars, ma5 or [], j, k, UP if kind == TOP else DOWN):
+        return
+    chain.append((kind, k))
 
 
 def pivot_chain(bars: Sequence[MergedBar], points: Sequence[tuple[str, int]], min_gap: int = 3, standard: str = "81", ma5: Sequence[float | None] | None = None) -> list[tuple[str, int]]:
     """Alternating pivots; a stroke runs between neighbours. A more extreme fractal of the same kind moves the last pivot."""
     chain: list[tuple[str, int]] = []
-
-    def value(kind: str, k: int) -> float:
-        return bars[k].high if kind == TOP else bars[k].low
-
     for kind, k in points:
-        if not chain:
-            chain.append((kind, k))
-            continue
-        last_kind, j = chain[-1]
-        if kind == last_kind:
-            gain = value(kind, k) - value(kind, j)
-            if gain > 0 if kind == TOP else gain < 0:
-                chain[-1] = (kind, k)
-            continue
-        top, bottom = (j, k) if last_kind == TOP else (k, j)
-        if k - j - 1 < min_gap or bars[top].high <= bars[bottom].low:
-            continue
-        if standard == "106" and not _six_bar_rule(bars, ma5 or [], j, k, UP if kind == TOP else DOWN):
-            continue
-        chain.append((kind, k))
+        pivot_next(chain, bars, kind, k, min_gap, standard, ma5)
     return chain
 
 

@@ -83,21 +83,21 @@ def points_of(bars: Bars, s: Structure) -> list[dict]:
     return [p for side in ("buy", "sell") for p in signals.turning_points(s.strokes, s.stroke_centers, found, side)]
 
 
-Record = tuple[str, str, str]
+def _fractal_record(bars: Bars, merged: Sequence[MergedBar], kind: str, k: int) -> tuple[tuple[str, str], str]:
+    a, m, b = merged[k - 1 : k + 2]
+    low = min(a.low, m.low, b.low) if kind == TOP else m.low
+    high = m.high if kind == TOP else max(a.high, m.high, b.high)
+    return ("fractal", f"{kind}@{m.first}"), f"{bars.dt[m.last]}|{high!r}|{low!r}|{a.first}-{b.last}"
 
 
-def records(bars: Bars, s: Structure) -> dict[tuple[str, str], str]:
-    """(field, identity) -> content of fractals, strokes and points; identities do not change when bars merge later."""
+def _stroke_record(merged: Sequence[MergedBar], u: Unit) -> tuple[tuple[str, str], str]:
+    return ("stroke", f"{u.direction}@{merged[u.start_index].first}"), f"{u.start_dt}|{u.end_dt}|{u.start!r}|{u.end!r}"
+
+
+def _point_records(strokes: Sequence[Unit], centers: Sequence[Center], points: Sequence[dict]) -> dict[tuple[str, str], str]:
     out: dict[tuple[str, str], str] = {}
-    for kind, k in s.fractals:
-        a, m, b = s.merged[k - 1 : k + 2]
-        low = min(a.low, m.low, b.low) if kind == TOP else m.low
-        high = m.high if kind == TOP else max(a.high, m.high, b.high)
-        out["fractal", f"{kind}@{m.first}"] = f"{bars.dt[m.last]}|{high!r}|{low!r}|{a.first}-{b.last}"
-    for u in s.strokes:
-        out["stroke", f"{u.direction}@{s.merged[u.start_index].first}"] = f"{u.start_dt}|{u.end_dt}|{u.start!r}|{u.end!r}"
-    for p in points_of(bars, s):
-        key = ("signal", f"{p['side']}{p['type']}@{p['dt']}@{s.strokes[s.stroke_centers[p['center']].first].start_dt}")
+    for p in points:
+        key = ("signal", f"{p['side']}{p['type']}@{p['dt']}@{strokes[centers[p['center']].first].start_dt}")
         text = f"{p['price']!r}|{p['ratio']!r}"
         if out.get(key, text) != text:
             raise ValueError(f"one identity, two signals: {key[1]}")
@@ -105,6 +105,13 @@ def records(bars: Bars, s: Structure) -> dict[tuple[str, str], str]:
     return out
 
 
+def records(bars: Bars, s: Structure) -> dict[tuple[str, str], str]:
+    """(field, identity) -> content of fractals, strokes and points; identities do not change when bars merge later."""
+    out = dict(_fractal_record(bars, s.merged, kind, k) for kind, k in s.fractals)
+    out |= dict(_stroke_record(s.merged, u) for u in s.strokes)
+    return out | _point_records(s.strokes, s.stroke_centers, points_of(bars, s))
+
+
 def confirmed_records(bars: Bars, s: Structure) -> dict[tuple[str, str], str]:
     """The conservative view: all strokes but the last, complete segments of those, and the centers of these segments."""
     strokes = s.strokes[:-1]
@@ -146,3 +153,96 @@ def replay(bars: Bars, observed: Sequence[tuple[object, Bars]], confirmed: bool
             if key not in now:
                 yield Change("withdrawn", *key, first_seen[key], at, text, None)
         last = now
+
+
+class PrefixReplay:
+    """The ledger over growing prefixes of one series, bar by bar.
+
+    A new bar can only change the last merged bar, hence the last fractal, hence the last pivot; everything before stands.
+    So a step touches the ends of the lists, and points are read anew only when a stroke has changed. Averages of a
+    prefix are the prefix of the whole series' averages.
+    """
+
+    def __init__(self, bars: Bars, min_gap: int | None = None, standard: str = "81"):
+        self.bars, self.gap, self.standard = bars, min_gap_of(standard, min_gap), standard
+        self.areas = signals.Areas(averages.macd(bars.close)[2], bars.dt)
+        self.merged: list[MergedBar] = []
+        self.settled: list[tuple[str, int]] = []  # pivots from fractals that no later bar can change
+        self.next_fractal = 1
+        self.fractals: list[tuple[tuple[str, str], str]] = []
+        self.fixed = 0  # fractal records that stand
+        self.strokes: list[tuple[tuple[str, str], str]] = []
+        self.chain: list[tuple[str, int]] = []
+        self.units: list[Unit] = []
+        self.points: dict[tuple[str, str], str] = {}
+        self.first_seen: dict[tuple[str, str], object] = {}
+
+    def _ma5(self) -> list[float | None] | None:
+        if self.standard != "106":
+            return None
+        return raw_ma5(self.bars, self.merged)
+
+    def step(self, i: int) -> None:
+        base_chain.merge_next(self.merged, i, self.bars.high[i], self.bars.low[i])
+
+    def _chain(self) -> tuple[list[tuple[str, int]], list[tuple[tuple[str, str], str]]]:
+        """The pivot chain now, and the fractal records from the first that may have changed."""
+        n, tail = len(self.merged), []
+        ma5 = self._ma5()
+        take = lambda chain, kind, k: base_chain.pivot_next(chain, self.merged, kind, k, self.gap, self.standard, ma5)
+        while self.next_fractal < n - 2:  # its three bars are closed
+            if kind := base_chain.fractal_at(self.merged, self.next_fractal):
+                take(self.settled, kind, self.next_fractal)
+                tail.append(_fractal_record(self.bars, self.merged, kind, self.next_fractal))
+            self.next_fractal += 1
+        self.closed = len(tail)
+        chain = self.settled
+        if n > 2 and self.next_fractal == n - 2 and (kind := base_chain.fractal_at(self.merged, n - 2)):
+            chain = list(self.settled)
+            take(chain, kind, n - 2)
+            tail.append(_fractal_record(self.bars, self.merged, kind, n - 2))
+        return chain, tail
+
+    def observe(self, at) -> Iterator[Change]:
+        """What changed since the last observation."""
+        chain, tail = self._chain()
+        yield from self._diff(dict(self.fractals[self.fixed :]), dict(tail), at)
+        self.fractals[self.fixed :] = tail
+        self.fixed += self.closed
+        if chain == self.chain:
+            return
+        keep = max(0, min(len(chain), len(self.chain)) - 3)
+        while keep and chain[: keep + 1][-1] != self.chain[keep]:
+            keep -= 1
+        fresh = stroke_units(self.bars, self.merged, chain[keep:])
+        self.units[keep:] = fresh
+        now = [_stroke_record(self.merged, u) for u in fresh]
+        yield from self._diff(dict(self.strokes[keep:]), dict(now), at)
+        self.strokes[keep:] = now
+        self.chain = list(chain)
+        centers = base_chain.centers_of(self.units)
+        found = signals.trend_divergences(self.units, centers, self.areas)
+        points = [p for side in ("buy", "sell") for p in signals.turning_points(self.units, centers, found, side)]
+        after = _point_records(self.units, centers, points)
+        yield from self._diff(self.points, after, at)
+        self.points = after
+
+    def _diff(self, before: dict, after: dict, at) -> Iterator[Change]:
+        for key, text in after.items():
+            if key not in before:
+                self.first_seen.setdefault(key, at)
+                yield Change("appeared", *key, self.first_seen[key], at, None, text)
+            elif before[key] != text:
+                yield Change("revised", *key, self.first_seen[key], at, before[key], text)
+        for key, text in before.items():
+            if key not in after:
+                yield Change("withdrawn", *key, self.first_seen[key], at, text, None)
+
+
+def replay_prefixes(bars: Bars, step: int = 1, min_gap: int | None = None, standard: str = "81") -> Iterator[Change]:
+    """The ledger at every step-th bar, counted from the last."""
+    state, n = PrefixReplay(bars, min_gap, standard), len(bars.dt)
+    for i in range(n):
+        state.step(i)
+        if (n - 1 - i) % step == 0:
+            yield from state.observe(bars.dt[i])

@@ -146,9 +146,7 @@ def replay_ledger(bars: DataFrame, step: int = 1, min_gap: int | None = None, st
     """Changes of fractals, strokes and points as each step-th bar (counted from the last) becomes visible."""
 
     def fold(*columns) -> Iterator[dict]:
-        b = series.Bars(*columns)
-        grid = [k for k in range(1, len(b.dt) + 1) if (len(b.dt) - k) % step == 0]
-        for c in series.replay(b, ((b.dt[k - 1], b.head(k)) for k in grid), False, min_gap, standard):
+        for c in series.replay_prefixes(series.Bars(*columns), step, min_gap, standard):
             yield {n: getattr(c, n) for n in LEDGER}
 
     return per_series(bars, fold, LEDGER)

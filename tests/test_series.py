@@ -41,3 +41,14 @@ def test_ledger_counts_and_replay():
             state[c.field, c.identity] = c.after
     assert state == series.records(bars, series.read_structure(bars))
     assert kinds == {"appeared": 541, "revised": 53, "withdrawn": 4}
+
+
+@pytest.mark.parametrize("standard", ["81", "106"])
+@pytest.mark.parametrize("step", [1, 3])
+def test_incremental_replay_equals_independent_prefix_runs(standard, step):
+    bars = walk(260, 7)
+    n = len(bars.dt)
+    grid = [k for k in range(1, n + 1) if (n - k) % step == 0]
+    key = lambda c: (str(c.observed), c.field, c.identity, c.kind, str(c.first_seen), c.before or "", c.after or "")
+    want = sorted(map(key, series.replay(bars, [(bars.dt[k - 1], bars.head(k)) for k in grid], standard=standard)))
+    assert sorted(map(key, series.replay_prefixes(bars, step, standard=standard))) == want
