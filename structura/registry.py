@@ -613,3 +613,18 @@ def strict_layers(spark, sf_dir):
     coarse = st.project(whole, "segment", "idx", "direction", "start_value", "end_value", "low", "high", "start_dt", "end_dt", "evidence_dt", "complete").where("complete")
     coarse = coarse.select(*KEYS, F.col("idx").alias("seq"), F.concat_ws(":", F.lit("segment"), "idx").alias("move_id"), F.lit(2).alias("level"), "direction", "start_value", "end_value", "low", "high", "start_dt", "end_dt", F.expr("evidence_dt + interval 2 hours").alias("confirmed_dt"), F.lit(0).alias("layer"))
     return st.strict_layers(coarse.unionByName(fine), force=lambda a, b: (travel(a), travel(b)), force_method="travel")
+
+
+# Depth ----------------------------------------------------------------------------------------------------------------
+
+
+@query("structure_10m")
+def structure_10m(spark, sf_dir):
+    """All records of ten-minute bars, counted."""
+    return st.structure(src.event_bars(spark, sf_dir, "10 minutes")).groupBy(*KEYS, "record").count()
+
+
+@query("replay_full_grid")
+def replay_full_grid(spark, sf_dir):
+    """The ledger at every ten-minute bar, counted by kind."""
+    return st.replay_ledger(src.event_bars(spark, sf_dir, "10 minutes")).groupBy(*KEYS, "kind", "field").count()
