@@ -67,11 +67,9 @@ class Workspace:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Size of the input as the optimizer knows it from the files' sizes; 0 if it cannot tell."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001  a size is only a hint for the number of partitions
-        return 0
+    """Size of the input's files, as the optimizer knows it; 0 where it does not (its default is beyond any input)."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
 
 
 def partitions(spark: SparkSession, rows: int, per_task: int) -> int:

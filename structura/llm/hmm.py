@@ -32,37 +32,63 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, text_rows
 
-_MEMORY = 700_000
-_PADDED = 600_000
+_MEMORY = 350_000
+_PADDED = 300_000
+
+
+class _Tails(dict):
+    """Class of a word's last three bytes."""
+
+    def __init__(self, first: int, classes: int):
+        super().__init__()
+        self.first, self.classes = first, classes
+
+    def __missing__(self, tail: bytes) -> int:
+        k = self[tail] = self.first + zlib.crc32(tail) % self.classes
+        if len(self) > _MEMORY:
+            self.clear()
+        return k
+
+
+class _Words(dict):
+    """Classes of the top words; any other word's by its tail, unless it is looked up as itself."""
+
+    def __missing__(self, word: bytes) -> int:
+        return self.tails[word[-3:]]
 
 
 class Classes:
     """The class of each word; the end is class 0."""
 
     def __init__(self, top: list[bytes], tail_classes: int):
-        self.top = {w: k + 1 for k, w in enumerate(top)}
+        self.top = list(top)
         self.first_tail = len(top) + 1
         self.size = self.first_tail + tail_classes
         self.tail_classes = tail_classes
-        self.held: dict[bytes, int] = {}
+        self.kind = np.dtype("<i2" if self.size < 1 << 15 else "<i4")
+        self._words()
+
+    def _words(self) -> None:
+        # both tables stay small, which keeps a look-up within the processor's caches
+        self.words = _Words({w: k + 1 for k, w in enumerate(self.top)})
+        self.words.tails = _Tails(self.first_tail, self.tail_classes)
 
     def of_word(self, word: bytes) -> int:
-        return self.top.get(word) or self.first_tail + zlib.crc32(word[-3:]) % self.tail_classes
+        return self.words[word]
 
     def of_text(self, raw: bytes) -> np.ndarray:
         """Classes of the text's words, then the end."""
         words = raw.lower().split()
-        held = self.held
-        if len(held) > _MEMORY:
-            held.clear()
-        for w in set(words).difference(held):
-            held[w] = self.of_word(w)
-        out = np.zeros(len(words) + 1, dtype=np.int32)
-        out[:-1] = np.fromiter(map(held.__getitem__, words), dtype=np.int32, count=len(words))
+        out = np.zeros(len(words) + 1, dtype=self.kind)
+        out[:-1] = np.fromiter(map(self.words.__getitem__, words), dtype=self.kind, count=len(words))
         return out
 
     def __getstate__(self):
-        return self.__dict__ | {"held": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "words"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._words()
 
 
 @dataclass
@@ -100,30 +126,35 @@ class Hmm:
         return out
 
     def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts, moves and emissions of one pass over the sequences."""
+        """Expected starts, moves and emissions of one pass over the sequences.
+
+        Scaled values lie near one, so single precision is enough here; sums are in double.
+        """
         states, symbols_n = self.emit.shape
         start, move, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols_n))
-        emit = np.ascontiguousarray(self.emit.T)
+        emit, step = np.ascontiguousarray(self.emit.T, dtype=np.float32), self.move.astype(np.float32)
+        back = np.ascontiguousarray(step.T)
         for part, symbols, active in self.batches(sequences):
             steps = len(active)
-            alpha, scale = np.zeros((steps, len(part), states)), np.ones((steps, len(part)))
-            now = np.broadcast_to(self.start, (len(part), states))
+            alpha, seen = np.zeros((steps, len(part), states), dtype=np.float32), np.zeros((steps, len(part), states), dtype=np.float32)
+            now = np.broadcast_to(self.start.astype(np.float32), (len(part), states))
             for t, n in enumerate(active):
-                now = (now[:n] @ self.move if t else now[:n]) * emit[symbols[t, :n]]
-                scale[t, :n] = now.sum(axis=1)
-                now = now / scale[t, :n, None]
-                alpha[t, :n] = now
-            beta = np.ones((len(part), states))
+                now = (now[:n] @ step if t else now[:n]) * emit[symbols[t, :n]]
+                scale = now.sum(axis=1, keepdims=True)
+                now = np.divide(now, scale, out=alpha[t, :n])
+                np.divide(emit[symbols[t, :n]], scale, out=seen[t, :n])
+            beta = np.ones((len(part), states), dtype=np.float32)
+            total = np.zeros((states, states))
             for t in range(steps - 2, -1, -1):
                 n = active[t + 1]
-                ahead = emit[symbols[t + 1, :n]] * beta[:n] / scale[t + 1, :n, None]
-                move += self.move * (alpha[t, :n].T @ ahead)
-                beta[:n] = ahead @ self.move.T
+                ahead = seen[t + 1, :n] * beta[:n]
+                total += alpha[t, :n].T @ ahead
+                beta[:n] = ahead @ back
                 alpha[t, :n] *= beta[:n]  # now the posterior of the states; where a sequence ends it is alpha itself
-            start += alpha[0].sum(axis=0)
+            move += self.move * total
+            start += alpha[0].sum(axis=0, dtype=np.float64)
             inside = np.arange(len(part)) < active[:, None]
-            flat = symbols[inside]
-            gamma = alpha[inside]
+            flat, gamma = symbols[inside], alpha[inside]
             for k in range(states):
                 emitted[k] += np.bincount(flat, weights=gamma[:, k], minlength=symbols_n)
         return start, move, emitted
@@ -167,9 +198,9 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for raw in batch.column(1).cast(pa.binary()):
             held.update(raw.as_py().lower().split())
-        if len(held) > _MEMORY:
-            yield _words(held)
-            held.clear()
+            if len(held) > _MEMORY:
+                yield _words(held)
+                held.clear()
     yield _words(held)
 
 
@@ -223,37 +254,39 @@ def fit(
     unseen[tail] = np.where(class_tokens[tail] > 0, (once[tail] + 0.5) / (class_tokens[tail] + 1), 1.0)
     prior = (class_tokens + 0.5) / (class_tokens + 0.5).sum()
 
-    spread = 1 << 20
-    share = min(spread, math.ceil(spread * start_docs / n_docs)) if n_docs else 0
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < share)
-
     def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [classes.of_text(raw.as_py()).tolist() for raw in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "classes"])
+            found = [classes.of_text(raw.as_py()).tobytes() for raw in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "classes"])
 
-    rows = [(r.doc_id, r.classes) for r in sample.mapInArrow(class_rows, "doc_id long, classes array<int>").collect()] if n_docs else []
-    hmm = mixture_start([np.array(c, dtype=np.int32) for _, c in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))], classes.size, states, prior)
+    # each text is split and classed once; every round reads these
+    sequences = ws.write(docs.mapInArrow(class_rows, "doc_id long, classes binary"), "sequences")
+    spread = 1 << 20
+    share = min(spread, math.ceil(spread * start_docs / n_docs)) if n_docs else 0
+    sample = sequences.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < share).collect() if n_docs else []
+    rows = sorted(((r.doc_id, bytes(r.classes)) for r in sample), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    hmm = mixture_start([np.frombuffer(c, dtype=classes.kind) for _, c in rows], classes.size, states, prior)
 
     for _ in range(rounds if n_docs else 0):
-        hmm = _baum_welch(docs, classes, hmm, prior)
+        hmm = _baum_welch(sequences, classes, hmm, prior)
+    ws.drop("sequences")
     return Model(classes, hmm, tokens + n_docs, words + bool(n_docs), class_tokens, unseen), counts
 
 
-def _baum_welch(docs: DataFrame, classes: Classes, hmm: Hmm, prior: np.ndarray) -> Hmm:
-    """One round over all documents. Expected counts leave a task as (state, place, value) rows and are summed by key."""
+def _baum_welch(sequences: DataFrame, classes: Classes, hmm: Hmm, prior: np.ndarray) -> Hmm:
+    """One round over all documents. Expected counts leave a task as (place, value by state) rows and are summed by key."""
     states, symbols = hmm.emit.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((states, 1 + states + symbols))
         for batch in batches:
-            start, move, emitted = hmm.expected([classes.of_text(raw.as_py()) for raw in batch.column(1).cast(pa.binary())])
+            start, move, emitted = hmm.expected([np.frombuffer(x.as_buffer(), dtype=classes.kind) for x in batch.column(0)])
             total += np.hstack([start[:, None], move, emitted])
         at = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[k, at]) for k in range(states))], names=["place", *(f"s{k}" for k in range(states))])
 
     names = [f"s{k}" for k in range(states)]
-    rows = docs.mapInArrow(run, "place long, " + ", ".join(f"{x} double" for x in names)).groupBy("place").agg(*(F.sum(x).alias(x) for x in names))
+    rows = sequences.select("classes").mapInArrow(run, "place long, " + ", ".join(f"{x} double" for x in names)).groupBy("place").agg(*(F.sum(x).alias(x) for x in names))
     total = np.zeros((states, 1 + states + symbols))
     for part in rows.toArrow().to_batches():
         total[:, part.column(0).to_numpy()] = np.array([part.column(k + 1).to_numpy() for k in range(states)])
@@ -267,41 +300,55 @@ def score(df: DataFrame, model: Model, counts: DataFrame, buckets: int, id_col:
     """One row per text: sizes, the unigram base and the model's log10 probability."""
     spark = df.sparkSession
     docs = text_rows(df, id_col, text_col).select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), "doc_id", "text").repartition(buckets, "bucket")
-    asked = docs.select("bucket", "text").mapInArrow(_asked_batches, "bucket long, word string").distinct()
+    # a bucket may ask for a word twice; its table of counts does not mind. All columns go in, so that both uses of
+    # the dealt documents are one exchange
+    asked = docs.mapInArrow(_asked_batches, "bucket long, word string")
     known = asked.join(counts, "word").select("bucket", "word", "c").repartition(buckets, "bucket")
     shared = spark.sparkContext.broadcast(model)  # of fixed size
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         m = shared.value
-        held = dict(zip(right.column("word").cast(pa.binary()).to_pylist(), right.column("c").to_pylist()))
-        whole = math.log10(m.tokens + m.distinct + 1)
-        out, sequences = [], []
-        for doc, raw in zip(left.column("doc_id").to_pylist(), left.column("text").cast(pa.binary()).to_pylist()):
-            words = raw.lower().split()
-            c = np.fromiter((held.get(w, 0) for w in words), dtype=np.int64, count=len(words))
-            cls = m.classes.of_text(raw)
-            c = np.append(c, int(m.class_tokens[0]))
-            inner = float(m.within(cls[:-1], c[:-1]).sum()) if words else 0.0
-            out.append((doc, len(c), int((c > 0).sum()), m.tokens, float(np.log10(c + 1).sum() - whole * len(c)), inner))
-            sequences.append(cls)
+        words = right.column("word").cast(pa.binary()).to_pylist()
+        held = dict(zip(words, range(len(words))))
+        known, of_word = len(words), m.classes.of_word
+        cls, c = [of_word(w) for w in words], right.column("c").to_pylist()
+        texts = left.column("text").cast(pa.binary())
+        for raw in texts:  # split here and again below: the words of a whole bucket would take too much memory
+            for w in set(raw.as_py().lower().split()).difference(held):
+                held[w] = len(cls)
+                cls.append(of_word(w))
+        cls, c = np.array(cls, dtype=np.int32), np.array(c + [0] * (len(cls) - known), dtype=np.int64)
+        base, within = np.log10(c + 1.0), m.within(cls, c) / math.log(10)
+        whole, end = math.log10(m.tokens + m.distinct + 1), int(m.class_tokens[0])
+        out: list[tuple] = []
+        sequences = []
+        for doc, raw in zip(left.column("doc_id").to_pylist(), texts):
+            text = raw.as_py().lower().split()
+            at = np.fromiter(map(held.__getitem__, text), dtype=np.int64, count=len(text))
+            n = len(at) + 1
+            out.append((doc, n, int((at < known).sum()) + (end > 0), m.tokens, float(base[at].sum() + math.log10(end + 1) - whole * n), float(within[at].sum())))
+            sequences.append(np.append(cls[at], np.int32(0)))
         logs = m.hmm.log_likelihoods(sequences)
         columns = list(zip(*out)) if out else [()] * 6
-        kinds = [pa.int64()] * 4 + [pa.float64()]
-        arrays = [pa.array(x, k) for x, k in zip(columns, kinds)] + [pa.array((np.array(columns[5]) + logs) / math.log(10), pa.float64())]
+        arrays = [pa.array(x, k) for x, k in zip(columns, [pa.int64()] * 4 + [pa.float64()])] + [pa.array(np.array(columns[5]) + logs / math.log(10), pa.float64())]
         return pa.Table.from_arrays(arrays, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, SCHEMA)
 
 
 def _asked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (bucket, word) of what a task has seen."""
+    """(bucket, word) pairs of what a task has seen, each once while memory lasts."""
     held: dict[int, set[bytes]] = {}
+    size = 0
     for batch in batches:
-        for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-            held.setdefault(bucket, set()).update(raw.as_py().lower().split())
-        if sum(map(len, held.values())) > _MEMORY:
-            yield _asked(held)
-            held.clear()
+        for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary())):
+            words = held.setdefault(bucket, set())
+            size -= len(words)
+            words.update(raw.as_py().lower().split())
+            size += len(words)
+            if size > 2 * _MEMORY:
+                yield _asked(held)
+                held, size = {}, 0
     yield _asked(held)
 
 

@@ -99,8 +99,8 @@ def op6_word_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model, counts = hmm.fit(docs, crc_mod("doc_id", 7) != 2, Workspace(spark, "hmm"))
-    # compressed text grows by about two; a bucket holds some 20 MB of it
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // 10_000_000)
+    # compressed text grows by about two: a bucket holds some 25 MB of it, and the counts of its own words
+    buckets = max(12, input_bytes(docs) // 12_000_000)
     found = hmm.score(docs, model, counts, buckets)
     return found.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
