@@ -33,7 +33,9 @@ from .common import filter_texts, text_rows
 
 CARRIER = bytes(range(1, 33))
 THRESHOLDS = (3, 4, 5, 6)
-_MEMORY = 400_000
+FEATURES = 2 * len(THRESHOLDS) + 2
+_MEMORY = 300_000
+_PAIRS = 200_000
 _WINDOW = 64
 
 
@@ -68,17 +70,30 @@ class Model:
 
 
 class Margins:
-    """Margins of windows, by word, with a bounded memory."""
+    """Margins of windows, by word, with a bounded memory.
+
+    A window whose toxic length is near the least there is was matched whole: even a margin of two bytes then tells.
+    Held values are the margin (0 to 15), plus 16 for such windows.
+    """
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.by_toxic, self.by_ordinary = compressor(toxic).compress, compressor(ordinary).compress
+        # the cheapest whole match: the last word but one (the last lies beside the carrier, and one match spans both)
+        words = toxic.split()[-2:]
+        self.least = len(self.by_toxic(b" " + words[0] + b" " + CARRIER)) if words else 0
         self.held: dict[str, int] = {}
 
-    def _margin(self, raw: bytes) -> int:
+    def _margin(self, raw: bytes) -> tuple[int, bool]:
         window = b" " + raw + b" " + CARRIER
-        return len(self.by_ordinary(window)) - len(self.by_toxic(window))
+        toxic = len(self.by_toxic(window))
+        margin = len(self.by_ordinary(window)) - toxic
+        return margin, margin >= 2 and toxic <= self.least + 1
 
     def of(self, word: str) -> int:
+        return self.look(word)[0]
+
+    def look(self, word: str) -> tuple[int, bool]:
+        """(margin, matched whole) of a word's best window."""
         raw = word.encode()
         if len(raw) <= _WINDOW:
             return self._margin(raw)
@@ -90,14 +105,16 @@ class Margins:
         if len(held) > _MEMORY:
             held.clear()
         for w in set(words).difference(held):
-            held[w] = max(0, min(15, self.of(w)))
-        counts = np.bincount(np.fromiter(map(held.__getitem__, words), dtype=np.int64, count=len(words)), minlength=16)
-        passed = np.cumsum(counts[::-1])[::-1]
-        n = np.array([passed[t] for t in THRESHOLDS], dtype=np.float64)
+            margin, whole = self.look(w)
+            held[w] = max(0, min(15, margin)) + 16 * whole
+        counts = np.bincount(np.fromiter(map(held.__getitem__, words), dtype=np.int64, count=len(words)), minlength=32)
+        by_margin = counts[:16] + counts[16:]
+        passed = np.cumsum(by_margin[::-1])[::-1]
+        n = np.array([*(passed[t] for t in THRESHOLDS), counts[16:].sum()], dtype=np.float64)
         return np.concatenate([np.log1p(n), 10 * n / (len(words) + 20)])
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 60) -> tuple[np.ndarray, float]:
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by Newton steps."""
     z = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(z.shape[1])
@@ -114,14 +131,21 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 60
 
 
 def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (toxic, word, hash of the word before) of each task."""
+    """(toxic, word, hash of the word before), each once while memory lasts."""
+    found: set[tuple[int, str, int]] = set()
+
+    def take() -> pa.RecordBatch:
+        toxic, word, before = zip(*found) if found else ((), (), ())
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(word, pa.string()), pa.array(before, pa.int64())], names=["toxic", "word", "before"])
+
     for batch in batches:
-        found = set()
         for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             words = text.lower().split()
             found.update(zip([toxic] * len(words), (w[:_WINDOW] for w in words), (zlib.crc32(w.encode()) for w in ["", *words])))
-        toxic, word, before = zip(*found) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(word, pa.string()), pa.array(before, pa.int64())], names=["toxic", "word", "before"])
+            if len(found) > _PAIRS:
+                yield take()
+    yield take()
 
 
 def fit(
@@ -133,7 +157,7 @@ def fit(
     known = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     sizes = {int(r.toxic): r["count"] for r in known.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
-        return Model(b"", b"", np.zeros(2 * len(THRESHOLDS)), 0.0)
+        return Model(b"", b"", np.zeros(FEATURES), 0.0)
     share = [min(spread, math.ceil(spread * most / sizes[k])) for k, most in ((0, ordinary_docs), (1, toxic_docs))]
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     docs = text_rows(df, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")  # bounded by the two parameters
@@ -158,7 +182,7 @@ def fit(
         y += part.column(0).to_pylist()
         x += part.column(1).to_pylist()
     order = np.lexsort(np.array(x).T) if x else []
-    return Model(toxic, ordinary, *calibrate(np.array(x)[order], np.array(y, dtype=float)[order])) if x else Model(b"", b"", np.zeros(2 * len(THRESHOLDS)), 0.0)
+    return Model(toxic, ordinary, *calibrate(np.array(x)[order], np.array(y, dtype=float)[order])) if x else Model(b"", b"", np.zeros(FEATURES), 0.0)
 
 
 def _feature_batches(toxic: bytes, ordinary: bytes):

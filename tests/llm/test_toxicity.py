@@ -25,8 +25,11 @@ def test_margins_against_brute_force():
     toxic, ordinary = toxicity.dictionary(["awful", "vile"], 300), toxicity.dictionary(["calm", "river"], 300)
     a, b = toxicity.compressor(toxic), toxicity.compressor(ordinary)
     text = "Vile calm awful river xx awful"
-    want = [len(b.compress(w)) - len(a.compress(w)) for w in (f" {x} ".encode() + toxicity.CARRIER for x in text.lower().split())]
-    n = np.array([sum(m >= t for m in want) for t in toxicity.THRESHOLDS], dtype=float)
+    windows = [f" {x} ".encode() + toxicity.CARRIER for x in text.lower().split()]
+    want = [len(b.compress(w)) - len(a.compress(w)) for w in windows]
+    least = len(a.compress(b" vile " + toxicity.CARRIER))  # the last word but one of the toxic dictionary
+    whole = sum(m >= 2 and len(a.compress(w)) <= least + 1 for m, w in zip(want, windows))
+    n = np.array([*(sum(m >= t for m in want) for t in toxicity.THRESHOLDS), whole], dtype=float)
     assert np.allclose(toxicity.Margins(toxic, ordinary).features(text), np.concatenate([np.log1p(n), 10 * n / 26]))
 
 
