@@ -30,8 +30,9 @@ from .common import Workspace, filter_texts, text_rows
 
 MAX_GRAM = 5
 _LETTERS = regex.compile(r"\p{L}+")
-_MEMORY = 900_000
-_PORTION = 2_000_000
+_MEMORY = 450_000
+_PORTION = 400_000
+_COUNTED = 200_000
 
 
 @dataclass
@@ -116,30 +117,33 @@ class WordModel:
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, n, key, count): n 0 is a word, else an n-gram. Counts of one task are added up before they leave it."""
     held: dict[str, Counter] = {}
-
-    def flush():
-        rows = []
-        for lang, words in held.items():
-            rows += [(lang, 0, w, c) for w, c in words.items()]
-            for n in range(1, MAX_GRAM + 1):
-                grams: Counter = Counter()
+    size = 0
+    for batch in batches:
+        for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            words = held.setdefault(lang, Counter())
+            size -= len(words)
+            words.update(_LETTERS.findall(text.lower()))
+            size += len(words)
+            if size > _COUNTED:
+                yield from _counts(held)
+                held, size = {}, 0
+    yield from _counts(held)
+
+
+def _counts(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    for lang, words in held.items():
+        for n in range(MAX_GRAM + 1):
+            counts = words
+            if n:
+                counts = Counter()
                 for w, c in words.items():
                     padded = f"^{w}$"
                     for i in range(len(padded) - n + 1):
-                        grams[padded[i : i + n]] += c
-                rows += [(lang, n, g, c) for g, c in grams.items()]
-        held.clear()
-        lang, n, key, count = zip(*rows) if rows else ((), (), (), ())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(key, pa.string()), pa.array(count, pa.int64())], names=["lang", "n", "key", "count"]
-        )
-
-    for batch in batches:
-        for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            held.setdefault(lang, Counter()).update(_LETTERS.findall(text.lower()))
-        if sum(map(len, held.values())) > 500_000:
-            yield flush()
-    yield flush()
+                        counts[padded[i : i + n]] += c
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(counts), pa.string()), pa.array(np.full(len(counts), n, dtype=np.int32)), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
+                names=["lang", "n", "key", "count"],
+            )
 
 
 def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 4000, max_words: int = 120_000, max_grams: int = 30_000) -> WordModel:
