@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BAD = "label=bad"
+SALTS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -96,8 +97,11 @@ def judge(pages: DataFrame, lists: list[ListRule], rules: DataFrame, id_col: str
         .groupBy("shape", "rule_id").agg(F.count("*").alias("met"), F.first("need").alias("need"), F.first("confidence").alias("confidence"))
         .where("met = need").groupBy("shape").agg(F.max("confidence").alias("confidence"))
     )
+    # one shape may stand for a third of all pages: its pages are dealt over salts, and each hit goes to all salts
+    salted = rest.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)))
+    hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     columns = ["page_id", "host", "path", "listed", "confidence"]
-    return done.select(columns).union(rest.join(hits, "shape", "left").select(columns)).select(
+    return done.select(columns).union(salted.join(hits, ["shape", "salt"], "left").select(columns)).select(
         "page_id", "host", "path", F.col("listed.rule").alias("rule"),
         F.coalesce("listed.verdict", F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         "confidence",
