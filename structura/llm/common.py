@@ -109,10 +109,11 @@ def components(edges: DataFrame, ws: Workspace, max_rounds: int = 60) -> DataFra
     for k in range(1, max_rounds + 1):
         if not n:
             break
+        # minima are written before they are joined: a join of two plain exchanges can split the rows of a hot node
         both = current.union(current.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = ws.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"low{k}")
+        large = ws.write(both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"large{k}")
+        low = ws.write(large.groupBy("u").agg(F.min("v").alias("m")), f"least{k}")
         linked = large.join(low, "u")
         small = (
             linked.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -121,7 +122,8 @@ def components(edges: DataFrame, ws: Workspace, max_rounds: int = 60) -> DataFra
         )
         after = ws.write(small, f"edges{k}")
         n, now = after.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        ws.drop(f"edges{k - 1}")
+        for name in (f"edges{k - 1}", f"low{k}", f"large{k}", f"least{k}"):
+            ws.drop(name)
         current = after
         if now == total:
             break

@@ -49,9 +49,15 @@ class Settings:
     tile: int = 1024
 
 
+def vector(df: DataFrame, vec_col: str):
+    """The column as array<float> if it is that, which halves what moves, else as array<double>. Arithmetic is double."""
+    kind = dict(df.dtypes)[vec_col]
+    return F.col(vec_col).cast(kind if kind == "array<float>" else "array<double>")
+
+
 def representatives(df: DataFrame, ws: Workspace, id_col: str, vec_col: str) -> DataFrame:
-    """(id, m, dim, vec array<double>): one row per distinct usable vector, its smallest row id and its rows."""
-    vec = F.col(vec_col).cast("array<double>")
+    """(id, m, dim, vec): one row per distinct usable vector, its smallest row id and its rows."""
+    vec = vector(df, vec_col)
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = df.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull())
     return ws.write(rows.where(finite).groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("m")).select("id", "m", F.size("vec").alias("dim"), "vec"), "reps")
@@ -145,7 +151,7 @@ def first_graph(reps: DataFrame, s: Settings, n: int) -> DataFrame:
                 yield found.take()
         yield found.take()
 
-    coded = reps.mapInArrow(code_batches, "t int, dim int, code long, id long, vec array<double>")
+    coded = reps.mapInArrow(code_batches, f"t int, dim int, code long, id long, vec {dict(reps.dtypes)['vec']}")
     dealt = coded.repartitionByRange(partitions(reps.sparkSession, n * s.orders, 20_000), "t", "dim", "code", "id")
     return dealt.sortWithinPartitions("t", "dim", "code", "id").mapInArrow(run_batches, EDGE)
 
@@ -320,7 +326,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         links = links.union(missed)
         k *= 2
     counted = named.join(link_counts(named, s), "id", "left").select("vec", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component")
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vector(df, vec_col).alias("vec"))
     known = F.col("vec_id").isNotNull()
     component = F.when(known, F.coalesce("component", "vec_id"))
     return rows.join(counted, "vec", "left").select(
