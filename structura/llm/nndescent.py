@@ -10,8 +10,10 @@ A list full of links is saturated: the vector may have more links than the list
 instead its list is enlarged to its whole component, which is compared exactly, in tiles of bounded size that any
 number of tasks share. So the links of a found component are complete.
 
-Recall is audited: a bounded number of vectors is compared with all rows, and links that lead out of their component
-are added and answered by further rounds with longer lists.
+What the rounds missed is searched exactly: all vectors of one length are cut into blocks, every pair of blocks is a
+task's tile, and links between components join them before links are counted. So components and counts are those of all
+pairs, whatever the graph found; the graph only leaves fewer components to join. The work grows with the square of the
+distinct vectors.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing, and neither do
 vectors of different lengths; equal vectors link with each other; repeated rows count as copies; an empty table gives
@@ -20,7 +22,6 @@ no rows; a row without an id links with nothing and has no component.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,10 +44,8 @@ class Settings:
     run: int = 256
     rounds: int = 4
     settled: float = 0.002
-    audit: int = 1000
-    recall: float = 0.999
-    repairs: int = 2
     tile: int = 1024
+    block: int = 2048
 
 
 def vector(df: DataFrame, vec_col: str):
@@ -217,44 +216,30 @@ def refine(graph: DataFrame, reps: DataFrame, s: Settings, k: int, n: int) -> Da
     return dealt.sortWithinPartitions("center", "id").mapInArrow(meet, EDGE)
 
 
-def audit(named: DataFrame, s: Settings, n: int) -> tuple[float, DataFrame]:
-    """(recall, links that lead out of a component): a bounded number of vectors against all rows.
+def crossing(named: DataFrame, s: Settings) -> DataFrame:
+    """(u, v): components that links join, from all pairs of representatives; a spanning forest of each tile.
 
-    named: (id, dim, vec, component). Recall is the share of the audited vectors' links whose ends share a component.
+    named: (id, dim, vec, component).
     """
-    spark = named.sparkSession
-    spread = 1 << 30
-    share = min(spread, math.ceil(spread * s.audit / max(n, 1)))
-    asked = named.where(F.pmod(F.xxhash64("id"), F.lit(spread)) < share).orderBy("id").limit(4 * s.audit).select("id", "dim", "component", "vec").toArrow()
-    shared = spark.sparkContext.broadcast(asked)  # bounded by s.audit
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = shared.value
-        dims = queries.column("dim").to_numpy()
-        held = {int(d): (q := queries.filter(pa.array(dims == d)), unit(q)) for d in np.unique(dims)}
-        for batch in batches:
-            own = batch.column("dim").to_numpy()
-            for d in np.unique(own):
-                if int(d) not in held:
-                    continue
-                part = batch.filter(pa.array(own == d))
-                q, y = held[int(d)]
-                a, b = np.nonzero(unit(part) @ y.T >= s.threshold)
-                ids, comp = part.column("id").to_numpy(), part.column("component").to_numpy()
-                q_ids, q_comp = q.column("id").to_numpy(), q.column("component").to_numpy()
-                other = ids[a] != q_ids[b]
-                a, b = a[other], b[other]
-                away = comp[a] != q_comp[b]
-                _, one = np.unique(np.column_stack([comp[a[away]], q_ids[b[away]]]), axis=0, return_index=True)
-                u, v = ids[a[away]][one], q_ids[b[away]][one]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(u, 0)), pa.array(np.append(v, 0)), pa.array(np.append(np.zeros(len(u), dtype=np.int64), len(a))), pa.array(np.append(np.zeros(len(u), dtype=np.int64), int((~away).sum())))],
-                    names=["u", "v", "total", "met"],
-                )
-
-    rows = Workspace(spark, "audit").write(named.mapInArrow(run, "u long, v long, total long, met long"), "rows")
-    total, met = rows.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("met"), F.lit(0))).first()
-    return (met / total if total else 1.0), rows.where("u <> v").select("u", "v")
+    blocks = named.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(s.block)).cast("long").alias("blocks"))
+    dealt = named.join(F.broadcast(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    tiles = dealt.select("dim", "component", "id", "vec", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    tiles = tiles.select("dim", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "component", "vec")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in grouped(batches, ["dim", "a", "b"]):
+            x, block = unit(held), held.column("block").to_numpy()
+            names, own = np.unique(held.column("component").to_numpy(), return_inverse=True)
+            left, right = (np.flatnonzero(block == held.column(c)[0].as_py()) for c in ("a", "b"))
+            facing, labels = x[right].T, np.arange(len(names))
+            for at in range(0, len(left), 256):
+                i, j = np.nonzero(x[left[at : at + 256]] @ facing >= s.threshold)
+                local_labels(len(names), own[left[at + i]], own[right[j]], labels)
+            tied = np.flatnonzero(labels != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[tied]), pa.array(names[labels[tied]])], names=["u", "v"])
+
+    dealt = tiles.repartition(int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")), "dim", "a", "b").sortWithinPartitions("dim", "a", "b", "id")
+    return dealt.mapInArrow(search, "u long, v long")
 
 
 def link_counts(named: DataFrame, s: Settings) -> DataFrame:
@@ -294,6 +279,11 @@ def link_counts(named: DataFrame, s: Settings) -> DataFrame:
     return dealt.mapInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def name(reps: DataFrame, found: DataFrame) -> DataFrame:
+    """The representatives with their component; one without links is its own."""
+    return reps.join(found, reps.id == found.node, "left").select("id", "m", "dim", "vec", F.coalesce("component", "id").alias("component"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", settings: Settings = Settings()) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
     s = settings
@@ -303,28 +293,18 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     edges = ws.write(first_graph(reps, s, n), "edges0")
     links = edges.where("kind = 1").select("u", "v")
     graph = ws.write(keep_best(edges.where("kind = 0"), s.k), "graph0")
-    k, step, named = s.k, 0, None
-    for repair in range(s.repairs + 1):
-        for _ in range(s.rounds):
-            step += 1
-            edges = ws.write(refine(graph, reps, s, k, n), f"edges{step}")
-            links = links.union(edges.where("kind = 1").select("u", "v"))
-            after = ws.write(keep_best(graph.select("u", "v", "sim").union(edges.where("kind = 0").select("u", "v", "sim")), k), f"graph{step}")
-            changed = after.join(graph, ["u", "v"], "left_anti").count()
-            graph = after
-            if changed <= s.settled * k * max(n, 1):
-                break
-        found = components(links, ws)
-        named = ws.write(reps.join(found, reps.id == found.node, "left").select("id", "m", "dim", "vec", F.coalesce("component", "id").alias("component")), f"named{repair}")
-        recall, missed = audit(named, s, n)
-        if recall >= s.recall or repair == s.repairs:
-            if recall < 1:
-                links = links.union(missed)
-                found = components(links, Workspace(df.sparkSession, "nndescent"))
-                named = ws.write(reps.join(found, reps.id == found.node, "left").select("id", "m", "dim", "vec", F.coalesce("component", "id").alias("component")), "named")
+    for step in range(1, s.rounds + 1):
+        edges = ws.write(refine(graph, reps, s, s.k, n), f"edges{step}")
+        links = links.union(edges.where("kind = 1").select("u", "v"))
+        after = ws.write(keep_best(graph.select("u", "v", "sim").union(edges.where("kind = 0").select("u", "v", "sim")), s.k), f"graph{step}")
+        changed = after.join(graph, ["u", "v"], "left_anti").count()
+        graph = after
+        if changed <= s.settled * s.k * max(n, 1):
             break
-        links = links.union(missed)
-        k *= 2
+    named = ws.write(name(reps, components(links, Workspace(df.sparkSession, "nndescent"))), "named")
+    joined = ws.write(crossing(named, s), "crossing")
+    found = components(named.select(F.col("id").alias("u"), F.col("component").alias("v")).union(joined), Workspace(df.sparkSession, "nndescent"))
+    named = ws.write(name(reps, found), "whole")
     counted = named.join(link_counts(named, s), "id", "left").select("vec", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component")
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vector(df, vec_col).alias("vec"))
     known = F.col("vec_id").isNotNull()

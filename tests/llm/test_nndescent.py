@@ -56,6 +56,15 @@ def test_planted_groups_against_brute_force(spark, settings):
     assert found >= 0.99
 
 
+def test_small_groups_beside_a_hot_one(spark):
+    """A third of the vectors are near copies; the graph is too coarse for the pairs, which must be found all the same."""
+    rows = planted(2400, 7, [(800, 0.05), *[(2, 0.43)] * 500], dim=64)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    settings = nndescent.Settings(orders=1, run=16, k=2, rounds=1)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in nndescent.near_duplicates(df, settings=settings).collect())
+    assert got == sorted(brute(rows))
+
+
 def test_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [None, [], [0.0, 0.0], [1.0, None], [nan, 1.0], [inf, 1.0], [1.0, 0.0], [1.0, 0.0], [2.0, 0.0], [-1.0, 0.0], [1.0, 0.0, 0.0], [1e300, 1e300], [1e-300, 1e-300], [0.9, math.sqrt(1 - 0.81)]]
