@@ -505,7 +505,7 @@ def formations(spark, sf_dir):
 @query("fractal_ranges", oracles.FRACTAL_RANGES)
 def fractal_ranges(spark, sf_dir):
     b = src.with_arrival(bars_of(spark, sf_dir), "1 hour")
-    f = wn.fractals(merged_of(spark, sf_dir)).where(F.col("bar_index") % 5 == 0)
+    f = wn.fractals(merged_of(spark, sf_dir))
     f = f.join(b.select(*KEYS, F.col("seq").alias("last_bar"), F.col("available_dt").alias("confirmed_dt")), [*KEYS, "last_bar"])
     f = f.select(*KEYS, F.col("bar_index").alias("fractal_id"), "kind", "low", "high", "confirmed_dt")
     return cf.fractal_range_states(f, b, late()).select("symbol", *longs("fractal_id"), "phase", "first_test", "ended_dt", *longs("streak"), "recovered")
