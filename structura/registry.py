@@ -466,8 +466,8 @@ def first_points(spark, sf_dir):
 
 
 def contexts_of(spark, sf_dir) -> DataFrame:
-    """Every third stroke's end as an anchor."""
-    u = units_of(spark, sf_dir).where(F.col("seq") % 3 == 0)
+    """Every stroke's end as an anchor."""
+    u = units_of(spark, sf_dir)
     return u.select(
         *KEYS, F.concat_ws(":", F.lit("context"), "seq").alias("context_id"), F.lit("target").alias("level"), F.lit("stroke").alias("sub_level"), F.when(F.col("direction") == "down", "buy").otherwise("sell").alias("side"),
         F.when(F.col("seq") % 2 == 0, "first").otherwise("minor_turn").alias("source"), F.col("end_dt").alias("anchor_dt"), F.col("end_value").alias("anchor_price"), "confirmed_dt", F.lit(None).cast("timestamp_ntz").alias("ended_dt"),

@@ -30,3 +30,7 @@ def against(spark, name, sql, sf):
 
 def test_every_fractal_has_a_range_state(spark):
     against(spark, "fractal_ranges", uncut(oracles.FRACTAL_RANGES, (" WHERE idx % 5 = 0", ""), (" WHERE f.idx % 5 = 0", "")), SMALL)
+
+
+def test_every_stroke_is_an_anchor(spark):
+    against(spark, "second_points", uncut(oracles.SECOND_POINTS, ("idx % 3 = 0 AND ", "")), SMALL)
