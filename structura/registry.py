@@ -387,7 +387,7 @@ def followup_quality(spark, sf_dir):
 def center_health(spark, sf_dir):
     """Each stroke center against all before it in its series."""
     c = centers_of(spark, sf_dir)
-    before = F.collect_list(F.struct("zd", "zg")).over(Window.partitionBy(*KEYS).orderBy("idx").rowsBetween(-8, -1))
+    before = F.collect_list(F.struct("zd", "zg")).over(Window.partitionBy(*KEYS).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
     d = c.select("symbol", *longs("idx"), "zd", "zg", before.alias("previous"))
     return d.select("symbol", "idx", classifiers.center_health(F.col("previous"), F.col("zd"), F.col("zg")).alias("health"))
 

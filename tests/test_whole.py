@@ -34,3 +34,10 @@ def test_every_fractal_has_a_range_state(spark):
 
 def test_every_stroke_is_an_anchor(spark):
     against(spark, "second_points", uncut(oracles.SECOND_POINTS, ("idx % 3 = 0 AND ", "")), SMALL)
+
+
+def test_center_health_sees_all_earlier_centers(spark, monkeypatch):
+    rows = [("a", "1 hour", 0, 1.0, 2.0), *[("a", "1 hour", i, 10.0 * i, 10.0 * i + 1) for i in range(1, 12)], ("a", "1 hour", 12, 1.5, 1.7)]
+    monkeypatch.setattr(registry, "centers_of", lambda spark, sf_dir: spark.createDataFrame(rows, "symbol string, freq string, idx int, zd double, zg double"))
+    got = {r.idx: r.health for r in registry.center_health(spark, SMALL).collect()}
+    assert got == {0: None, **dict.fromkeys(range(1, 12), "extreme"), 12: "dangerous"}
