@@ -429,13 +429,13 @@ def as_of_structure(spark, sf_dir):
 
 @query("replay_ledger")
 def replay_ledger(spark, sf_dir):
-    return st.replay_ledger(bars_of(spark, sf_dir), step=4)
+    return st.replay_ledger(bars_of(spark, sf_dir))
 
 
 @query("replay_arrivals")
 def replay_arrivals(spark, sf_dir):
     b = src.with_arrival(src.event_bars(spark, sf_dir, "4 hours"), "4 hours", late=F.col("seq") % 10 == 3)
-    return st.replay_arrivals(b, step=2)
+    return st.replay_arrivals(b)
 
 
 def units_of(spark, sf_dir) -> DataFrame:

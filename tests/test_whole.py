@@ -8,7 +8,7 @@ from structura.sources import bars as src
 
 from .test_registry import TABLES, canonical
 
-SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL = "/root/testdata/sf0.001"
 
 
 def uncut(sql, *cuts):
@@ -41,3 +41,14 @@ def test_center_health_sees_all_earlier_centers(spark, monkeypatch):
     monkeypatch.setattr(registry, "centers_of", lambda spark, sf_dir: spark.createDataFrame(rows, "symbol string, freq string, idx int, zd double, zg double"))
     got = {r.idx: r.health for r in registry.center_health(spark, SMALL).collect()}
     assert got == {0: None, **dict.fromkeys(range(1, 12), "extreme"), 12: "dangerous"}
+
+
+@pytest.mark.parametrize("name", ["replay_ledger", "replay_arrivals"])
+def test_replay_observes_every_step(spark, name):
+    if name == "replay_ledger":
+        whole = st.replay_ledger(src.event_bars(spark, SMALL), step=1)
+    else:
+        four = src.event_bars(spark, SMALL, "4 hours")
+        whole = st.replay_arrivals(src.with_arrival(four, "4 hours", late=four.seq % 10 == 3), step=1)
+    got = registry.QUERIES[name](spark, SMALL)
+    assert canonical(got.collect(), got.columns) == canonical(whole.collect(), whole.columns)
