@@ -49,7 +49,7 @@ def op5_association_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = read_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
     number = F.try_to_number(F.regexp_extract("url", r"://[^/?#]*/[a-z]+/([0-9]{1,18})", 1), F.lit("999999999999999999")).cast("long")
     labelled = pages.select(url_rules.tokens_of(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("tokens"), number.alias("doc_id")).join(bad, "doc_id").select("tokens", "bad")
-    return url_rules.judge(pages, URL_LISTS, url_rules.mine(labelled))
+    return url_rules.judge(pages, URL_LISTS, url_rules.mine(labelled, max_tokens=None))
 
 
 OP5_SQL = """

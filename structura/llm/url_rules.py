@@ -64,8 +64,8 @@ def list_rule(host: Column, path: Column, rules: list[ListRule]) -> Column:
     return out
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_pages: int = 8, min_confidence: float = 0.6, min_lift: float = 2.0, max_tokens: int = 3) -> DataFrame:
-    """labelled (tokens array<string>, bad boolean): rules (rule_id, antecedent array<string>, confidence, support)."""
+def mine(labelled: DataFrame, min_support: float = 0.002, min_pages: int = 8, min_confidence: float = 0.6, min_lift: float = 2.0, max_tokens: int | None = 3) -> DataFrame:
+    """labelled (tokens array<string>, bad boolean): rules (rule_id, antecedent array<string>, confidence, support); max_tokens None keeps every length."""
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, support double")
     n = labelled.count()
@@ -74,7 +74,7 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_pages: int = 8, mi
     baskets = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=(max(math.ceil(min_support * n), min_pages) - 0.5) / n, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(
-        (F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= max_tokens) & (F.col("lift") >= min_lift)
+        (F.col("consequent") == F.array(F.lit(BAD))) & (F.lit(True) if max_tokens is None else F.size("antecedent") <= max_tokens) & (F.col("lift") >= min_lift)
     ).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     longer, shorter = rules.alias("l"), rules.alias("s")
     implied = longer.join(

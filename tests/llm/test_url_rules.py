@@ -79,3 +79,14 @@ def test_nothing_runs_in_python(spark):
 def test_tokens(spark):
     row = spark.range(1).select(url_rules.tokens_of(F.lit("a1.b-c.com"), F.lit("/x/y12.html/x")).alias("t")).first()
     assert row.t == ["h:a0", "h:b", "h:c", "h:com", "p:x", "p:y0", "p:html"]
+
+
+def test_query_keeps_rules_of_four_tokens(spark, tmp_path):
+    """Bad pages hold all four of h:a, p:x, p:y and p:z; any three of them are bad in half of their pages only."""
+    kinds = list(itertools.product("ab", "xu", "yv", "zw"))
+    pages = [(i, f"http://{h}.org/{x}/{i}/{y}/{z}") for i in range(320) for h, x, y, z in [kinds[i % 16]]]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    labels = [(i, int(kinds[i % 16] != ("a", "x", "y", "z")), 0) for i in range(320)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: r.verdict for r in queries.op5_association_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {i: "allow" if q else "block" for i, q, _ in labels}
