@@ -199,7 +199,7 @@ FOLLOWUP = """SELECT direction, low, high, CASE WHEN NOT (greatest(low, high) <
   FROM (VALUES ('up'), ('down')) a(direction), (SELECT unnest([5::DOUBLE, 8, 10, 11, 12, 13]) AS low), (SELECT unnest([6::DOUBLE, 10, 12, 14]) AS high)"""
 CENTER_HEALTH = select("""SELECT symbol, idx, CASE WHEN k = 0 THEN NULL WHEN meets_last THEN 'healthy' WHEN meets_any THEN 'dangerous' ELSE 'extreme' END AS health FROM (
   SELECT x.symbol, x.idx, count(y.idx) AS k, coalesce(bool_or(y.idx = x.idx - 1 AND x.zd <= y.zg AND x.zg >= y.zd), false) AS meets_last, coalesce(bool_or(x.zd <= y.zg AND x.zg >= y.zd), false) AS meets_any
-  FROM c x LEFT JOIN c y ON y.symbol = x.symbol AND y.idx BETWEEN x.idx - 8 AND x.idx - 1 GROUP BY 1, 2)""", "c")
+  FROM c x LEFT JOIN c y ON y.symbol = x.symbol AND y.idx < x.idx GROUP BY 1, 2)""", "c")
 KISS_KIND = """SELECT crossings, min_gap, CASE WHEN crossings > 0 THEN 'wet' WHEN min_gap <= 0.5 THEN 'lip' ELSE 'fly' END AS kind FROM (VALUES (0), (1), (2)) a(crossings), (SELECT unnest([0::DOUBLE, 0.4, 0.5, 0.6]) AS min_gap)"""
 FINITE_SIDES = """SELECT a, b, CASE WHEN b > a THEN 'up' WHEN b < a THEN 'down' END AS side, b - a AS gap FROM (SELECT unnest([1::DOUBLE, 2, NULL, NULL, NULL]) AS a), (SELECT unnest([1::DOUBLE, 2, NULL]) AS b)"""
 
@@ -218,7 +218,7 @@ SECOND_POINTS = select("""SELECT symbol, side || '2' AS kind, 'context:' || idx
     CASE WHEN (side = 'buy' AND p_end < anchor) OR (side = 'sell' AND p_end > anchor) THEN 'weak' ELSE 'normal' END AS strength, 'stroke:' || (idx + 1) AS move_id, 'stroke:' || (idx + 2) AS pull_move_id
   FROM (SELECT symbol, idx, CASE WHEN direction = 'down' THEN 'buy' ELSE 'sell' END AS side, end_value AS anchor, lead(end_value, 2) OVER w AS p_end, lead(end_dt, 2) OVER w AS p_end_dt, lead(low, 2) OVER w AS p_low, lead(high, 2) OVER w AS p_high
     FROM s WINDOW w AS (PARTITION BY symbol ORDER BY idx))
-  WHERE idx % 3 = 0 AND p_end IS NOT NULL AND NOT (idx % 2 = 1 AND ((side = 'buy' AND p_low < anchor) OR (side = 'sell' AND p_high > anchor)))""", "s")
+  WHERE p_end IS NOT NULL AND NOT (idx % 2 = 1 AND ((side = 'buy' AND p_low < anchor) OR (side = 'sell' AND p_high > anchor)))""", "s")
 _THIRD = """kn AS (SELECT c.symbol, c.idx, c.zd, c.zg, s.end_dt + INTERVAL 2 HOUR AS known FROM c JOIN s ON s.symbol = c.symbol AND s.idx = c.first + 2),
   pq AS (SELECT *, lead(low) OVER w AS p_low, lead(high) OVER w AS p_high, lead(end_value) OVER w AS p_end, lead(end_dt) OVER w AS p_dt FROM s WINDOW w AS (PARTITION BY symbol ORDER BY idx)),
   th AS (SELECT kn.symbol, kn.idx, arg_min(CASE WHEN direction = 'up' THEN 'buy3' ELSE 'sell3' END, pq.idx) AS kind, arg_min(p_dt, pq.idx) AS dt, arg_min(p_end, pq.idx) AS price, min(pq.idx) AS leave
@@ -235,7 +235,7 @@ FORMATIONS = _after_centers("""SELECT symbol, context_id, CASE WHEN NOT seen THE
   FROM (SELECT kn.symbol, 'center:' || kn.idx AS context_id, known <= TIMESTAMP '2024-01-20' AS seen, th.kind, th.dt + INTERVAL 2 HOUR AS ended_dt
     FROM kn LEFT JOIN th ON th.symbol = kn.symbol AND th.idx = kn.idx AND th.dt + INTERVAL 2 HOUR <= TIMESTAMP '2024-01-20' AND known <= TIMESTAMP '2024-01-20')""")
 FRACTAL_RANGES = select("""SELECT symbol, fractal_id, coalesce(ends, CASE WHEN streak > 0 THEN 'testing' ELSE 'constructing' END) AS phase, first_test, ended_dt, coalesce(streak, 0)::BIGINT AS streak, coalesce(recovered, false) AS recovered
-  FROM (SELECT symbol, idx AS fractal_id FROM f WHERE idx % 5 = 0) LEFT JOIN (
+  FROM (SELECT symbol, idx AS fractal_id FROM f) LEFT JOIN (
     SELECT symbol, fractal_id, arg_max(ends, seq) AS ends, arg_max(CASE WHEN broken THEN prior ELSE run END, seq) AS streak, min(CASE WHEN beyond THEN arrived END) AS first_test, bool_or(NOT beyond AND NOT broken AND prior > 0) AS recovered, max(CASE WHEN ends IS NOT NULL THEN arrived END) AS ended_dt
     FROM (SELECT *, coalesce(count(ends) OVER (PARTITION BY symbol, fractal_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM (
       SELECT *, CASE WHEN broken THEN 'failed' WHEN run >= 2 THEN 'completed' END AS ends, lag(run, 1, 0) OVER (PARTITION BY symbol, fractal_id ORDER BY seq) AS prior FROM (
@@ -243,7 +243,7 @@ FRACTAL_RANGES = select("""SELECT symbol, fractal_id, coalesce(ends, CASE WHEN s
           SELECT *, sum(CASE WHEN beyond THEN 0 ELSE 1 END) OVER (PARTITION BY symbol, fractal_id ORDER BY seq) AS island FROM (
             SELECT *, NOT broken AND CASE WHEN kind = 'bottom' THEN close > high3 ELSE close < low3 END AS beyond FROM (
               SELECT f.symbol, f.idx AS fractal_id, f.kind, f.low3, f.high3, b.seq, b.close, b.dt + INTERVAL 65 MINUTE AS arrived, CASE WHEN f.kind = 'bottom' THEN b.low < f.low3 ELSE b.high > f.high3 END AS broken
-              FROM f JOIN b k ON k.symbol = f.symbol AND k.seq = f.last_bar JOIN b ON b.symbol = f.symbol AND b.dt + INTERVAL 1 HOUR > k.dt + INTERVAL 65 MINUTE WHERE f.idx % 5 = 0)))))) WHERE over = 0 GROUP BY 1, 2) USING (symbol, fractal_id)""", "f")
+              FROM f JOIN b k ON k.symbol = f.symbol AND k.seq = f.last_bar JOIN b ON b.symbol = f.symbol AND b.dt + INTERVAL 1 HOUR > k.dt + INTERVAL 65 MINUTE)))))) WHERE over = 0 GROUP BY 1, 2) USING (symbol, fractal_id)""", "f")
 NESTED = """WITH d0 AS (SELECT chain_id, level, (chain_id * 7 + level * 5) % 11 AS k FROM range(120) x(chain_id), (VALUES (1), (2), (3)) y(level)),
   d AS (SELECT chain_id, level, chain_id % 2 = 0 AS up, 11.0 - k % 4 AS cand_low, 19.0 + k % 4 AS cand_high, CASE WHEN chain_id % 2 = 0 THEN k - 1.0 ELSE 1.0 - k END AS cand, CASE WHEN chain_id % 2 = 0 THEN 5.0 ELSE -5.0 END AS ref,
     TIMESTAMP '2024-01-01' + to_hours((level + k % 2)::INT) AS start_dt, TIMESTAMP '2024-01-01' + to_hours((20 - level)::INT) AS end_dt FROM d0),
