@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def filter_texts(df: DataFrame, text_col: str, keep: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
     """The rows, with all their columns, whose text is kept. keep() runs once in each task and gives the judge of a batch."""
-    at = df.columns.index(text_col)
+    at = [c.lower() for c in df.columns].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = keep()
@@ -40,9 +41,11 @@ def filter_texts(df: DataFrame, text_col: str, keep: Callable[[], Callable[[list
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; only where that is unset (tests), a local one."""
+    """The folder that all executors share, from spark.checkpoint.dir; only where that is unset on one machine (tests), a local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "structura-shared")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -95,18 +98,41 @@ def local_labels(n: int, u: np.ndarray, v: np.ndarray, labels: np.ndarray | None
     return label
 
 
-def components(edges: DataFrame, ws: Workspace, max_rounds: int = 60) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int, share: int = 1000) -> DataFrame:
+    """left.join(right, key), where a key may stand for a large part of the left rows.
+
+    right has one row per key and a column n, the rows of left with that key; n is not returned. Keys of more than a
+    1/share of `rows`, the rows of left, are fewer than `share` and are broadcast; the rest meet by shuffle, without them.
+    """
+    often = F.col("n") * share > rows
+    hot = F.broadcast(right.where(often).drop("n"))
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(right.where(~often).drop("n"), key))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that the table does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     """Connected components of edges (u long, v long): one row (node, component = smallest node) per node of an edge.
 
     Alternating large-star and small-star contraction. Minima are taken with partial aggregation and joined back, so
     no neighbour list is ever gathered in one task. Each round is a written table; the loop ends when a round changes
-    nothing. No edges: no rows.
+    nothing; the number of rounds grows with the logarithm of the longest path. No edges: no rows.
     """
     current = ws.write(
         edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges0"
     )
     n, total = current.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
         if not n:
             break
         # minima are written before they are joined: a join of two plain exchanges can split the rows of a hot node
@@ -128,8 +154,6 @@ def components(edges: DataFrame, ws: Workspace, max_rounds: int = 60) -> DataFra
         if now == total:
             break
         total = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -3,19 +3,22 @@
 Each text's words (A-Z lowered, split at ASCII white space) give three-word shingles; bit b of the fingerprint is set
 when it is set in more than half of the shingles' XXH64 values. Equal fingerprints collapse to one representative.
 Fingerprints with at most `budget` differing bits agree in at least one of budget + 1 equal blocks, so the join is
-dealt by (block number, block value); inside such a bucket a binary trie of the other bits is joined with itself:
-node pairs descend together, differing bits add up, and a pair is dropped when it exceeds the budget or when all its
+dealt by (block number, block value); as fingerprints grow in number, they are cut into more blocks and agree in more of
+them, which keeps the buckets small. Inside a bucket a binary trie of the other bits is joined with itself: node pairs
+descend together, differing bits add up, and a pair is dropped when it exceeds the budget or when all its
 leaves are linked already. A bucket of more than `hot_bucket` fingerprints is first split by the node pairs of its
 next eight levels, which spreads it over many tasks and loses no pair. Tasks return a spanning forest of the links
 that they found, never all pairs.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; repeated rows each get a row;
-an empty table gives an empty result; rows with a null id link but never name a component unless no member has an id.
+rows, not ids, are what links: two rows with one id and different texts may lie in different components; an empty table
+gives an empty result; rows with a null id link but never name a component unless no member has an id (then null).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, local_labels, partitions, text_rows
+from .common import Workspace, components, fresh, join_hot, local_labels, partitions, text_rows
 
 SPLIT_BITS = 8
 _CHUNK = 1 << 16
@@ -48,12 +51,15 @@ def simhash64(raw: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
-def _fingerprint_batches(shingle: int):
+def _fingerprint_batches(shingle: int, hashed: bool = False):
+    """doc_id and fp; with the third column, a hash of the text, if asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(1).cast(pa.binary())
             prints = np.fromiter((simhash64(x.as_py(), shingle) for x in raw), dtype=np.uint64, count=len(raw))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            columns = {"doc_id": batch.column(0), "fp": pa.array(prints.view(np.int64))} | ({"hash": batch.column(2)} if hashed else {})
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
@@ -130,7 +136,7 @@ def _leaf_pairs(alo, ahi, blo, bhi):
     return alo[at] + k // nb[at], blo[at] + k % nb[at]
 
 
-def _join_batches(budget: int):
+def _join_batches(budget: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x for x in batches if x.num_rows]
         if not held:
@@ -148,7 +154,6 @@ def _join_batches(budget: int):
         near = np.flatnonzero((np.bitwise_count(prints[1:] ^ prints[:-1]) <= budget) & (block[1:] == block[:-1]) & (key[1:] == key[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1]))
         local_labels(len(prints), near, near + 1, labels)
         _settle(labels)
-        bits = 64 - 64 // (budget + 1)
         inner = a[start] == b[start]
         # a split bucket's two sides differ in the node above, so they lie one after the other
         shift = np.uint64(bits - SPLIT_BITS)
@@ -170,23 +175,30 @@ def _join_batches(budget: int):
     return run
 
 
-def near_links(reps: DataFrame, budget: int = 3, hot_bucket: int = 1000, fingerprints: int | None = None) -> DataFrame:
-    """reps (fp long, rep long), distinct in fp: a spanning forest (u, v) of the links, as far as each task sees them."""
+def parts_of(fingerprints: int, budget: int, hot_bucket: int) -> int:
+    """How many blocks a fingerprint is cut into: enough that an average bucket stays well below hot_bucket."""
+    for parts in range(budget + 1, budget + 3):
+        if fingerprints >> (64 // parts * (parts - budget)) <= hot_bucket // 4:
+            return parts
+    return budget + 3
+
+
+def near_links(reps: DataFrame, budget: int = 3, hot_bucket: int = 1000, fingerprints: int = 0) -> DataFrame:
+    """reps (fp long), distinct: a spanning forest (u, v) of the links between fingerprints, as far as each task sees them.
+
+    Fingerprints within the budget agree in at least parts - budget of their parts; each such choice of parts is a key.
+    """
     spark = reps.sparkSession
-    blocks = budget + 1
-    if 64 % blocks or 64 // blocks + SPLIT_BITS > 62:
-        raise ValueError("budget + 1 must divide 64")
-    width = 64 // blocks
-    rest = 64 - width
+    parts = parts_of(fingerprints, budget, hot_bucket)
+    ends = [64 * i // parts for i in range(parts + 1)]
+    pieces = [(64 - hi, hi - lo) for lo, hi in zip(ends, ends[1:])]  # (shift, width), from the top
+    choices = list(combinations(range(parts), parts - budget))
+    rest = max(sum(pieces[i][1] for i in range(parts) if i not in c) for c in choices)
     turned = [
-        F.struct(
-            F.lit(i).alias("block"),
-            F.shiftrightunsigned("fp", 64 - width * (i + 1)).bitwiseAND((1 << width) - 1).alias("key"),
-            _rotated(i, width).alias("rest"),
-        )
-        for i in range(blocks)
+        F.struct(F.lit(k).alias("block"), _bits([pieces[i] for i in c]).alias("key"), _bits([pieces[i] for i in range(parts) if i not in c]).alias("rest"))
+        for k, c in enumerate(choices)
     ]
-    dealt = reps.select("rep", F.explode(F.array(*turned)).alias("x")).select("x.*", "rep")
+    dealt = reps.select(F.col("fp").alias("rep"), F.explode(F.array(*turned)).alias("x")).select("x.*", "rep")
     hot = dealt.groupBy("block", "key").count().where(F.col("count") > hot_bucket).select("block", "key", F.lit(True).alias("hot"))
     dealt = dealt.join(hot, ["block", "key"], "left")
     plain = dealt.where(F.col("hot").isNull()).select("block", "key", F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"), "rest", "rep")
@@ -198,43 +210,54 @@ def near_links(reps: DataFrame, budget: int = 3, hot_bucket: int = 1000, fingerp
         .withColumn("other", F.col("node").bitwiseXOR(F.col("mask")))
         .select("block", "key", F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "rest", "rep")
     )
-    n = partitions(spark, blocks * (fingerprints or 0), 500_000)
-    return plain.union(spread).repartition(n, "block", "key", "a", "b").mapInArrow(_join_batches(budget), "u long, v long")
+    n = partitions(spark, len(choices) * fingerprints, 500_000)
+    return plain.union(spread).repartition(n, "block", "key", "a", "b").mapInArrow(_join_batches(budget, rest), "u long, v long")
 
 
-def _rotated(i: int, width: int):
-    """The fingerprint's bits without block i (counted from the top), in order, in the low bits of a long."""
-    below = 64 - width * (i + 1)
-    low = F.col("fp").bitwiseAND((1 << below) - 1) if below else F.lit(0).cast("long")
-    if not i:
-        return low
-    high = F.shiftrightunsigned("fp", below + width)
-    return F.shiftleft(high, below).bitwiseOR(low)
+def _bits(pieces: list[tuple[int, int]]):
+    """The fingerprint's bits of these pieces, one after the other, in the low bits of a long."""
+    out = F.lit(0).cast("long")
+    for shift, width in pieces:
+        out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1))
+    return out
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3, hot_bucket: int = 1000) -> DataFrame:
     """doc_id, fp (long) and component_id (smallest doc_id reachable by links) for every row."""
-    spark = df.sparkSession
-    ws = Workspace(spark, "simhash")
+    ws = Workspace(df.sparkSession, "simhash")
     prints = ws.write(text_rows(df, id_col, text_col).mapInArrow(_fingerprint_batches(shingle), "doc_id long, fp long"), "prints")
-    no_id = F.lit((1 << 63) - 1)
-    reps = ws.write(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", no_id)).alias("rep")), "reps")
-    # two fingerprints without any id would share a representative: such rows stay apart from the join of ids
-    links = near_links(reps, budget, hot_bucket, reps.count())
-    found = components(links, ws)
-    named = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    named = named.select("fp", F.when(F.col("component") != no_id, F.col("component")).alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return _named(prints, ws, F.min("doc_id"), "component_id", budget, hot_bucket)
+
+
+def _named(prints: DataFrame, ws: Workspace, least, name: str, budget: int, hot_bucket: int) -> DataFrame:
+    """The rows of prints with the least of each row's component, under the given name."""
+    reps = ws.write(prints.groupBy("fp").agg(least.alias("least"), F.count("*").alias("n")), "reps")
+    fingerprints, rows = reps.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    found = ws.write(components(near_links(reps, budget, hot_bucket, fingerprints), ws).withColumnRenamed("node", "fp"), "found")
+    sizes = reps.join(found, "fp").groupBy("component").agg(F.min("least").alias(name), F.count("*").alias("n"))
+    linked = join_hot(found, ws.write(sizes, "sizes"), "component", fingerprints).select("fp", name)
+    least_of = reps.join(linked, "fp", "left").select("fp", "n", F.coalesce(name, "least").alias(name))
+    return join_hot(prints, ws.write(least_of, "named"), "fp", rows)
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3, hot_bucket: int = 1000) -> DataFrame:
-    """The rows, with all columns, that keep one document of each component: that with the smallest id.
+    """One row of each component, with all columns: the one with the smallest id, then the smallest hash of its text.
 
-    Repeated rows of one id count as one document and leave one row. Rows without an id cannot be told apart: all stay.
+    Rows without an id come last. Of rows alike in id and text the one stays whose columns, as JSON, come first.
     """
-    found = Workspace(df.sparkSession, "simhash").write(simhash_components(df, id_col, text_col, shingle, budget, hot_bucket), "found")
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).count()
-    rows = df.join(kept.select("kept_id"), F.col(id_col).cast("long") == F.col("kept_id"), "left_semi")
+    ws = Workspace(df.sparkSession, "simhash")
+    row_id, row_hash = fresh(df, "row_id", "row_hash")
+    keyed = df.select("*", F.col(id_col).cast("long").alias(row_id), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(row_hash))
+    last = F.col("doc_id").isNull()
+    texts = text_rows(df, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    prints = ws.write(texts.mapInArrow(_fingerprint_batches(shingle, True), "doc_id long, fp long, hash long"), "prints")
+    place = F.struct(last.alias("last"), "doc_id", "hash")
+    found = _named(prints, ws, F.min(place), "chosen", budget, hot_bucket)
+    kept = ws.write(found.where(place == F.col("chosen")).groupBy("doc_id", "hash").count(), "kept")
+    chosen = kept.select(F.col("doc_id").alias(row_id), F.col("hash").alias(row_hash))
+    left, right = keyed.alias("l"), chosen.alias("r")
+    rows = left.join(right, F.col(f"l.{row_id}").eqNullSafe(F.col(f"r.{row_id}")) & (F.col(f"l.{row_hash}") == F.col(f"r.{row_hash}")), "left_semi")
     if kept.where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates([id_col])
-    return rows.union(df.where(F.col(id_col).isNull())) if found.where("doc_id is null").limit(1).count() else rows
+        whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+        rows = rows.groupBy(row_id, row_hash).agg(F.min_by(whole, F.to_json(whole)).alias("whole")).select("whole.*")
+    return rows.select(*(f"`{c}`" for c in df.columns))
