@@ -5,7 +5,8 @@ stage's docs. All but the last return the columns of documents, whatever those a
 own input with the hold-out rules of the single queries.
 
 Defined cases: a null text is never toxic and has no language, so language ID rejects it; documents that the model is
-not sure of are rejected too; without labels no document is toxic; of repeated rows of one id one stays; an empty
+not sure of are rejected too; without labels no document is toxic; of repeated rows, as of near-duplicates, one stays, and
+rows of one id with different texts are different documents; an empty
 table gives no pieces.
 """
 
