@@ -44,16 +44,16 @@ URL_LISTS = [
 
 
 def op5_association_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's label is that of the document whose number its path names; bad is toxic or of low quality."""
+    """A page shows the document whose number its path names, so that document's label is the page's; bad is toxic or of low quality."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     bad = read_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
     number = F.try_to_number(F.regexp_extract("url", r"://[^/?#]*/[a-z]+/([0-9]{1,18})", 1), F.lit("999999999999999999")).cast("long")
     labelled = pages.select(url_rules.tokens_of(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("tokens"), number.alias("doc_id")).join(bad, "doc_id").select("tokens", "bad")
-    return url_rules.judge(pages, URL_LISTS, url_rules.mine(labelled, max_tokens=None))
+    return url_rules.judge(pages, URL_LISTS, url_rules.mine(labelled))
 
 
 OP5_SQL = """
-WITH split AS (
+WITH RECURSIVE split AS (
   SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
@@ -75,8 +75,7 @@ labelled AS (
 item AS (SELECT k, bad, unnest(tokens) AS t FROM labelled),
 combo AS (
   SELECT k, bad, [t] AS ante FROM item
-  UNION ALL SELECT a.k, a.bad, [a.t, b.t] FROM item a JOIN item b ON a.k = b.k AND a.t < b.t
-  UNION ALL SELECT a.k, a.bad, [a.t, b.t, c.t] FROM item a JOIN item b ON a.k = b.k AND a.t < b.t JOIN item c ON b.k = c.k AND b.t < c.t),
+  UNION ALL SELECT c.k, c.bad, list_append(c.ante, i.t) FROM combo c JOIN item i ON c.k = i.k AND i.t > c.ante[-1]),
 size AS (SELECT count(*) AS n, count(*) FILTER (bad) AS n_bad FROM labelled),
 mined AS (
   SELECT ante, CAST(count(*) FILTER (bad) AS DOUBLE) / count(*) AS confidence FROM combo, size GROUP BY ante, n, n_bad

@@ -4,8 +4,10 @@ A URL is split into host and path; their alphanumeric tokens, marked h: and p:,
 the document that the page came from. Spark's FP-growth mines baskets of labelled pages, and rules from tokens to the
 bad label are kept by support, confidence and lift, without those that a shorter kept rule implies. A rule matches a
 URL that holds all its tokens: an inverted index from token to rules is joined with the tokens of the URLs that no list
-rule decided, and matched tokens are counted. Baskets are of distinct URL shapes with their counts, so a hot host is a
-few rows.
+rule decided, and matched tokens are counted. Mining takes one basket per labelled page; matching takes each distinct set of
+tokens once, so a hot host is a few rows there, and the pages of a hot set are dealt over salts.
+
+Pruning uses an index as well: a shorter rule is listed under its rarest token only, so a longer rule meets few others.
 
 List rules come first: a rule (host, path prefix) fits its host and all subdomains; the longest host wins, then the
 longest path.
@@ -64,7 +66,7 @@ def list_rule(host: Column, path: Column, rules: list[ListRule]) -> Column:
     return out
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_pages: int = 8, min_confidence: float = 0.6, min_lift: float = 2.0, max_tokens: int | None = 3) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.002, min_pages: int = 8, min_confidence: float = 0.6, min_lift: float = 2.0, max_tokens: int | None = None) -> DataFrame:
     """labelled (tokens array<string>, bad boolean): rules (rule_id, antecedent array<string>, confidence, support); max_tokens None keeps every length."""
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, support double")
@@ -76,11 +78,19 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_pages: int = 8, mi
     rules = model.associationRules.where(
         (F.col("consequent") == F.array(F.lit(BAD))) & (F.lit(True) if max_tokens is None else F.size("antecedent") <= max_tokens) & (F.col("lift") >= min_lift)
     ).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    longer, shorter = rules.alias("l"), rules.alias("s")
-    implied = longer.join(
-        shorter, (F.size("s.antecedent") < F.size("l.antecedent")) & (F.size(F.array_except("s.antecedent", "l.antecedent")) == 0) & (F.col("s.confidence") >= F.col("l.confidence")), "left_anti"
+    return without_implied(rules.select(F.xxhash64("antecedent").alias("rule_id"), "antecedent", "confidence", "support"))
+
+
+def without_implied(rules: DataFrame) -> DataFrame:
+    """The rules of which no shorter part is a rule at least as sure: those change no verdict and no confidence."""
+    tokens = rules.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("token"))
+    often = tokens.groupBy("token").count()
+    rarest = tokens.join(often, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("count", "token")).alias("token"))
+    shorter = rules.join(rarest, "rule_id").select("token", F.col("antecedent").alias("part"), F.col("confidence").alias("part_confidence"))
+    implied = tokens.join(shorter, "token").where(
+        (F.size("part") < F.size("antecedent")) & (F.col("part_confidence") >= F.col("confidence")) & (F.size(F.array_except("part", "antecedent")) == 0)
     )
-    return implied.select(F.xxhash64("antecedent").alias("rule_id"), "antecedent", "confidence", "support")
+    return rules.join(implied.select("rule_id").distinct(), "rule_id", "left_anti")
 
 
 def judge(pages: DataFrame, lists: list[ListRule], rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

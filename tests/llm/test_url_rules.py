@@ -50,7 +50,7 @@ def test_mined_rules_against_brute_force(spark):
     mined = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"))
     n, bad = len(rows), sum(b for _, b in rows)
     want = {}
-    for k in (1, 2, 3):
+    for k in range(1, 7):
         for ante in itertools.combinations(sorted({t for r, _ in rows for t in r}), k):
             hit = [b for r, b in rows if set(ante) <= set(r)]
             if sum(hit) >= max(math.ceil(0.002 * n), 8) and sum(hit) / len(hit) >= 0.6 and sum(hit) / len(hit) / (bad / n) >= 2:
@@ -90,3 +90,27 @@ def test_query_keeps_rules_of_four_tokens(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r.page_id: r.verdict for r in queries.op5_association_url_filter(spark, str(tmp_path)).collect()}
     assert got == {i: "allow" if q else "block" for i, q, _ in labels}
+
+
+def test_query_against_sql_where_rules_fire(spark, tmp_path):
+    """Labels follow the URL: both engines mine rules of one to three tokens, and unlisted pages are blocked by them."""
+    rng = random.Random(9)
+    pages, labels = [], []
+    for i in range(1500):
+        host = rng.choice(["casino-win.example.org", "www.bets.example.org", "good.example.net", "news.example.org", "m.pills.example.com", "x.net"])
+        words = [w for w in ("free", "win", "deal", "home") if rng.random() < 0.4]
+        pages.append((i, f"http://{host}/{rng.choice(['en', 'es', 'de'])}/{i}/{'/'.join(words)}?q={i}"))
+        bad = "casino" in host or {"free", "win"} <= set(words) or ("bets" in host and {"deal", "home"} <= set(words))
+        if rng.random() < 0.6:
+            labels.append((i, int(rng.random() < (0.05 if bad else 0.95)), int(bad and rng.random() < 0.2)))
+    pages += [(1500, None), (1501, "no host"), (1502, "https://casino-win.example.org/en/9999999/")]
+    spark.createDataFrame(pages, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(map(tuple, queries.op5_association_url_filter(spark, str(tmp_path)).collect()), key=str)
+    db = duckdb.connect()
+    for t in ("pages", "labels"):
+        db.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(db.execute(queries.OP5_SQL).fetchall(), key=str)
+    mined = [r for r in got if r[3] is None and r[4] == "block"]
+    assert len(mined) > 200 and len({r[5] for r in mined}) >= 3
+    assert (1502, "casino-win.example.org", "/en/9999999/", None, "block") in {r[:5] for r in mined}
