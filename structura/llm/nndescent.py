@@ -6,31 +6,34 @@ graph: around each vector its neighbours, reverse neighbours and itself meet, al
 better neighbours replace worse ones, until a round changes little. Every comparison at or above the threshold also
 links its two vectors (a spanning forest leaves the task, not all pairs).
 
-A list full of links is saturated: the vector may have more links than the list holds. It takes no more candidates;
-instead its list is enlarged to its whole component, which is compared exactly, in tiles of bounded size that any
-number of tasks share. So the links of a found component are complete.
+A list full of links is saturated: the vector may have more links than the list holds. Such a list is enlarged, up to
+`widest` links. Beyond that, and for all others too, links are counted exactly inside the components found, in tiles of
+bounded size that any number of tasks share; so a list's size never limits a count.
 
-What the rounds missed is searched exactly: all vectors of one length are cut into blocks, every pair of blocks is a
-task's tile, and links between components join them before links are counted. So components and counts are those of all
-pairs, whatever the graph found; the graph only leaves fewer components to join. The work grows with the square of the
-distinct vectors.
+Recall is audited: a sample of `audit` vectors is compared with all vectors, and a vector's recall is the share of its
+links that lie in its component. The mean over the sampled vectors that have links, taken apart for those with at most
+`k` links and those with more, must reach `goal`; until then further orders are drawn and rounds go on, `repairs` times at
+most. A final recall below `accepted` is an error; what was reached is returned with the rows.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing, and neither do
-vectors of different lengths; equal vectors link with each other; repeated rows count as copies; an empty table gives
-no rows; a row without an id links with nothing and has no component.
+vectors of different lengths; equal vectors link with each other; repeated rows count as copies; a pair within 1e-9 of the
+threshold is decided by its exactly rounded sum, so every comparison of it agrees; an empty table gives no rows; a row
+without an id links with nothing and has no component.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, local_labels, partitions
+from .common import Workspace, components, join_hot, local_labels, partitions
 
 EDGE = "kind int, u long, v long, sim double"
 
@@ -42,10 +45,14 @@ class Settings:
     orders: int = 4
     bits: int = 24
     run: int = 256
-    rounds: int = 4
+    widest: int = 32
+    rounds: int = 6
     settled: float = 0.002
-    tile: int = 1024
-    block: int = 2048
+    tile: int = 256
+    audit: int = 2000
+    goal: float = 0.99
+    accepted: float = 0.9
+    repairs: int = 6
 
 
 def vector(df: DataFrame, vec_col: str):
@@ -54,12 +61,25 @@ def vector(df: DataFrame, vec_col: str):
     return F.col(vec_col).cast(kind if kind == "array<float>" else "array<double>")
 
 
-def representatives(df: DataFrame, ws: Workspace, id_col: str, vec_col: str) -> DataFrame:
-    """(id, m, dim, vec): one row per distinct usable vector, its smallest row id and its rows."""
-    vec = vector(df, vec_col)
+def usable_rows(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, vec) of the rows that can link, and of the rest."""
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull())
-    return ws.write(rows.where(finite).groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("m")).select("id", "m", F.size("vec").alias("dim"), "vec"), "reps")
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vector(df, vec_col).alias("vec"))
+    good = F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & F.coalesce(finite, F.lit(False))
+    return rows.where(good), rows.where(~good)
+
+
+def representatives(rows: DataFrame, ws: Workspace) -> DataFrame:
+    """(id, m, dim, vec): one row per distinct vector, its smallest row id and its rows."""
+    return ws.write(rows.groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")).select("id", "m", F.size("vec").alias("dim"), "vec"), "reps")
+
+
+def reach(sims: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which products of unit vectors reach the threshold; the order of summation never decides."""
+    near = sims >= threshold
+    for i, j in zip(*np.nonzero(np.abs(sims - threshold) <= 1e-9)):
+        near[i, j] = math.fsum(x[i] * y[j]) >= threshold
+    return near
 
 
 def unit(batch: pa.RecordBatch | pa.Table, name: str = "vec") -> np.ndarray:
@@ -84,8 +104,8 @@ class Found:
             self.parts.append((np.full(len(u), kind, dtype=np.int32), u, v, sim))
             self.size += len(u)
 
-    def links(self, ids: np.ndarray, sims: np.ndarray) -> None:
-        a, b = np.nonzero(np.triu(sims >= self.threshold, 1))
+    def links(self, ids: np.ndarray, x: np.ndarray, sims: np.ndarray) -> None:
+        a, b = np.nonzero(np.triu(reach(sims, x, x, self.threshold), 1))
         if len(a):
             labels = local_labels(len(ids), a, b)
             tied = np.flatnonzero(labels != np.arange(len(ids)))
@@ -123,8 +143,8 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def first_graph(reps: DataFrame, s: Settings, n: int) -> DataFrame:
-    """Edges from runs of random-projection orders."""
+def first_graph(reps: DataFrame, s: Settings, n: int, first: int = 0) -> DataFrame:
+    """Edges from runs of random-projection orders, numbered from first."""
 
     def code_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -133,7 +153,7 @@ def first_graph(reps: DataFrame, s: Settings, n: int) -> DataFrame:
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 x = unit(part)
-                for t in range(s.orders):
+                for t in range(first, first + s.orders):
                     if (t, dim) not in planes:
                         planes[t, int(dim)] = np.random.Generator(np.random.PCG64([t, int(dim)])).normal(size=(int(dim), s.bits))
                     bits = x @ planes[t, int(dim)] > 0
@@ -176,7 +196,7 @@ def _compare(ids: np.ndarray, x: np.ndarray, least: np.ndarray | None, k: int, f
     if len(ids) < 2:
         return
     sims = x @ x.T
-    found.links(ids, sims)
+    found.links(ids, x, sims)
     np.fill_diagonal(sims, -2)
     k = min(k, len(ids) - 1)
     best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
@@ -186,21 +206,25 @@ def _compare(ids: np.ndarray, x: np.ndarray, least: np.ndarray | None, k: int, f
     found.add(0, ids[rows], ids[best[rows, columns]], value[rows, columns])
 
 
-def keep_best(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each vector; ties go to the smaller id."""
+def keep_best(edges: DataFrame, s: Settings) -> DataFrame:
+    """The k nearest of each vector, and of a saturated list's further links as many as the widest list holds; ties go to the smaller id."""
     order = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
     one = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    return one.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    place = F.col("place")
+    return one.withColumn("place", F.row_number().over(order)).where((place <= s.k) | ((place <= s.widest) & (F.col("sim") >= s.threshold)))
 
 
-def refine(graph: DataFrame, reps: DataFrame, s: Settings, k: int, n: int) -> DataFrame:
-    """Edges from the meetings around each vector."""
-    spread = 1 << 20
+def refine(graph: DataFrame, reps: DataFrame, s: Settings, n: int, step: int) -> DataFrame:
+    """Edges from the meetings around each vector. Reverse neighbours beyond 2 k are drawn anew in each step."""
+    spread, k = 1 << 20, s.k
     degree = graph.groupBy("v").count()
-    back = graph.join(degree, "v").where(F.pmod(F.xxhash64("u", "v"), F.lit(spread)) < F.ceil(F.lit(spread * 2 * k) / F.col("count")))
+    back = graph.join(degree, "v").where(F.pmod(F.xxhash64("u", "v", F.lit(step)), F.lit(spread)) < F.ceil(F.lit(spread * 2 * k) / F.col("count")))
     worst = graph.groupBy("u").agg(F.min("sim").alias("sim"), F.count("*").alias("held"))
-    # a saturated list takes no more; a list that is not full takes anything
-    least = worst.select(F.col("u").alias("id"), F.when(F.col("sim") >= s.threshold, 3.0).when(F.col("held") < k, -2.0).otherwise(F.col("sim")).alias("least"))
+    # a list that is not full takes anything, a saturated one further links, the widest nothing
+    least = worst.select(
+        F.col("u").alias("id"),
+        F.when(F.col("held") >= s.widest, 3.0).when(F.col("held") < k, -2.0).otherwise(F.least(F.col("sim"), F.lit(s.threshold))).alias("least"),
+    )
     members = graph.select(F.col("u").alias("center"), F.col("v").alias("id")).union(back.select(F.col("v").alias("center"), F.col("u").alias("id"))).union(reps.select(F.col("id").alias("center"), "id")).distinct()
     vectors = reps.join(least, "id", "left").select("id", "dim", "vec", F.coalesce("least", F.lit(-2.0)).alias("least"))
 
@@ -216,40 +240,43 @@ def refine(graph: DataFrame, reps: DataFrame, s: Settings, k: int, n: int) -> Da
     return dealt.sortWithinPartitions("center", "id").mapInArrow(meet, EDGE)
 
 
-def crossing(named: DataFrame, s: Settings) -> DataFrame:
-    """(u, v): components that links join, from all pairs of representatives; a spanning forest of each tile.
-
-    named: (id, dim, vec, component).
-    """
-    blocks = named.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(s.block)).cast("long").alias("blocks"))
-    dealt = named.join(F.broadcast(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    tiles = dealt.select("dim", "component", "id", "vec", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    tiles = tiles.select("dim", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "component", "vec")
+def recall(named: DataFrame, s: Settings, n: int) -> float:
+    """The audited recall of the components: the lesser of the two means."""
+    spread = 1 << 30
+    share = math.ceil(spread * s.audit / max(n, 1))
+    sample = named.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(spread)) < share).select("id", "dim", "component", "vec").toArrow()
+    asked = {}  # some `audit` vectors, whatever the input
+    for dim in set(sample.column("dim").to_pylist()):
+        part = sample.filter(pa.compute.equal(sample.column("dim"), dim))
+        asked[dim] = (part.column("id").to_numpy(), part.column("component").to_numpy(), unit(part))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in grouped(batches, ["dim", "a", "b"]):
-            x, block = unit(held), held.column("block").to_numpy()
-            names, own = np.unique(held.column("component").to_numpy(), return_inverse=True)
-            left, right = (np.flatnonzero(block == held.column(c)[0].as_py()) for c in ("a", "b"))
-            facing, labels = x[right].T, np.arange(len(names))
-            for at in range(0, len(left), 256):
-                i, j = np.nonzero(x[left[at : at + 256]] @ facing >= s.threshold)
-                local_labels(len(names), own[left[at + i]], own[right[j]], labels)
-            tied = np.flatnonzero(labels != np.arange(len(names)))
-            yield pa.RecordBatch.from_arrays([pa.array(names[tied]), pa.array(names[labels[tied]])], names=["u", "v"])
-
-    dealt = tiles.repartition(int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")), "dim", "a", "b").sortWithinPartitions("dim", "a", "b", "id")
-    return dealt.mapInArrow(search, "u long, v long")
-
-
-def link_counts(named: DataFrame, s: Settings) -> DataFrame:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in set(dims.tolist()) & asked.keys():
+                part = batch.filter(pa.array(dims == dim))
+                ids, component, x = asked[dim]
+                own, other, y = part.column("id").to_numpy(), part.column("component").to_numpy(), unit(part)
+                near = reach(x @ y.T, x, y, s.threshold) & (ids[:, None] != own)
+                some = np.flatnonzero(near.any(axis=1))
+                held = (near & (component[:, None] == other)).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(near.sum(axis=1)[some]), pa.array(held[some])], names=["id", "links", "held"])
+
+    per_vector = named.mapInArrow(search, "id long, links long, held long").groupBy("id").agg(F.sum("links").alias("links"), F.sum("held").alias("held"))
+    means = per_vector.groupBy((F.col("links") <= s.k).alias("few")).agg(F.avg(F.col("held") / F.col("links")).alias("mean")).collect()
+    return min((r["mean"] for r in means), default=1.0)
+
+
+def link_counts(named: DataFrame, s: Settings, ws: Workspace) -> DataFrame:
     """(id, links): rows that each representative of a component links with, exactly, copies of itself left out.
 
     A component of more than one tile's size is cut into blocks, and every pair of blocks is a task's tile.
     """
-    sizes = named.groupBy("component").count().where("count > 1")
-    blocks = F.ceil(F.col("count") / F.lit(s.tile)).cast("long")
-    dealt = named.join(sizes, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    spark = named.sparkSession
+    blocks = F.ceil(F.col("n") / F.lit(s.tile)).cast("long")
+    sizes = ws.write(named.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", blocks), "sizes")
+    rows, copies = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()
+    dealt = join_hot(named, sizes, "component", rows).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     tiles = dealt.select("component", "id", "m", "vec", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     tiles = tiles.select("component", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "m", "vec")
 
@@ -259,7 +286,7 @@ def link_counts(named: DataFrame, s: Settings) -> DataFrame:
             x, m, block = unit(held), held.column("m").to_numpy(), held.column("block").to_numpy()
             a, b = held.column("a")[0].as_py(), held.column("b")[0].as_py()
             left, right = block == a, block == b
-            near = x[left] @ x[right].T >= s.threshold
+            near = reach(x[left] @ x[right].T, x[left], x[right], s.threshold)
             if a == b:
                 np.fill_diagonal(near, False)
             ids.append(held.column("id").to_numpy()[left])
@@ -274,8 +301,7 @@ def link_counts(named: DataFrame, s: Settings) -> DataFrame:
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(links).astype(np.int64))], names=["id", "links"])
 
-    spark = named.sparkSession
-    dealt = tiles.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "component", "a", "b").sortWithinPartitions("component", "a", "b", "id")
+    dealt = tiles.repartition(partitions(spark, copies, 20_000), "component", "a", "b").sortWithinPartitions("component", "a", "b", "id")
     return dealt.mapInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
@@ -285,31 +311,39 @@ def name(reps: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", settings: Settings = Settings()) -> DataFrame:
-    """vec_id, n_links, component_id and kept for every row."""
+    """vec_id, n_links, component_id, kept and the audited recall for every row."""
     s = settings
-    ws = Workspace(df.sparkSession, "nndescent")
-    reps = representatives(df, ws, id_col, vec_col)
-    n = reps.count()
-    edges = ws.write(first_graph(reps, s, n), "edges0")
-    links = edges.where("kind = 1").select("u", "v")
-    graph = ws.write(keep_best(edges.where("kind = 0"), s.k), "graph0")
-    for step in range(1, s.rounds + 1):
-        edges = ws.write(refine(graph, reps, s, s.k, n), f"edges{step}")
-        links = links.union(edges.where("kind = 1").select("u", "v"))
-        after = ws.write(keep_best(graph.select("u", "v", "sim").union(edges.where("kind = 0").select("u", "v", "sim")), s.k), f"graph{step}")
-        changed = after.join(graph, ["u", "v"], "left_anti").count()
-        graph = after
-        if changed <= s.settled * s.k * max(n, 1):
+    spark = df.sparkSession
+    ws = Workspace(spark, "nndescent")
+    rows, rest = usable_rows(df, id_col, vec_col)
+    reps = representatives(rows, ws)
+    n, total = reps.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
+    links = graph = None
+    step = 0
+    for draw in range(s.repairs + 1):
+        edges = ws.write(first_graph(reps, s, n, draw * s.orders), f"orders{draw}")
+        graph, links = _grown(graph, links, edges, s, ws, f"drawn{draw}")
+        for _ in range(s.rounds):
+            step += 1
+            edges = ws.write(refine(graph, reps, s, n, step), f"edges{step}")
+            before = graph
+            graph, links = _grown(graph, links, edges, s, ws, f"graph{step}")
+            if graph.join(before, ["u", "v"], "left_anti").count() <= s.settled * s.k * max(n, 1):
+                break
+        named = ws.write(name(reps, components(links, Workspace(spark, "nndescent"))), f"named{draw}")
+        reached = recall(named, s, n)
+        if reached >= s.goal:
             break
-    named = ws.write(name(reps, components(links, Workspace(df.sparkSession, "nndescent"))), "named")
-    joined = ws.write(crossing(named, s), "crossing")
-    found = components(named.select(F.col("id").alias("u"), F.col("component").alias("v")).union(joined), Workspace(df.sparkSession, "nndescent"))
-    named = ws.write(name(reps, found), "whole")
-    counted = named.join(link_counts(named, s), "id", "left").select("vec", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component")
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vector(df, vec_col).alias("vec"))
-    known = F.col("vec_id").isNotNull()
-    component = F.when(known, F.coalesce("component", "vec_id"))
-    return rows.join(counted, "vec", "left").select(
-        "vec_id", F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
-    )
+    if reached < s.accepted:
+        raise RuntimeError(f"the neighbour graph reached a recall of {reached:.3f} only")
+    counted = named.join(link_counts(named, s, ws), "id", "left").select("vec", "component", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.col("m").alias("n"))
+    found = join_hot(rows, ws.write(counted, "counted"), "vec", total).select("vec_id", "n_links", F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
+    alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    return found.union(alone).withColumn("recall", F.lit(float(reached)))
+
+
+def _grown(graph: DataFrame | None, links: DataFrame | None, edges: DataFrame, s: Settings, ws: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
+    """The graph and the links with these edges."""
+    near, more = edges.where("kind = 0").select("u", "v", "sim"), edges.where("kind = 1").select("u", "v")
+    near = near if graph is None else graph.select("u", "v", "sim").union(near)
+    return ws.write(keep_best(near, s), name), more if links is None else links.union(more)
