@@ -5,8 +5,9 @@ n-grams, longest first: the longest length of which any n-gram is known decides,
 ones. A text's language has the highest sum over its words; the score is the posterior of that sum.
 
 The model is fitted on a bounded sample of labelled rows (`docs_per_language`, taken by a hash of the id, so alike in
-every run) and keeps at most `max_words` words and `max_grams` n-grams per length, by count; both bounds make it fit
-for broadcast at any input size. Prediction reads every text whole and uses nothing but the text.
+every run), of any number of languages, and keeps the words and n-grams that occur at least `min_count` times in it; what is
+rarer backs off. The sample's bound is the model's, whatever the input's size. Prediction reads every text whole and uses
+nothing but the text.
 
 Defined cases: a null text or one without a letter is `und` with score 0; ties go to the language first in sorted
 order; without any labelled row every text is `und`; repeated rows each get a row; an empty table gives no rows.
@@ -146,23 +147,21 @@ def _counts(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 4000, max_words: int = 120_000, max_grams: int = 30_000) -> WordModel:
+def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 4000, min_count: int = 3) -> WordModel:
     """Learn from the rows where train holds and the language is known."""
     rows = text_rows_with(df.where(train & F.col(lang_col).isNotNull()), id_col, text_col, lang_col)
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return WordModel([], {}, {}, np.zeros((0, 0)))
     languages = sorted(sizes)
     spread = 1 << 20
-    share = F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit(min(spread, math.ceil(spread * docs_per_language / sizes[lang]))))))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < F.try_element_at(share, F.col("lang")))
+    # one row per language
+    share = df.sparkSession.createDataFrame([(lang, min(spread, math.ceil(spread * docs_per_language / n))) for lang, n in sizes.items()], "lang string, share long")
+    sample = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < F.col("share")).select("doc_id", "text", "lang")
     counts = sample.mapInArrow(_count_batches, "lang string, n int, key string, count long").groupBy("n", "key", "lang").agg(F.sum("count").alias("count"))
     counts = Workspace(df.sparkSession, "langid").write(counts, "counts")
     keyed = counts.groupBy("n", "key").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
-    kept = [keyed.where(F.col("n") == n).orderBy(F.desc("total"), "key").limit(max_grams if n else max_words) for n in range(MAX_GRAM + 1)]
-    top = kept[0]
-    for x in kept[1:]:
-        top = top.union(x)
+    top = keyed.where(F.col("total") >= min_count)
     sums = {(r.n, r.lang): r.total for r in counts.groupBy("n", "lang").agg(F.sum("count").alias("total")).collect()}
     at = {lang: i for i, lang in enumerate(languages)}
     floors = {n: np.log(0.5 / np.array([sums.get((n, lang), 0) + 1.0 for lang in languages])) for n in range(MAX_GRAM + 1)}
@@ -185,7 +184,7 @@ def text_rows_with(df: DataFrame, id_col: str, text_col: str, other: str) -> Dat
 
 def predict(df: DataFrame, model: WordModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for every row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
@@ -199,7 +198,7 @@ def predict(df: DataFrame, model: WordModel, id_col: str = "doc_id", text_col: s
 
 def with_language(df: DataFrame, model: WordModel, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
     """The rows, with all columns, whose text has a language that the model is sure of."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def keep():
         return lambda texts: [lang != "und" and score >= min_score for lang, score in shared.value.predict(texts)]

@@ -1,3 +1,6 @@
+import re
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 from structura.llm import langid, queries
@@ -45,3 +48,49 @@ def test_held_out_rows_are_never_learned(spark):
     held = {r.text.split()[0][:-1] for r in df.where(~train).collect()}
     model = langid.fit(df, train)
     assert held and all(r.text.split()[0] not in model.words for r in df.where(~train).collect())
+
+
+def test_any_number_of_languages_and_repeated_rows(spark):
+    rows = [(i, f"word{i // 4} thing", f"l{i // 4:04}") for i in range(4400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, F.lit(True))
+    assert len(model.languages) == 1100
+    twice = df.where("doc_id < 8").union(df.where("doc_id < 8"))
+    got = sorted((r.doc_id, r.lang_pred) for r in langid.predict(twice, model).collect())
+    assert got == sorted(2 * [(i, f"l{i // 4:04}") for i in range(8)])
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: (r.text or "", r.lang) for r in docs.collect()}
+    counts = {n: {} for n in range(6)}
+    keys = {n: {} for n in range(6)}
+    for d, (text, lang) in texts.items():
+        if zlib.crc32(str(d).encode()) % 5 and lang is not None:
+            for w in re.findall(r"[^\W\d_]+", text.lower()):
+                p = f"^{w}$"
+                for n in range(6):
+                    for key in [w] if n == 0 else [p[i : i + n] for i in range(len(p) - n + 1)]:
+                        by = counts[n].setdefault(lang, {})
+                        by[key] = by.get(key, 0) + 1
+                        keys[n][key] = keys[n].get(key, 0) + 1
+    langs = sorted(counts[0])
+    totals = {n: {lang: sum(counts[n][lang].values()) + 1.0 for lang in langs} for n in range(6)}
+
+    def word(w):
+        p = f"^{w}$"
+        for n in [0, *range(min(5, len(p)), 0, -1)]:
+            known = [k for k in ([w] if n == 0 else [p[i : i + n] for i in range(len(p) - n + 1)]) if keys[n].get(k, 0) >= 3]
+            if known:
+                return np.array([np.mean([np.log((counts[n][lang].get(k) or 0.5) / totals[n][lang]) for k in known]) for lang in langs])
+        return np.zeros(len(langs))
+
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op6_word_backoff_langid(spark, sf).collect()}
+    held = {}
+    for d, (text, _) in list(texts.items())[::9]:
+        words = [w for w in re.findall(r"[^\W\d_]+", text.lower())]
+        if not words or len(words) > 3000:
+            continue
+        total = sum(held[w] if w in held else held.setdefault(w, word(w)) for w in words)
+        assert got[d][0] == langs[int(np.argmax(total))] and abs(got[d][1] - 1 / np.exp(total - total.max()).sum()) < 1e-6
