@@ -51,7 +51,8 @@ def test_held_out_rows_are_never_learned(spark):
 
 
 def test_any_number_of_languages_and_repeated_rows(spark):
-    rows = [(i, f"word{i // 4} thing", f"l{i // 4:04}") for i in range(4400)]
+    letters = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:04}")
+    rows = [(i, f"word{letters(i // 4)} thing", f"l{i // 4:04}") for i in range(4400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(df, F.lit(True))
     assert len(model.languages) == 1100
