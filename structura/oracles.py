@@ -252,3 +252,65 @@ NESTED = """WITH d0 AS (SELECT chain_id, level, (chain_id * 7 + level * 5) % 11
   r AS (SELECT *, coalesce(sum((reason <> 'bc')::INT) OVER (PARTITION BY chain_id ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS broken FROM v)
   SELECT chain_id, level::BIGINT AS level, reason, round(cand / ref, 6)::DOUBLE AS ratio, whole AS complete, CASE WHEN whole AND level = 3 THEN end_dt END AS turn_dt, CASE WHEN whole AND level = 3 THEN CASE WHEN up THEN cand_high ELSE cand_low END END::DOUBLE AS turn_price
   FROM (SELECT *, bool_and(reason = 'bc') OVER (PARTITION BY chain_id) AS whole FROM r WHERE broken = 0)"""
+
+BAND_TURNS = select("""SELECT symbol, '1 hour' AS freq, CAST(seq AS INTEGER) AS at, event FROM (
+  SELECT symbol, seq, event, step, lag(step, 1) OVER w AS one, lag(step, 2) OVER w AS two FROM (
+    SELECT symbol, seq, 'upper_turn_down' AS event, sign(upper - lag(upper) OVER v) AS step FROM bb WINDOW v AS (PARTITION BY symbol ORDER BY seq)
+    UNION ALL SELECT symbol, seq, 'lower_turn_up', sign(lag(lower) OVER v - lower) FROM bb WINDOW v AS (PARTITION BY symbol ORDER BY seq))
+  WHERE step <> 0 WINDOW w AS (PARTITION BY symbol, event ORDER BY seq)) WHERE step < 0 AND one > 0 AND two > 0""", "bb")
+# side and extreme of the stay that still waits for its hint
+REENTRY_HINTS = (
+    select("", "bb").rstrip()
+    + """,
+  rh AS (
+    SELECT symbol, seq, CASE state WHEN 'super_up' THEN 1 WHEN 'super_down' THEN -1 END AS side, close AS extreme, CAST(NULL AS VARCHAR) AS hint FROM bb WHERE seq = 0
+    UNION ALL
+    SELECT b.symbol, b.seq,
+      CASE WHEN b.state = 'super_up' THEN 1 WHEN b.state = 'super_down' THEN -1 WHEN b.state = 'normal' AND r.side * (b.close - r.extreme) > 0 THEN NULL ELSE r.side END,
+      CASE WHEN b.state = 'super_up' THEN CASE WHEN r.side = 1 THEN greatest(b.close, r.extreme) ELSE b.close END
+           WHEN b.state = 'super_down' THEN CASE WHEN r.side = -1 THEN least(b.close, r.extreme) ELSE b.close END ELSE r.extreme END,
+      CASE WHEN b.state = 'normal' AND r.side * (b.close - r.extreme) > 0 THEN CASE WHEN r.side > 0 THEN 'bs1_sell_hint' ELSE 'bs1_buy_hint' END END
+    FROM rh r JOIN bb b ON b.symbol = r.symbol AND b.seq = r.seq + 1)
+  SELECT symbol, '1 hour' AS freq, CAST(seq AS INTEGER) AS at, hint FROM rh WHERE hint IS NOT NULL"""
+)
+_OUTSIDE = "NOT (u.low <= r.zg AND u.high >= r.zd)"
+TRANSITION_PHASE = (
+    select("", "s").rstrip()
+    + f""",
+  sd AS (SELECT symbol, min(idx) AS seed, arg_min(zd, idx) AS zd, arg_min(zg, idx) AS zg FROM (
+    SELECT symbol, idx, greatest(low, lead(low, 1) OVER w, lead(low, 2) OVER w) AS zd, least(high, lead(high, 1) OVER w, lead(high, 2) OVER w) AS zg, lead(low, 2) OVER w AS third
+    FROM s WINDOW w AS (PARTITION BY symbol ORDER BY idx)) WHERE third IS NOT NULL AND zd <= zg GROUP BY symbol),
+  tp AS (
+    SELECT symbol, seed + 2 AS idx, zd, zg, 3 AS n, CAST(NULL AS BIGINT) AS gone, 'center_formed' AS event, CAST(NULL AS VARCHAR) AS direction FROM sd
+    UNION ALL
+    SELECT u.symbol, u.idx, r.zd, r.zg, CASE WHEN {_OUTSIDE} THEN r.n ELSE r.n + 1 END, CASE WHEN {_OUTSIDE} THEN coalesce(r.gone, u.idx) END,
+      CASE WHEN {_OUTSIDE} THEN CASE WHEN r.gone IS NULL THEN 'leave_pending' ELSE 'bs3' END WHEN r.n = 8 THEN 'upgrade' WHEN r.gone IS NULL THEN 'extend' ELSE 'return_to_center' END,
+      CASE WHEN {_OUTSIDE} AND r.gone IS NOT NULL THEN CASE WHEN u.low > r.zg THEN 'up' ELSE 'down' END END
+    FROM tp r JOIN s u ON u.symbol = r.symbol AND u.idx = r.idx + 1 WHERE r.direction IS NULL),
+  ends AS (SELECT symbol, arg_max(zd, idx) AS zd, arg_max(zg, idx) AS zg, arg_max(n, idx) AS n, max(direction) AS direction, arg_max(event, idx) AS last_event, max(CASE WHEN direction IS NOT NULL THEN gone END) AS gone FROM tp GROUP BY symbol)
+  SELECT z.symbol, '1 hour' AS freq, CASE WHEN e.symbol IS NULL THEN 'before' WHEN e.direction IS NULL THEN 'center' ELSE 'ended' END AS stage, e.zd, e.zg, CAST(coalesce(e.n, 0) AS INTEGER) AS n, e.direction, e.last_event,
+    0 AS consumed_from, CAST(coalesce(e.gone, z.k - 1) AS INTEGER) AS consumed_to
+  FROM (SELECT symbol, count(*) AS k FROM s GROUP BY symbol) z LEFT JOIN ends e ON e.symbol = z.symbol"""
+)
+# the touches of the five-bar average are counted from the start, so any stretch has one where the count grows
+_STROKE_106 = "f.kind <> r.kind AND f.idx - r.idx > 2 AND (CASE WHEN f.kind = 'top' THEN f.v > r.v ELSE r.v > f.v END) AND (CASE WHEN f.kind = 'top' THEN f.ups - r.ups0 ELSE f.downs - r.downs0 END) > 0"
+_FURTHER = "f.kind = r.kind AND (CASE WHEN f.kind = 'top' THEN f.v > r.v ELSE f.v < r.v END)"
+STROKES_106 = (
+    select("", "f", "l").rstrip()
+    + f""",
+  tm AS (SELECT m.symbol, m.idx, coalesce(m.high >= l.short, false)::INT AS up, coalesce(m.low <= l.short, false)::INT AS down FROM m JOIN l ON l.symbol = m.symbol AND l.seq = m.last),
+  tc AS (SELECT symbol, idx, sum(up) OVER w AS ups, sum(down) OVER w AS downs, sum(up) OVER w - up AS ups0, sum(down) OVER w - down AS downs0 FROM tm WINDOW w AS (PARTITION BY symbol ORDER BY idx)),
+  ft AS MATERIALIZED (SELECT f.symbol, f.no, f.kind, f.idx, f.v, tc.ups, tc.downs, tc.ups0, tc.downs0 FROM f JOIN tc ON tc.symbol = f.symbol AND tc.idx = f.idx),
+  pr AS (
+    SELECT symbol, no, CAST(0 AS BIGINT) AS pno, kind, idx, v, ups0, downs0 FROM ft WHERE no = 1
+    UNION ALL
+    SELECT f.symbol, f.no, CASE WHEN {_STROKE_106} THEN r.pno + 1 ELSE r.pno END, CASE WHEN {_STROKE_106} THEN f.kind ELSE r.kind END, CASE WHEN {_STROKE_106} OR {_FURTHER} THEN f.idx ELSE r.idx END,
+      CASE WHEN {_STROKE_106} OR {_FURTHER} THEN f.v ELSE r.v END, CASE WHEN {_STROKE_106} OR {_FURTHER} THEN f.ups0 ELSE r.ups0 END, CASE WHEN {_STROKE_106} OR {_FURTHER} THEN f.downs0 ELSE r.downs0 END
+    FROM pr r JOIN ft f ON f.symbol = r.symbol AND f.no = r.no + 1),
+  pv AS (SELECT symbol, pno, arg_max(kind, no) AS kind, arg_max(idx, no) AS idx, arg_max(v, no) AS v FROM pr GROUP BY 1, 2),
+  s0 AS (SELECT symbol, pno AS idx, CASE WHEN kind = 'top' THEN 'down' ELSE 'up' END AS direction, idx AS start_index, lead(idx) OVER w AS end_index, v AS start_value, lead(v) OVER w AS end_value FROM pv WINDOW w AS (PARTITION BY symbol ORDER BY pno))
+  SELECT s0.symbol, '1 hour' AS freq, CAST(s0.idx AS INTEGER) AS idx, direction, CAST(start_index AS INTEGER) AS start_index, CAST(end_index AS INTEGER) AS end_index, start_value, end_value,
+    least(start_value, end_value) AS low, greatest(start_value, end_value) AS high, ba.dt AS start_dt, be.dt AS end_dt
+  FROM s0 JOIN m x ON x.symbol = s0.symbol AND x.idx = start_index JOIN m y ON y.symbol = s0.symbol AND y.idx = end_index
+  JOIN b ba ON ba.symbol = s0.symbol AND ba.seq = x.last JOIN b be ON be.symbol = s0.symbol AND be.seq = y.last"""
+)

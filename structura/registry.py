@@ -139,7 +139,7 @@ def strokes_81(spark, sf_dir):
     return strokes_of(spark, sf_dir).select("symbol", *longs("idx"), "direction", *longs("start_index", "end_index"), "start_value", "end_value")
 
 
-@query("strokes_106")
+@query("strokes_106", oracles.STROKES_106)
 def strokes_106(spark, sf_dir):
     return st.project(st.structure(bars_of(spark, sf_dir), standard="106"), "stroke", *STROKE)
 
@@ -242,12 +242,12 @@ def band_events(spark, sf_dir):
     return wn.boll_changes(bands_of(spark, sf_dir)).select("symbol", *longs("seq"), "event")
 
 
-@query("band_turns")
+@query("band_turns", oracles.BAND_TURNS)
 def band_turns(spark, sf_dir):
     return st.band_turns(bands_of(spark, sf_dir))
 
 
-@query("reentry_hints")
+@query("reentry_hints", oracles.REENTRY_HINTS)
 def reentry_hints(spark, sf_dir):
     return st.reentry_hints(bands_of(spark, sf_dir))
 
@@ -312,7 +312,7 @@ def zn_next(spark, sf_dir):
     return wn.zn_next(strokes_of(spark, sf_dir)).select("symbol", *r6("low", "high"))
 
 
-@query("transition_phase")
+@query("transition_phase", oracles.TRANSITION_PHASE)
 def transition_phase(spark, sf_dir):
     return st.transition_phase(strokes_of(spark, sf_dir).withColumn("seq", F.col("idx")))
 
