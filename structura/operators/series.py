@@ -66,15 +66,18 @@ def raw_ma5(bars: Bars, merged: Sequence[MergedBar]) -> list[float | None]:
     return [averages.exact_mean(bars.close[m.last - 4 : m.last + 1]) if m.last >= 4 else None for m in merged]
 
 
-def read_structure(bars: Bars, min_gap: int | None = None, standard: str = "81") -> Structure:
+def read_structure(bars: Bars, min_gap: int | None = None, standard: str = "81", strokes: bool = True, segments: bool = True) -> Structure:
+    """Merged bars and all that follows from them; without strokes only the merged bars, without segments what strokes give."""
     gap = min_gap_of(standard, min_gap)
     merged = base_chain.merge_contained(bars.high, bars.low)
+    if not strokes:
+        return Structure(merged, [], [], [], [], [], [])
     points = base_chain.fractal_points(merged)
     chain = base_chain.pivot_chain(merged, points, gap, standard, raw_ma5(bars, merged) if standard == "106" else None)
-    strokes = stroke_units(bars, merged, chain)
-    segments = base_chain.segments_of(strokes)
-    units = segment_units(strokes, segments)
-    return Structure(merged, points, strokes, segments, units, base_chain.centers_of(strokes), base_chain.centers_of(units))
+    found = stroke_units(bars, merged, chain)
+    parts = base_chain.segments_of(found) if segments else []
+    units = segment_units(found, parts)
+    return Structure(merged, points, found, parts, units, base_chain.centers_of(found), base_chain.centers_of(units))
 
 
 def points_of(bars: Bars, s: Structure) -> list[dict]:

@@ -314,3 +314,21 @@ STROKES_106 = (
   FROM s0 JOIN m x ON x.symbol = s0.symbol AND x.idx = start_index JOIN m y ON y.symbol = s0.symbol AND y.idx = end_index
   JOIN b ba ON ba.symbol = s0.symbol AND ba.seq = x.last JOIN b be ON be.symbol = s0.symbol AND be.seq = y.last"""
 )
+CENTER_EVENTS = (
+    select("", "c").rstrip()
+    + """,
+  ce AS (SELECT c.symbol, c.idx AS k, c.first, c.last, lag(gg) OVER w AS pg, lag(dd) OVER w AS pd, lag(c.last) OVER w AS plast FROM c WINDOW w AS (PARTITION BY c.symbol ORDER BY c.idx)),
+  own AS (SELECT ce.symbol, ce.k, max(s.high) AS g, min(s.low) AS d FROM ce JOIN s ON s.symbol = ce.symbol AND s.idx BETWEEN ce.first AND ce.first + 2 GROUP BY 1, 2),
+  btw AS (SELECT ce.symbol, ce.k, min(s.low) AS lo, max(s.high) AS hi FROM ce JOIN s ON s.symbol = ce.symbol AND CASE WHEN plast + 1 < ce.first THEN s.idx BETWEEN plast + 1 AND ce.first - 1 ELSE s.idx = ce.first END WHERE plast IS NOT NULL GROUP BY 1, 2),
+  rel AS (SELECT ce.*, CASE WHEN plast IS NULL THEN NULL WHEN g < pd THEN 'down_continue' WHEN d > pg THEN 'up_continue' ELSE 'expand' END AS how,
+      greatest(pd, lo, d) AS z3, least(pg, hi, g) AS g3, greatest(pd, d) AS z2, least(pg, g) AS g2
+    FROM ce JOIN own USING (symbol, k) LEFT JOIN btw USING (symbol, k)),
+  ev AS (
+    SELECT symbol, k, first + 2 AS unit, 0 AS part, CASE WHEN how IS NULL THEN 'form' ELSE 'new' END AS kind, how AS relation, CAST(NULL AS DOUBLE) AS zd, CAST(NULL AS DOUBLE) AS zg, CAST(NULL AS INTEGER) AS n FROM rel
+    UNION ALL SELECT symbol, k, first + 2, 1, 'expand_zs', how, CASE WHEN z3 < g3 THEN z3 ELSE z2 END, CASE WHEN z3 < g3 THEN g3 ELSE g2 END, CASE WHEN z3 < g3 THEN 3 ELSE 2 END FROM rel WHERE how = 'expand' AND z2 < g2
+    UNION ALL SELECT symbol, k, unnest(range(first + 3, last + 1)), 2, 'extend', NULL, NULL, NULL, NULL FROM rel
+    UNION ALL SELECT rel.symbol, k, last + 1, 3, 'complete', NULL, NULL, NULL, NULL FROM rel JOIN s ON s.symbol = rel.symbol AND s.idx = rel.last + 1)
+  SELECT ev.symbol, '1 hour' AS freq, CAST(row_number() OVER (PARTITION BY ev.symbol ORDER BY ev.k, unit, part) - 1 AS INTEGER) AS idx, CASE WHEN kind = 'extend' AND unit - ce.first = 8 THEN 'upgrade_9' ELSE kind END AS kind,
+    CAST(ev.k AS INTEGER) AS first, CAST(unit AS INTEGER) AS last, s.end_dt, relation, ev.zd, ev.zg, ev.n
+  FROM ev JOIN ce ON ce.symbol = ev.symbol AND ce.k = ev.k JOIN s ON s.symbol = ev.symbol AND s.idx = ev.unit"""
+)

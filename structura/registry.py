@@ -101,7 +101,7 @@ def available_bars(spark, sf_dir):
 
 
 def records(spark, sf_dir, record: str, *columns) -> DataFrame:
-    return st.project(st.structure(bars_of(spark, sf_dir)), record, *columns)
+    return st.project(st.structure(bars_of(spark, sf_dir), records={record}), record, *columns)
 
 
 def merged_of(spark, sf_dir) -> DataFrame:
@@ -141,7 +141,7 @@ def strokes_81(spark, sf_dir):
 
 @query("strokes_106", oracles.STROKES_106)
 def strokes_106(spark, sf_dir):
-    return st.project(st.structure(bars_of(spark, sf_dir), standard="106"), "stroke", *STROKE)
+    return st.project(st.structure(bars_of(spark, sf_dir), standard="106", records={"stroke"}), "stroke", *STROKE)
 
 
 @query("centers_stroke", oracles.select("SELECT symbol, idx, zd, zg, gg, dd, n, first, last FROM c", "c"))
@@ -159,7 +159,7 @@ def trend_groups(spark, sf_dir):
     return wn.trend_groups(centers_of(spark, sf_dir)).select("symbol", F.col("grp").cast("long").alias("grp"), "type", "n", "zd", "zg")
 
 
-@query("center_events")
+@query("center_events", oracles.CENTER_EVENTS)
 def center_events(spark, sf_dir):
     return records(spark, sf_dir, "center_event", "idx", "kind", "first", "last", "end_dt", "relation", "zd", "zg", "n")
 
@@ -296,13 +296,13 @@ def gap_strength(spark, sf_dir):
 @query("fractal_power", oracles.FRACTAL_POWER)
 def fractal_power(spark, sf_dir):
     b = bars_of(spark, sf_dir)
-    m = st.project(st.structure(b), "merged", "idx", "low", "high", "start_index", "end_index", "end_dt", "start_value", "end_value")
+    m = st.project(st.structure(b, records={"merged"}), "merged", "idx", "low", "high", "start_index", "end_index", "end_dt", "start_value", "end_value")
     return wn.fractal_powers(m, wn.fractals(m)).select("symbol", *longs("bar_index"), "kind", "power")
 
 
 @query("osc_monitor", oracles.OSC_MONITOR)
 def osc_monitor(spark, sf_dir):
-    whole = st.structure(bars_of(spark, sf_dir))
+    whole = st.structure(bars_of(spark, sf_dir), records={"stroke", "stroke_center"})
     out = wn.oscillation(st.project(whole, "stroke", "idx", "low", "high"), st.project(whole, "stroke_center", "idx", "zd", "zg", "last"))
     return out.select("symbol", *longs("center"), *r6("z"), "n", "n_above", "n_below", "n_breaks", "status", "wedge", "strength", "upgrade_hint")
 
@@ -320,14 +320,14 @@ def transition_phase(spark, sf_dir):
 @query("range_divergences", oracles.RANGE_DIVERGENCES)
 def range_divergences(spark, sf_dir):
     b = bars_of(spark, sf_dir)
-    whole = st.structure(b)
+    whole = st.structure(b, records={"stroke", "stroke_center"})
     swings = wn.stroke_swings(st.project(whole, "stroke", *STROKE), st.macd(b))
     return wn.range_divergences(swings, st.project(whole, "stroke_center", *CENTER)).select("symbol", *longs("center"), "direction", "dt", "price", F.round("area_prev", 4).alias("area_prev"), F.round("area_last", 4).alias("area_last"))
 
 
 @query("third_points", oracles.THIRD_POINTS)
 def third_points(spark, sf_dir):
-    whole = st.structure(bars_of(spark, sf_dir))
+    whole = st.structure(bars_of(spark, sf_dir), records={"stroke", "stroke_center"})
     out = wn.third_points(st.project(whole, "stroke", *STROKE), st.project(whole, "stroke_center", *CENTER))
     return out.select("symbol", *longs("center"), "side", "dt", "price", *r6("ratio"))
 
@@ -559,17 +559,17 @@ def level_reading(spark, sf_dir):
 
 @query("change_starts_low")
 def change_starts_low(spark, sf_dir):
-    whole = st.structure(bars_of(spark, sf_dir))
+    whole = st.structure(bars_of(spark, sf_dir), records={"level_unit", "level_up"})
     return cf.change_starts_low(st.project(whole, "level_unit", "level", "idx", "direction"), st.project(whole, "level_up", "idx", "direction", "first", "last"))
 
 
 def cross_period(spark, sf_dir):
     """Fine bars' structure, and the coarse period's third buy points as signals."""
-    fine, coarse = src.event_bars(spark, sf_dir, "30 minutes"), st.structure(src.event_bars(spark, sf_dir, "4 hours"))
+    fine, coarse = src.event_bars(spark, sf_dir, "30 minutes"), st.structure(src.event_bars(spark, sf_dir, "4 hours"), records={"stroke", "stroke_center"})
     third = wn.third_points(st.project(coarse, "stroke", *STROKE), st.project(coarse, "stroke_center", *CENTER))
     named = third.join(st.project(coarse, "stroke_center", F.col("idx").alias("center"), "zd", "zg"), [*KEYS, "center"])
     signals = named.select("symbol", F.lit("30 minutes").alias("freq"), F.concat_ws(":", "side", "center").alias("signal_id"), F.col("dt").alias("signal_dt"), "side", "zd", "zg", "price")
-    return fine, st.structure(fine), signals
+    return fine, st.structure(fine, records={"merged", "stroke", "stroke_center"}), signals
 
 
 @query("run_exhaustion")

@@ -45,3 +45,13 @@ def test_replay_observes_every_step(spark, name):
         whole = st.replay_arrivals(src.with_arrival(four, "4 hours", late=four.seq % 10 == 3), step=1)
     got = registry.QUERIES[name](spark, SMALL)
     assert canonical(got.collect(), got.columns) == canonical(whole.collect(), whole.columns)
+
+
+def test_named_records_are_those_of_the_whole_fold(spark):
+    bars = src.event_bars(spark, SMALL)
+    whole = st.structure(bars).cache()
+    for names in ({"merged"}, {"stroke"}, {"segment_center", "point"}, {"level_unit", "same_level"}):
+        got = st.structure(bars, records=names)
+        assert canonical(got.collect(), got.columns) == canonical(whole.where(whole.record.isin(names)).collect(), whole.columns)
+    with pytest.raises(ValueError, match="unknown"):
+        st.structure(bars, records={"strokes"})
