@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, hmm, importance, langid, nndescent, packing, simhash, toxicity, url_rules
+from . import bpe, classifier, divergence, hmm, importance, langid, mixing, nndescent, packing, simhash, toxicity, url_rules
 from .common import Workspace, crc_mod, input_bytes, read_table
 
 
@@ -122,6 +122,43 @@ def op10_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op12_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+per_doc AS (SELECT k, lang, source, term, count(*) AS n FROM (SELECT k, lang, source, unnest(terms) AS term FROM doc) GROUP BY ALL),
+counts AS (SELECT lang, source, term, sum(n) AS n FROM per_doc GROUP BY ALL),
+vocabulary AS (SELECT lang, term, sum(n) AS n FROM per_doc GROUP BY ALL HAVING count(*) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM vocabulary GROUP BY 1),
+groups AS (SELECT DISTINCT lang, source FROM doc),
+zeros AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, v.n AS lang_n FROM groups g JOIN vocabulary v USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+totals AS (SELECT lang, source, sum(n) AS total FROM zeros GROUP BY ALL),
+dense AS (
+  SELECT z.lang, z.source, z.term, z.n, 1 + (1000000000::HUGEINT * (z.n + 1)::HUGEINT) // (t.total + l.v)::HUGEINT AS p,
+         1 + (1000000000::HUGEINT * (z.lang_n + 1)::HUGEINT) // (l.total + l.v)::HUGEINT AS lang_p
+  FROM zeros z JOIN totals t USING (lang, source) JOIN langs l USING (lang)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+item AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(((p - lang_p) * (p - lang_p)) // lang_p AS BIGINT) FROM dense WHERE n > 0 AND p > lang_p),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM item)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 QUERIES = {
     "op1_tiered_packing": op1_tiered_packing,
     "op2_pair_index_bpe": op2_pair_index_bpe,
@@ -133,5 +170,7 @@ QUERIES = {
     "op8_simhash_trie_join": op8_simhash_trie_join,
     "op9_hashed_ngram_ratio": op9_hashed_ngram_ratio,
     "op10_random_indexing_quality": op10_random_indexing_quality,
+    "op12_hypergeometric_mix": op12_hypergeometric_mix,
+    "op13_source_divergence": op13_source_divergence,
 }
-ORACLES: dict[str, str] = {"op5_association_url_filter": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_association_url_filter": OP5_SQL, "op13_source_divergence": OP13_SQL}
