@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, divergence, hmm, importance, langid, mixing, nndescent, packing, simhash, toxicity, url_rules
+from . import bpe, classifier, divergence, hmm, importance, langid, mixing, negatives, nndescent, packing, simhash, toxicity, url_rules
 from .common import Workspace, crc_mod, input_bytes, read_table
 
 
@@ -122,6 +122,30 @@ def op10_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_distance_key_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.usable(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", lambda x: F.floor(x * 256).cast("long"))
+    moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH used AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+row AS (SELECT row_number() OVER () AS k, * FROM used),
+score AS (
+  SELECT a.k AS a, a.vec_id AS anchor_id, b.k AS b, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s
+  FROM row a JOIN row b ON a.k <> b.k WHERE a.vec_id % 100 = 0),
+positive AS (SELECT * FROM score WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, other_id, b) <= 5),
+found AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.other_id, n.b) AS INTEGER) AS rank,
+         n.other_id AS negative_id, p.s AS positive_score, n.s AS negative_score
+  FROM positive p JOIN score n ON n.a = p.a AND NOT n.same AND 80 * p.s <= 100 * n.s AND 100 * n.s <= 100 * p.s)
+SELECT * FROM found WHERE rank <= 5
+"""
+
+
 def op12_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
 
@@ -170,7 +194,8 @@ QUERIES = {
     "op8_simhash_trie_join": op8_simhash_trie_join,
     "op9_hashed_ngram_ratio": op9_hashed_ngram_ratio,
     "op10_random_indexing_quality": op10_random_indexing_quality,
+    "op11_distance_key_negatives": op11_distance_key_negatives,
     "op12_hypergeometric_mix": op12_hypergeometric_mix,
     "op13_source_divergence": op13_source_divergence,
 }
-ORACLES: dict[str, str] = {"op5_association_url_filter": OP5_SQL, "op13_source_divergence": OP13_SQL}
+ORACLES: dict[str, str] = {"op5_association_url_filter": OP5_SQL, "op11_distance_key_negatives": OP11_SQL, "op13_source_divergence": OP13_SQL}
