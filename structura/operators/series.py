@@ -6,7 +6,8 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from . import averages, base_chain, signals
-from .base_chain import DOWN, TOP, UP, Center, MergedBar, Segment, Unit
+from .base_chain import DOWN, TOP, UP, Center, MergedBar, Unit
+from .segments import Segment, segments_of
 
 
 @dataclass
@@ -75,7 +76,7 @@ def read_structure(bars: Bars, min_gap: int | None = None, standard: str = "81",
     points = base_chain.fractal_points(merged)
     chain = base_chain.pivot_chain(merged, points, gap, standard, raw_ma5(bars, merged) if standard == "106" else None)
     found = stroke_units(bars, merged, chain)
-    parts = base_chain.segments_of(found) if segments else []
+    parts = segments_of(found) if segments else []
     units = segment_units(found, parts)
     return Structure(merged, points, found, parts, units, base_chain.centers_of(found), base_chain.centers_of(units))
 
@@ -118,7 +119,7 @@ def records(bars: Bars, s: Structure) -> dict[tuple[str, str], str]:
 def confirmed_records(bars: Bars, s: Structure) -> dict[tuple[str, str], str]:
     """The conservative view: all strokes but the last, complete segments of those, and the centers of these segments."""
     strokes = s.strokes[:-1]
-    segments = [x for x in base_chain.segments_of(strokes) if x.evidence is not None]
+    segments = [x for x in segments_of(strokes) if x.evidence is not None]
     units = segment_units(strokes, segments)
     out = {("confirmed_stroke", f"{u.direction}@{u.start_dt}"): f"{u.end_dt}|{u.start!r}|{u.end!r}" for u in strokes}
     out |= {("confirmed_segment", f"{u.direction}@{u.start_dt}"): f"{u.end_dt}|{u.low!r}|{u.high!r}" for u in units}

@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import KEYS, MAX_LEVELS
-from . import averages, base_chain, causal, ma_candidates, moves, series
+from . import averages, base_chain, causal, ma_candidates, moves, segments, series
 
 FIELDS = {
     "record": "string", "idx": "int", "direction": "string", "kind": "string", "start_index": "int", "end_index": "int", "start_dt": "timestamp_ntz", "end_dt": "timestamp_ntz",
@@ -93,6 +93,52 @@ def project(table: DataFrame, record: str, *columns: str) -> DataFrame:
     return table.where(F.col("record") == record).select(*[c for c in KEYS if c in table.columns], *columns)
 
 
+PREMISED = {
+    "record": "string", "segment": "int", "stroke": "int", "first": "int", "last": "int", "mode": "int", "kind": "string", "state": "string", "standing": "string",
+    "proof": "int", "published": "int", "reaction_first": "int", "reaction_stop": "int",
+}
+
+
+def first_meeting(strokes: DataFrame) -> DataFrame:
+    """Per series the first stroke that shares a price with the two after it: (keys, first, direction, price). Series without one give no row."""
+    w = Window.partitionBy(*KEYS).orderBy("idx")
+    three = lambda c, f: f(c, F.lead(c, 1).over(w), F.lead(c, 2).over(w))
+    meet = strokes.select(*KEYS, "idx", "direction", "start_value", (three("low", F.greatest) <= three("high", F.least)).alias("meet"), F.lead("idx", 2).over(w).alias("third"))
+    first = F.min_by(F.struct(F.col("idx").alias("first"), "direction", F.col("start_value").alias("price")), "idx").alias("s")
+    return meet.where(F.col("meet") & F.col("third").isNotNull()).groupBy(*KEYS).agg(first).select(*KEYS, "s.*")
+
+
+def premised_segments(strokes: DataFrame, premises: DataFrame) -> DataFrame:
+    """Segments and certificates of each series under each of its premises.
+
+    strokes: (keys, idx, direction, start_value, end_value, low, high); premises: (keys, premise, basis, first, direction,
+    price, known_at). record `segment` has the strokes first..last and in proof the stroke from which all it rests on is known;
+    `certificate` the state of the race about a reversal at a stroke; `refused`, in kind, why a premise does not hold for its
+    series: the others go on. A series without premise gives nothing.
+    """
+    units = strokes.select(*KEYS, "idx", *(F.col(c).alias(f"u_{c}") for c in ("direction", "start_value", "end_value", "low", "high")))
+
+    def run(key, table):
+        table = table.sort_by("idx")
+        read = [table.column(f"u_{c}").to_pylist() for c in ("direction", "start_value", "end_value", "low", "high")]
+        found = [base_chain.Unit(d, a, b, i, i + 1, low, high) for i, (d, a, b, low, high) in enumerate(zip(*read))]
+        told = segments.Premise(*(table.column(c)[0].as_py() for c in segments.Premise._fields))
+        rows = []
+        try:
+            parts, states = segments.premised_segments(found, told)
+            rows += [{"record": "segment", "segment": i, "first": s.first, "last": s.last, "mode": s.mode, "proof": s.evidence} for i, s in enumerate(parts)]
+            for i, stroke, c in states:
+                reaction = {} if c.reaction is None else {"reaction_first": c.reaction.first, "reaction_stop": c.reaction.stop}
+                rows.append({"record": "certificate", "segment": i, "stroke": stroke, "kind": c.kind, "state": c.state, "standing": c.standing, "proof": c.proof, "published": c.published} | reaction)
+        except ValueError as why:
+            rows = [{"record": "refused", "segment": 0, "kind": str(why)}]
+        arrays = [pa.array([k.as_py()] * len(rows), pa.string()) for k in key]
+        return pa.Table.from_arrays(arrays + [pa.array([r.get(n) for r in rows], _ARROW[t]) for n, t in PREMISED.items()], names=[*KEYS, "premise", *PREMISED])
+
+    told = premises.select(*KEYS, "premise", "basis", F.col("first").cast("int"), "direction", F.col("price").cast("double"), F.col("known_at").cast("int"))
+    return units.join(told, KEYS).groupBy(*KEYS, "premise").applyInArrow(run, _schema(PREMISED, [*KEYS, "premise"]))
+
+
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """seq, dt, ema of the fast period, dif, dea and the doubled histogram per bar."""
     fields = {"seq": "int", "dt": "timestamp_ntz", "ema_fast": "double", "dif": "double", "dea": "double", "hist": "double"}

@@ -419,6 +419,27 @@ def sector_strength(spark, sf_dir):
     return out.select("sector", *r6("mean_class"), "valid", "total", *r6("coverage"), *(f"class_{i}" for i in range(1, 10)))
 
 
+def premised(spark, sf_dir) -> DataFrame:
+    """Strokes of two periods under four premises: nothing known, the start given, no history (where the first stroke begins), and no history learnt too late."""
+    bars = src.event_bars(spark, sf_dir, "10 minutes").unionByName(bars_of(spark, sf_dir))
+    strokes = st.project(st.structure(bars, records={"stroke"}), "stroke", *STROKE)
+    told = [("unknown", "unknown", "null"), ("given", "given_recent", "0"), ("none", "no_prior_history", "0"), ("late", "no_prior_history", "1000000")]
+    kinds = F.array(*[F.struct(F.lit(n).alias("premise"), F.lit(b).alias("basis"), F.expr(k).cast("int").alias("known_at")) for n, b, k in told])
+    premises = st.first_meeting(strokes).select(*KEYS, "first", "direction", "price", F.inline(kinds)).where((F.col("basis") != "no_prior_history") | (F.col("first") == 0))
+    return st.premised_segments(strokes, premises)
+
+
+@query("premised_segments")
+def premised_segments(spark, sf_dir):
+    return premised(spark, sf_dir).where("record <> 'certificate'").select(*KEYS, "premise", "record", "segment", "first", "last", "mode", "proof", "kind")
+
+
+@query("segment_certificates")
+def segment_certificates(spark, sf_dir):
+    found = premised(spark, sf_dir).where("record = 'certificate'")
+    return found.select(*KEYS, "premise", "segment", "stroke", "kind", "state", "standing", "proof", "published", "reaction_first", "reaction_stop")
+
+
 # As-of and causal layers ----------------------------------------------------------------------------------------------
 
 

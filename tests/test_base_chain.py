@@ -5,6 +5,7 @@ import random
 import pytest
 from structura.operators import averages, base_chain, moves
 from structura.operators.base_chain import Unit
+from structura.operators.segments import segments_of
 
 
 def zigzag(prices):
@@ -27,21 +28,21 @@ SEGMENTS = [
 @pytest.mark.parametrize("prices, want", SEGMENTS)
 def test_segments(prices, want, mirror):
     strokes = zigzag([20 - p if mirror else p for p in prices])
-    assert [(s.first, s.last + 1, s.mode, s.evidence is not None) for s in base_chain.segments_of(strokes)] == want
+    assert [(s.first, s.last + 1, s.mode, s.evidence is not None) for s in segments_of(strokes)] == want
 
 
 def test_segment_evidence_and_retroactive_confirmation():
     strokes = zigzag(SEGMENTS[2][0])
-    assert [s.evidence + 1 for s in base_chain.segments_of(strokes)[:3]] == [6, 13, 16]
+    assert [s.evidence + 1 for s in segments_of(strokes)[:3]] == [6, 13, 16]
     prices = [1, 6, 3, 12, 2, 10, 6, 8, 4, 8.5, 6, 14]
     for n in range(3, 11):
-        assert all(s.evidence is None for s in base_chain.segments_of(zigzag(prices)[:n]))
-    done = [s for s in base_chain.segments_of(zigzag(prices)) if s.evidence is not None]
+        assert all(s.evidence is None for s in segments_of(zigzag(prices)[:n]))
+    done = [s for s in segments_of(zigzag(prices)) if s.evidence is not None]
     assert [(s.first, s.last + 1, s.evidence + 1) for s in done] == [(0, 3, 11), (3, 8, 11)]
 
 
 def test_segment_of_the_second_kind():
-    (first, *_) = base_chain.segments_of(zigzag([0, 10, 8, 13, 11, 12.5, 9.5, 12.5, 9.2, 11.5, 9.6, 13]))
+    (first, *_) = segments_of(zigzag([0, 10, 8, 13, 11, 12.5, 9.5, 12.5, 9.2, 11.5, 9.6, 13]))
     assert (first.first, first.last, first.mode) == (0, 2, 2)
 
 
@@ -54,7 +55,7 @@ def test_completed_segments_of_a_prefix_stay():
         strokes = zigzag(prices)
         last = []
         for n in range(3, len(strokes) + 1):
-            done = [(s.first, s.last, s.mode, s.evidence) for s in base_chain.segments_of(strokes[:n]) if s.evidence is not None]
+            done = [(s.first, s.last, s.mode, s.evidence) for s in segments_of(strokes[:n]) if s.evidence is not None]
             assert done[: len(last)] == last
             last = done
 
