@@ -21,6 +21,7 @@ FIELDS = {
     "complete": "boolean", "evidence_index": "int", "evidence_dt": "timestamp_ntz", "first": "int", "last": "int", "level": "int", "relation": "string", "ratio": "double",
 }
 RECORDS = ("merged", "stroke", "segment", "stroke_center", "segment_center", "center_event", "same_level", "level_up", "level_unit", "point")
+UNIT_RECORDS = ("segment", "stroke_center", "segment_center", "center_event", "same_level", "level_up", "level_unit")
 _ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "timestamp_ntz": pa.timestamp("us")}
 _BAR_FIELDS = ["dt", "open", "high", "low", "close", "volume"]
 
@@ -54,6 +55,27 @@ def _center_row(record: str, idx: int, units: list[base_chain.Unit], c: base_cha
     return {"record": record, "idx": idx, "direction": a.direction, "start_dt": a.start_dt, "end_dt": b.end_dt, "zd": c.zd, "zg": c.zg, "gg": gg, "dd": dd, "n": c.last - c.first + 1, "first": c.first, "last": c.last, "complete": c.left is not None}
 
 
+def _segment_records(strokes, parts, units, wanted: set[str]) -> Iterator[dict]:
+    for k, (g, u) in enumerate(zip(parts, units) if "segment" in wanted else ()):
+        proof = None if g.evidence is None else strokes[g.evidence]
+        yield _unit_row("segment", k, u) | {"mode": g.mode, "complete": proof is not None, "evidence_index": proof and proof.end_index, "evidence_dt": proof and proof.end_dt, "first": g.first, "last": g.last}
+
+
+def _unit_records(strokes, segment_units, stroke_centers, segment_centers, wanted: set[str], max_levels: int) -> Iterator[dict]:
+    for name, units, centers in (("stroke_center", strokes, stroke_centers), ("segment_center", segment_units, segment_centers)):
+        for k, c in enumerate(centers if name in wanted else ()):
+            yield _center_row(name, k, units, c)
+    for k, e in enumerate(base_chain.center_events(strokes, stroke_centers) if "center_event" in wanted else ()):
+        u = strokes[e["unit"]]
+        yield {"record": "center_event", "idx": k, "kind": e["event"], "first": e["center"], "last": e["unit"], "end_dt": u.end_dt, "relation": e.get("relation"), "zd": e.get("zd"), "zg": e.get("zg"), "n": e.get("n")}
+    for rule, extend in (("same_level", False), ("level_up", True)):
+        for k, m in enumerate(moves.decompose(strokes, extend) if rule in wanted else ()):
+            yield {"record": rule, "idx": k, "kind": m.kind, "complete": m.complete, "direction": m.direction, "first": m.first, "last": m.last, "low": m.low, "high": m.high, "start_dt": strokes[m.first].start_dt, "end_dt": strokes[m.last].end_dt, "n": len(m.centers), "zd": m.centers[-1][0] if m.centers else None, "zg": m.centers[-1][1] if m.centers else None}
+    for level, units in enumerate(moves.level_chain(strokes, max_levels) if "level_unit" in wanted else (), 1):
+        for k, u in enumerate(units):
+            yield _unit_row("level_unit", k, u) | {"kind": u.kind, "level": level}
+
+
 def structure(bars: DataFrame, min_gap: int | None = None, standard: str = "81", max_levels: int = MAX_LEVELS, keys: list[str] | None = None, records: set[str] | None = None) -> DataFrame:
     """Every record of the batch entry, or those named: only they are folded and leave the fold."""
     series.min_gap_of(standard, min_gap)
@@ -68,27 +90,31 @@ def structure(bars: DataFrame, min_gap: int | None = None, standard: str = "81",
             yield {"record": "merged", "idx": k, "start_index": m.first, "end_index": m.last, "start_dt": dt[m.first], "end_dt": dt[m.last], "low": m.low, "high": m.high, "start_value": open_[m.first], "end_value": close[m.last], "n": m.last - m.first + 1}
         for k, u in enumerate(s.strokes if "stroke" in wanted else ()):
             yield _unit_row("stroke", k, u)
-        for k, (g, u) in enumerate(zip(s.segments, s.segment_units) if "segment" in wanted else ()):
-            proof = None if g.evidence is None else s.strokes[g.evidence]
-            yield _unit_row("segment", k, u) | {"mode": g.mode, "complete": proof is not None, "evidence_index": proof and proof.end_index, "evidence_dt": proof and proof.end_dt, "first": g.first, "last": g.last}
-        for name, units, centers in (("stroke_center", s.strokes, s.stroke_centers), ("segment_center", s.segment_units, s.segment_centers)):
-            for k, c in enumerate(centers if name in wanted else ()):
-                yield _center_row(name, k, units, c)
-        for k, e in enumerate(base_chain.center_events(s.strokes, s.stroke_centers) if "center_event" in wanted else ()):
-            u = s.strokes[e["unit"]]
-            yield {"record": "center_event", "idx": k, "kind": e["event"], "first": e["center"], "last": e["unit"], "end_dt": u.end_dt, "relation": e.get("relation"), "zd": e.get("zd"), "zg": e.get("zg"), "n": e.get("n")}
-        for rule, extend in (("same_level", False), ("level_up", True)):
-            for k, m in enumerate(moves.decompose(s.strokes, extend) if rule in wanted else ()):
-                yield {"record": rule, "idx": k, "kind": m.kind, "complete": m.complete, "direction": m.direction, "first": m.first, "last": m.last, "low": m.low, "high": m.high, "start_dt": s.strokes[m.first].start_dt, "end_dt": s.strokes[m.last].end_dt, "n": len(m.centers), "zd": m.centers[-1][0] if m.centers else None, "zg": m.centers[-1][1] if m.centers else None}
-        for level, units in enumerate(moves.level_chain(s.strokes, max_levels) if "level_unit" in wanted else (), 1):
-            for k, u in enumerate(units):
-                yield _unit_row("level_unit", k, u) | {"kind": u.kind, "level": level}
+        yield from _segment_records(s.strokes, s.segments, s.segment_units, wanted)
+        yield from _unit_records(s.strokes, s.segment_units, s.stroke_centers, s.segment_centers, wanted, max_levels)
         for k, p in enumerate(series.points_of(b, s) if "point" in wanted else ()):
             yield {"record": "point", "idx": k, "kind": f"{p['side']}{p['type']}", "end_dt": p["dt"], "end_value": p["price"], "first": p["center"], "ratio": p["ratio"]}
 
     return per_series(bars, fold, FIELDS, keys)
 
 
+def structure_of_strokes(strokes: DataFrame, max_levels: int = MAX_LEVELS, records: set[str] | None = None) -> DataFrame:
+    """The records that strokes alone decide: segments, centers, moves, levels. A series' strokes, not its bars, meet in one task."""
+    wanted = set(UNIT_RECORDS) if records is None else set(records)
+    if unknown := wanted - set(UNIT_RECORDS):
+        raise ValueError(f"strokes do not decide: {sorted(unknown)}")
+    columns = ["direction", "start_value", "end_value", "start_index", "end_index", "low", "high", "start_dt", "end_dt"]
+
+    def fold(*read) -> Iterator[dict]:
+        found = [base_chain.Unit(*row) for row in zip(*read)]
+        parts = segments.segments_of(found) if wanted & {"segment", "segment_center"} else []
+        units = series.segment_units(found, parts)
+        yield from _segment_records(found, parts, units, wanted)
+        yield from _unit_records(found, units, base_chain.centers_of(found), base_chain.centers_of(units), wanted, max_levels)
+
+    return per_series(strokes.withColumnRenamed("idx", "seq"), fold, FIELDS, columns=columns)
+
+
 def project(table: DataFrame, record: str, *columns: str) -> DataFrame:
     return table.where(F.col("record") == record).select(*[c for c in KEYS if c in table.columns], *columns)
 

@@ -12,6 +12,12 @@ def _bars(hours: int = 1) -> str:
     b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) - 1 AS seq FROM b0)"""
 
 
+_LINES = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+_ORDERS = f"""px AS (SELECT l_orderkey, row_number() OVER w AS tick, CAST(1000 + SUM(CAST(CASE WHEN (l_orderkey * 7919 + l_linenumber * 104729) % 13 < 7 THEN 1 ELSE -1 END AS DECIMAL(18,4))
+      * CAST(l_quantity AS DECIMAL(10,2)) * CAST(0.01 AS DECIMAL(4,2))) OVER (w ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS p FROM lineitem WINDOW w AS (ORDER BY {_LINES})),
+    b0 AS (SELECT l_orderkey, arg_min(p, tick) AS open, max(p) AS high, min(p) AS low, arg_max(p, tick) AS close, CAST(count(*) AS DOUBLE) AS volume FROM px GROUP BY 1),
+    b AS MATERIALIZED (SELECT 'orders' AS symbol, k AS seq, CAST(TIMESTAMP '2020-01-01' AS TIMESTAMP) + to_minutes(k) AS dt, open, high, low, close, volume
+      FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey) - 1 AS k FROM b0))"""
 _INSIDE = "((b.high <= r.h AND b.low >= r.l) OR (b.high >= r.h AND b.low <= r.l))"
 _RISING = "(CASE WHEN r.ph IS NOT NULL THEN r.h >= r.ph ELSE b.high >= r.h END)"
 
@@ -85,12 +91,12 @@ _PARTS = {
 _NEEDS = {"m": [], "f": ["m"], "s": ["m", "f"], "c": ["m", "f", "s"], "e": [], "l": [], "a": ["l"], "bb": [], "g": []}
 
 
-def select(sql: str, *parts: str, hours: int = 1) -> str:
-    """A statement over the bars `b` and the named parts, with all that these need."""
+def select(sql: str, *parts: str, hours: int = 1, orders: bool = False) -> str:
+    """A statement over the bars `b` (of events, or the long series of orders) and the named parts, with all that these need."""
     wanted: list[str] = []
     for p in parts:
         wanted += [x for x in [*_NEEDS[p], p] if x not in wanted]
-    return "WITH RECURSIVE " + ",\n".join([_TICKS, _bars(hours), *(_PARTS[p] for p in wanted)]) + "\n" + sql
+    return "WITH RECURSIVE " + ",\n".join([*([_ORDERS] if orders else [_TICKS, _bars(hours)]), *(_PARTS[p] for p in wanted)]) + "\n" + sql
 
 
 _SPOILED = """sp AS (SELECT symbol, '1 hour' AS freq, seq, CASE WHEN seq % 50 = 7 THEN lag(dt, 2) OVER (PARTITION BY symbol ORDER BY seq) ELSE dt END AS dt, open, CASE WHEN seq % 50 = 11 THEN open - 1000 ELSE high END AS high,

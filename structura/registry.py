@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .functions import classifiers, intervals
 from .operators import confirmed as cf
+from .operators import split
 from .operators import structure as st
 from .operators import windows as wn
 from .operators.ma_candidates import Settings as MaSettings
@@ -419,6 +420,43 @@ def sector_strength(spark, sf_dir):
     return out.select("sector", *r6("mean_class"), "valid", "total", *r6("coverage"), *(f"class_{i}" for i in range(1, 10)))
 
 
+# A long series, spread over tasks ------------------------------------------------------------------------------------
+
+
+@query("order_bars", oracles.select("SELECT symbol, seq, dt, open, high, low, close, volume FROM b", orders=True))
+def order_bars(spark, sf_dir):
+    return src.order_bars(spark, sf_dir).select("symbol", *longs("seq"), "dt", "open", "high", "low", "close", "volume")
+
+
+def order_chain(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return split.base_chain_of(src.order_bars(spark, sf_dir), run=4096)
+
+
+@query("order_merged_bars", oracles.select("SELECT symbol, idx, low, high, first AS start_index, last AS end_index FROM m", "m", orders=True))
+def order_merged_bars(spark, sf_dir):
+    return order_chain(spark, sf_dir)[0].select("symbol", *longs("idx"), "low", "high", *longs("start_index", "end_index"))
+
+
+@query("order_strokes", oracles.select("SELECT symbol, idx, direction, start_index, end_index, start_value, end_value FROM s", "s", orders=True))
+def order_strokes(spark, sf_dir):
+    return order_chain(spark, sf_dir)[1].select("symbol", *longs("idx"), "direction", *longs("start_index", "end_index"), "start_value", "end_value")
+
+
+@query("order_centers", oracles.select("SELECT symbol, idx, direction, zd, zg, gg, dd, n, first, last FROM c", "c", orders=True))
+def order_centers(spark, sf_dir):
+    found = st.project(st.structure_of_strokes(order_chain(spark, sf_dir)[1], records={"stroke_center"}), "stroke_center", *CENTER)
+    return found.select("symbol", *longs("idx"), "direction", "zd", "zg", "gg", "dd", *longs("n", "first", "last"))
+
+
+@query("order_structure")
+def order_structure(spark, sf_dir):
+    """What the strokes of the long series decide, by record."""
+    return st.structure_of_strokes(order_chain(spark, sf_dir)[1]).groupBy(*KEYS, "record").count()
+
+
+# Segments under premises ----------------------------------------------------------------------------------------------
+
+
 def premised(spark, sf_dir) -> DataFrame:
     """Strokes of two periods under four premises: nothing known, the start given, no history (where the first stroke begins), and no history learnt too late."""
     bars = src.event_bars(spark, sf_dir, "10 minutes").unionByName(bars_of(spark, sf_dir))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..schema import BAR_COLUMNS, KEYS
 
 PRICES = ["open", "high", "low", "close"]
+#: What tells an order's lines apart, in order.
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
 def read_bars(spark: SparkSession, path: str, fmt: str = "parquet", symbol: str | None = None, **options) -> DataFrame:
@@ -55,6 +57,28 @@ def event_bars(spark: SparkSession, sf_dir: str, period: str = "1 hour") -> Data
     return from_ticks(event_ticks(spark.read.parquet(f"{sf_dir}/events.parquet")), period, "p", "event_id")
 
 
+def order_bars(spark: SparkSession, sf_dir: str, rows_per_bucket: int = 8192) -> DataFrame:
+    """One long series: a bar an order, whose lines are the ticks of a signed walk in exact decimals.
+
+    The walk and the numbering are summed by bucket of orders, then over buckets, then inside a bucket: no task holds the series.
+    """
+    sign = F.when((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104_729) % 13 < 7, 1).otherwise(-1).cast("decimal(18,4)")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINE_ORDER, (sign * F.col("l_quantity").cast("decimal(10,2)") * F.lit("0.01").cast("decimal(4,2)")).cast("decimal(18,4)").alias("step"))
+    lines = lines.withColumn("bucket", F.expr(f"l_orderkey div {rows_per_bucket}"))
+    sums = lines.groupBy("bucket").agg(F.sum("step").alias("moved"), F.countDistinct("l_orderkey").alias("orders"))
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("bucket", F.coalesce(F.sum("moved").over(earlier), F.lit(0)).alias("price_before"), F.coalesce(F.sum("orders").over(earlier), F.lit(0)).alias("seq_before"))
+    inside = Window.partitionBy("bucket").orderBy(*LINE_ORDER)
+    ticks = lines.withColumn("walked", F.sum("step").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("tick", F.row_number().over(inside)).withColumn("rank", F.dense_rank().over(Window.partitionBy("bucket").orderBy("l_orderkey")))
+    price = (F.lit(1000) + F.col("price_before") + F.col("walked")).cast("double")
+    ticks = ticks.join(starts, "bucket").select((F.col("seq_before") + F.col("rank") - 1).cast("int").alias("seq"), "tick", price.alias("p"))
+    bars = ticks.groupBy("seq").agg(
+        F.min_by("p", "tick").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "tick").alias("close"), F.count("*").cast("double").alias("volume")
+    )
+    at = F.timestamp_micros(F.lit(1_577_836_800_000_000) + F.col("seq").cast("long") * 60_000_000).cast("timestamp_ntz")
+    return bars.select(F.lit("orders").alias("symbol"), F.lit("order").alias("freq"), "seq", at.alias("dt"), *PRICES, "volume")
+
+
 def with_arrival(bars: DataFrame, period: str, delay: str = "5 minutes", late: Column | None = None) -> DataFrame:
     """closed_dt at the end of the period, available_dt after a delay, and one period later still where `late` holds."""
     closed = F.expr(f"dt + interval {period}")
