@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import KEYS
+from ..sources.scratch import written
+from .passage import BlockIndex, Target
 
 
 def known(df: DataFrame, as_of: Column) -> DataFrame:
@@ -100,32 +102,61 @@ def formation_states(first_points: DataFrame, third: DataFrame, as_of: Column) -
     return out.select(*KEYS, "context_id", phase.alias("phase"), F.when(F.col("known"), F.when(F.col("kind") == "buy1", "bottom").otherwise("top")).alias("formation"), F.col("end.dt").alias("ended_dt"), F.col("end.kind").alias("boundary"))
 
 
+def _micros(column: str) -> Column:
+    """A time without zone as a number; doubles hold microseconds exactly for two centuries."""
+    return F.expr(f"cast(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {column}) as double)")
+
+
 def fractal_range_states(fractals: DataFrame, bars: DataFrame, as_of: Column, confirm: int = 2) -> DataFrame:
     """fractals (keys, fractal_id, kind, low, high, confirmed_dt) against bars that close after they are known.
 
     The first bar beyond the far edge fails a range; `confirm` closes in a row beyond the near edge complete it; a
-    failing bar wins over a completing one.
+    failing bar wins over a completing one. Each of these is a first passage, so a range asks the block index of its
+    series and meets no other bar. Closing times do not fall within a series.
     """
     if confirm < 1:
         raise ValueError("confirm must be positive")
     ids = [*KEYS, "fractal_id"]
-    f = known(fractals, as_of).select(*ids, "kind", F.col("low").alias("box_low"), F.col("high").alias("box_high"), F.col("confirmed_dt").alias("known_dt"))
-    b = bars.where(F.col("available_dt") <= as_of).select(*KEYS, "seq", "low", "high", "close", "closed_dt", "available_dt")
-    d = f.join(b, KEYS).where(F.col("closed_dt") > F.col("known_dt"))
-    bottom = F.col("kind") == "bottom"
-    w = Window.partitionBy(*ids).orderBy("seq")
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("broken", F.when(bottom, F.col("low") < F.col("box_low")).otherwise(F.col("high") > F.col("box_high")))
-    d = d.withColumn("beyond", ~F.col("broken") & F.when(bottom, F.col("close") > F.col("box_high")).otherwise(F.col("close") < F.col("box_low")))
-    d = d.withColumn("run_id", F.sum(F.when(F.col("beyond"), 0).otherwise(1)).over(past))
-    d = d.withColumn("run", F.sum(F.col("beyond").cast("int")).over(Window.partitionBy(*ids, "run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("ends", F.when(F.col("broken"), "failed").when(F.col("run") >= confirm, "completed")).withColumn("run_before", F.lag("run", 1, 0).over(w))
-    d = d.withColumn("ended_before", F.coalesce(F.max(F.col("ends").isNotNull()).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))).where(~F.col("ended_before"))
-    out = d.groupBy(*ids).agg(
-        F.max_by("ends", "seq").alias("ends"), F.max_by(F.when(F.col("broken"), F.col("run_before")).otherwise(F.col("run")), "seq").alias("streak"),
-        F.min(F.when(F.col("beyond"), F.col("available_dt"))).alias("first_test"), F.max(~F.col("beyond") & ~F.col("broken") & (F.col("run_before") > 0)).alias("recovered"),
-        F.max_by(F.when(F.col("ends").isNotNull(), F.col("available_dt")), "seq").alias("ended_dt"),
+    order = Window.partitionBy(*KEYS).orderBy("seq")
+    tail = order.rowsBetween(1 - confirm, 0)
+    full = F.count("*").over(tail) == confirm
+    recent = F.array_compact(F.array(*[F.lag("close", i).over(order) for i in range(confirm - 1)])) if confirm > 1 else F.array().cast("array<double>")
+    b = bars.where(F.col("available_dt") <= as_of).select(
+        *KEYS, "low", "high", "close", "available_dt", _micros("closed_dt").alias("closed"), (F.row_number().over(order) - 1).alias("seq"),
+        F.when(full, F.min("close").over(tail)).alias("least"), F.when(full, F.max("close").over(tail)).alias("most"), recent.alias("recent"),
     )
+    b = written(b, "bars")
+    index = BlockIndex(b, {
+        "closed": Target("closed", ">"), "fail_bottom": Target("low", "<"), "fail_top": Target("high", ">"), "test_bottom": Target("close", ">"), "test_top": Target("close", "<"),
+        "back_bottom": Target("close", "<="), "back_top": Target("close", ">="), "done_bottom": Target("least", ">"), "done_top": Target("most", "<"),
+    })
+    last = b.groupBy(*KEYS).agg(F.max("seq").alias("last_bar"))
+    f = known(fractals, as_of).select(*ids, "kind", F.col("low").alias("box_low"), F.col("high").alias("box_high"), _micros("confirmed_dt").alias("limit"))
+    starts = index.first_passages(f.select(*ids, F.lit("closed").alias("target"), F.lit(0).cast("long").alias("at"), "limit")).where("seq is not null")
+    f = written(f.drop("limit").join(starts.select(*ids, F.col("seq").alias("start")), ids).join(last, KEYS), "ranges")
+
+    bottom = F.col("kind") == "bottom"
+    near, edge = F.when(bottom, F.col("box_high")).otherwise(F.col("box_low")), F.when(bottom, F.col("box_low")).otherwise(F.col("box_high"))
+    ask = lambda what, at, limit: F.struct(F.lit(what).alias("what"), F.concat(F.lit(f"{what}_"), "kind").alias("target"), at.cast("long").alias("at"), limit.alias("limit"))
+    asked = F.array(ask("fail", F.col("start"), edge), ask("test", F.col("start"), near), ask("done", F.col("start") + confirm - 1, near))
+    at = lambda what: F.max(F.when(F.col("what") == what, F.col("seq"))).alias(what)
+    found = index.first_passages(f.select(*ids, F.inline(asked))).groupBy(*ids).agg(at("fail"), at("test"), at("done"))
+    f = written(f.join(found, ids), "passages")
+    f = f.withColumn("test", F.when(F.col("fail").isNull() | (F.col("test") < F.col("fail")), F.col("test"))).withColumn("end", F.least("fail", "done"))
+    back = f.where("test is not null").select(*ids, F.concat(F.lit("back_"), "kind").alias("target"), (F.col("test") + 1).alias("at"), near.alias("limit"))
+    f = f.join(index.first_passages(back).select(*ids, F.col("seq").alias("back")), ids, "left")
+    failed = F.coalesce(F.col("end") == F.col("fail"), F.lit(False))
+    recovered = F.coalesce((F.col("back") <= F.coalesce("end", "last_bar")) & ~F.coalesce(F.col("back") == F.col("fail"), F.lit(False)), F.lit(False))
+
+    # closes in a row beyond the edge, up to the bar before a failing one or to the last
+    f = f.withColumn("until", F.when(failed, F.col("end") - 1).otherwise(F.col("last_bar")))
+    time = lambda name, key: b.select(*KEYS, F.col("seq").alias(key), F.col("available_dt").alias(name))
+    f = f.join(b.select(*KEYS, F.col("seq").alias("until"), "recent"), [*KEYS, "until"], "left")
+    f = f.join(time("first_test", "test"), [*KEYS, "test"], "left").join(time("ended_dt", "end"), [*KEYS, "end"], "left")
+    stop = F.array_position(F.transform("recent", lambda c: F.when(bottom, c > F.col("box_high")).otherwise(c < F.col("box_low"))), False)
+    row = F.least(F.when(stop > 0, stop - 1).otherwise(F.size("recent")), F.col("until") - F.col("start") + 1)
+    streak = F.when(F.col("end").isNotNull() & ~failed, confirm).otherwise(F.coalesce(F.greatest(row, F.lit(0)), F.lit(0)))
+    out = f.select(*ids, F.when(failed, "failed").when(F.col("end").isNotNull(), "completed").alias("ends"), streak.alias("streak"), "first_test", recovered.alias("recovered"), "ended_dt")
     phase = F.coalesce("ends", F.when(F.col("streak") > 0, "testing"), F.lit("constructing"))
     every = fractals.select(*ids, (F.col("confirmed_dt") <= as_of).alias("known")).join(out, ids, "left")
     return every.select(*ids, F.when(F.col("known"), phase).otherwise("waiting").alias("phase"), "first_test", "ended_dt", F.coalesce("streak", F.lit(0)).alias("streak"), F.coalesce("recovered", F.lit(False)).alias("recovered"))

@@ -70,18 +70,19 @@ def _fold(run: int, overlap: int, min_gap: int):
                 column.append(values.get(n))
 
         head, tail = (number * run + overlap if number else 0), (number + 1) * run
+        base = seq[0]
         for i, s in enumerate(seq):
-            walk.push(i, high[i], low[i])
+            walk.push(s, high[i], low[i])
             for name, wanted in (("head", s < head), ("tail", s >= tail and not last)):
                 if wanted and (state := walk.state()):
                     row(record=name, pos=len(walk.merged) - 1, chain=len(walk.chain) - 1, seq=s, state=state)
         if last:
             walk.end()
         for k, m in enumerate(walk.merged):
-            row(record="merged", pos=k, first=seq[m.first], last=seq[m.last], low=m.low, high=m.high, start_dt=dt[m.first], end_dt=dt[m.last], start_value=open_[m.first], end_value=close[m.last])
+            row(record="merged", pos=k, first=m.first, last=m.last, low=m.low, high=m.high, start_dt=dt[m.first - base], end_dt=dt[m.last - base], start_value=open_[m.first - base], end_value=close[m.last - base])
         for k, (kind, at) in enumerate(walk.chain):
             m = walk.merged[at]
-            row(record="pivot", pos=at, chain=k, kind=kind, end_dt=dt[m.last], end_value=m.high if kind == base_chain.TOP else m.low)
+            row(record="pivot", pos=at, chain=k, kind=kind, end_dt=dt[m.last - base], end_value=m.high if kind == base_chain.TOP else m.low)
         row(record="run", pos=len(walk.merged), chain=len(walk.chain))
         keys = [pa.array([k.as_py()] * len(rows["pos"]), pa.string()) for k in key[:-1]] + [pa.array([number] * len(rows["pos"]), pa.int64())]
         return pa.Table.from_arrays(keys + [pa.array(v, _FIELDS[n]) for n, v in rows.items()], names=[*KEYS, "run", *_FIELDS])
@@ -97,6 +98,8 @@ def _folded(bars: DataFrame, run: int, overlap: int, min_gap: int) -> DataFrame:
     dealt = bars.select(*KEYS, F.col("seq").cast("long"), "dt", "open", "high", "low", "close").join(runs, KEYS)
     dealt = dealt.withColumn("run", F.explode(both)).withColumn("is_last", F.col("run") == F.col("runs") - 1).drop("runs")
     schema = ", ".join([*(f"{k} string" for k in KEYS), "run long", *(f"`{n}` {_TYPES[t]}" for n, t in _FIELDS.items())])
+    # a fold is slow for its bytes: a fixed number of partitions is not merged for being small
+    dealt = dealt.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS, "run")
     return dealt.groupBy(*KEYS, "run").applyInArrow(_fold(run, overlap, min_gap), schema)
 
 
@@ -105,6 +108,7 @@ def base_chain_of(bars: DataFrame, run: int = 8192, overlap: int = 512, min_gap:
     if not 0 < overlap <= run:
         raise ValueError("an overlap holds at least one bar and at most a run")
     gap = series.min_gap_of("81", min_gap)
+    bars = written(bars.select(*KEYS, "seq", "dt", "open", "high", "low", "close"), "bars")
     longest = bars.agg(F.max("seq")).first()[0]
     while True:
         folded = written(_folded(bars, run, overlap, gap), "runs")

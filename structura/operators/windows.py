@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import classifiers, intervals
 from ..schema import KEYS, MA_PERIODS, WEDGE_MIN_RUN
+from ..sources.scratch import written
+from .passage import BlockIndex, Target
 
 
 def by_seq(*more: str):
@@ -73,15 +75,15 @@ def gaps(bars: DataFrame) -> DataFrame:
     return out.where("direction is not null").withColumn("index_b", F.col("index_a") + 1)
 
 
-def gap_strength(bars: DataFrame) -> DataFrame:
-    """Each gap with where later bars have covered all of it, and whether a new extreme followed.
+def _filled(gaps_until: DataFrame, bars: DataFrame, size: int = 128) -> DataFrame:
+    """Where the bars from index_b + 1 to `until` have covered all of a gap: (keys, index_a, fill_index), null if they leave a piece.
 
-    The covering index is folded over the array of later bars that reach into the gap, so a gap meets only those.
+    A gap meets the bars of its time by block of seq, and of these only the ones that reach into it; the covering index is folded over them.
     """
-    g = gaps(bars)
-    b = bars.select(*KEYS, F.col("seq").alias("k"), F.col("low").alias("lo"), F.col("high").alias("hi"), F.col("dt").alias("k_dt"))
-    met = g.join(b, KEYS).where((F.col("k") > F.col("index_b")) & (F.col("lo") <= F.col("upper")) & (F.col("hi") >= F.col("lower")))
     ids = [*KEYS, "index_a"]
+    b = bars.select(*KEYS, F.col("seq").alias("k"), F.col("low").alias("lo"), F.col("high").alias("hi"), F.expr(f"seq div {size}").alias("block"))
+    g = gaps_until.select(*ids, "index_b", "lower", "upper", "until", F.explode(F.expr(f"sequence((index_b + 1) div {size}, until div {size})")).alias("block"))
+    met = g.join(b, [*KEYS, "block"]).where((F.col("k") > F.col("index_b")) & (F.col("k") <= F.col("until")) & (F.col("lo") <= F.col("upper")) & (F.col("hi") >= F.col("lower")))
     steps = met.groupBy(*ids, "lower", "upper").agg(F.array_sort(F.collect_list(F.struct("k", "lo", "hi"))).alias("steps"))
     piece = "array<struct<a:double,b:double>>"
 
@@ -92,15 +94,34 @@ def gap_strength(bars: DataFrame) -> DataFrame:
         return F.when(held["at"].isNotNull(), held).otherwise(F.struct(open_.alias("open"), F.when(F.size(open_) == 0, x["k"]).cast("int").alias("at")))
 
     start = F.struct(F.array(F.struct(F.col("lower").alias("a"), F.col("upper").alias("b"))).cast(piece).alias("open"), F.lit(None).cast("int").alias("at"))
-    filled = steps.select(*ids, F.aggregate("steps", start, cut, lambda h: h["at"]).alias("fill_index"))
-    g = g.join(filled, ids, "left")
+    return steps.select(*ids, F.aggregate("steps", start, cut, lambda h: h["at"]).alias("fill_index"))
+
+
+def gap_strength(bars: DataFrame) -> DataFrame:
+    """Each gap with where later bars have covered all of it, and whether a new extreme followed.
+
+    No gap is covered before a bar reaches its far edge, which the block index finds; one that none reaches is strong.
+    The bars up to there decide nearly all others. Where they jumped over a piece, all later bars do.
+    """
+    ids = [*KEYS, "index_a"]
     up = F.col("direction") == "up"
-    later = g.where("fill_index is not null").join(b, KEYS).where(F.col("k") >= F.col("index_b"))
-    until, after = F.col("k") <= F.col("fill_index"), F.col("k") > F.col("fill_index")
-    ends = later.groupBy(*ids).agg(F.max(F.when(until, F.col("hi"))).alias("top"), F.min(F.when(until, F.col("lo"))).alias("bottom"), F.max(F.when(after, F.col("hi"))).alias("next_top"), F.min(F.when(after, F.col("lo"))).alias("next_bottom"))
-    fresh = F.coalesce(F.when(up, F.col("next_top") > F.col("top")).otherwise(F.col("next_bottom") < F.col("bottom")), F.lit(False))
+    bars = written(bars.select(*KEYS, "seq", "dt", "low", "high"), "bars")
+    g = gaps(bars).join(bars.groupBy(*KEYS).agg(F.max("seq").alias("last_bar")), KEYS)
+    index = BlockIndex(bars, {"low": Target("low", "<="), "high": Target("high", ">=")})
+    far = g.select(*ids, F.when(up, "low").otherwise("high").alias("target"), (F.col("index_b") + 1).cast("long").alias("at"), F.when(up, F.col("lower")).otherwise(F.col("upper")).alias("limit"))
+    reached = g.join(index.first_passages(far).where("seq is not null").select(*ids, F.col("seq").alias("until")), ids)
+    reached = written(reached, "reached")
+    soon = written(reached.join(_filled(reached, bars), ids, "left"), "filled")
+    jumped = soon.where("fill_index is null").drop("fill_index").withColumn("until", F.col("last_bar"))
+    filled = soon.where("fill_index is not null").select(*ids, "fill_index").unionByName(_filled(jumped, bars).where("fill_index is not null"))
+
+    g = written(g.join(filled, ids, "left"), "gaps")
+    spans = F.array(F.struct(F.lit(0).alias("part"), F.col("index_b").alias("from"), F.col("fill_index").alias("to")), F.struct(F.lit(1).alias("part"), (F.col("fill_index") + 1).alias("from"), F.col("last_bar").alias("to")))
+    asked = g.where("fill_index is not null").select(*ids, F.when(up, "high").otherwise("low").alias("target"), F.inline(spans))
+    ends = index.extremes(asked).groupBy(*ids).agg(F.max(F.when(F.col("part") == 0, F.col("value"))).alias("extreme"), F.max(F.when(F.col("part") == 1, F.col("value"))).alias("next"))
+    fresh = F.coalesce(F.when(up, F.col("next") > F.col("extreme")).otherwise(F.col("next") < F.col("extreme")), F.lit(False))
     return g.join(ends, ids, "left").select(
-        *KEYS, "index_a", "direction", "lower", "upper", "fill_index", F.when(F.col("fill_index").isNotNull(), F.when(up, F.col("top")).otherwise(F.col("bottom"))).alias("extreme"),
+        *KEYS, "index_a", "direction", "lower", "upper", "fill_index", "extreme",
         F.when(F.col("fill_index").isNull(), "strong").when(fresh, "neutral").otherwise("weak").alias("strength"), (F.col("fill_index").isNotNull() & ~fresh).alias("exhaustion"),
     )
 

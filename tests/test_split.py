@@ -51,9 +51,22 @@ def test_no_bars(spark):
     assert merged.count() == strokes.count() == 0
 
 
-def test_one_series_runs_in_many_tasks(spark):
+def test_one_series_runs_in_many_tasks(spark, monkeypatch):
     bars = src.order_bars(spark, "/root/testdata/sf0.01")
-    n = bars.count()
-    agree(bars, run=n // 6, overlap=256)
-    folded = split._folded(bars, n // 6, 256, 3)
-    assert folded.select(F.spark_partition_id().alias("p"), "run").distinct().groupBy().agg(F.countDistinct("p"), F.countDistinct("run")).first()[1] >= 6
+    n, tries, fold = bars.count(), [], split._folded
+
+    def folded(*given):
+        out = fold(*given)
+        tries.append(out.select("run", F.spark_partition_id().alias("p")).distinct().agg(F.countDistinct("run"), F.countDistinct("p")).first())
+        return out
+
+    monkeypatch.setattr(split, "_folded", folded)
+    agree(bars, run=n // 12, overlap=64)
+    assert len(tries) == 1 and tries[0][0] == 12 and tries[0][1] >= 4
+
+
+def test_runs_agree_soon(spark, monkeypatch):
+    tries, fold = [], split._folded
+    monkeypatch.setattr(split, "_folded", lambda *given: tries.append(given[1:3]) or fold(*given))
+    agree(spark.createDataFrame(walk("a", 3000, 1) + walk("b", 2000, 2), SCHEMA), run=300, overlap=150)
+    assert tries == [(300, 150)]
