@@ -13,7 +13,9 @@ bounded size that any number of tasks share; so a list's size never limits a cou
 Recall is audited: a sample of `audit` vectors is compared with all vectors, and a vector's recall is the share of its
 links that lie in its component. The mean over the sampled vectors that have links, taken apart for those with at most
 `k` links and those with more, must reach `goal`; until then further orders are drawn and rounds go on, `repairs` times at
-most. A final recall below `accepted` is an error; what was reached is returned with the rows.
+most. A final recall below `accepted` is an error; what was reached is returned with the rows. Where links are rare the sample
+grows, up to `audit_most` vectors, until `audit_linked` of them have links; a sample without any measures nothing, and the
+recall returned is null.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing, and neither do
 vectors of different lengths; equal vectors link with each other; repeated rows count as copies; a pair within 1e-9 of the
@@ -50,6 +52,8 @@ class Settings:
     settled: float = 0.002
     tile: int = 256
     audit: int = 2000
+    audit_linked: int = 50
+    audit_most: int = 32_000
     goal: float = 0.99
     accepted: float = 0.9
     repairs: int = 6
@@ -240,12 +244,26 @@ def refine(graph: DataFrame, reps: DataFrame, s: Settings, n: int, step: int) ->
     return dealt.sortWithinPartitions("center", "id").mapInArrow(meet, EDGE)
 
 
-def recall(named: DataFrame, s: Settings, n: int) -> float:
-    """The audited recall of the components: the lesser of the two means."""
+def recall(named: DataFrame, s: Settings, n: int) -> float | None:
+    """The audited recall of the components: the lesser of the two means, from at least `audit_linked` vectors with links.
+
+    The sample grows fourfold until it holds that many, up to `audit_most` vectors; None if no audited vector has a link:
+    then nothing was measured.
+    """
+    size = s.audit
+    while True:
+        linked, found = _audit(named, s, n, size)
+        if linked >= s.audit_linked or size >= min(n, s.audit_most):
+            return found
+        size = min(size * 4, s.audit_most)
+
+
+def _audit(named: DataFrame, s: Settings, n: int, size: int) -> tuple[int, float | None]:
+    """(audited vectors with links, the lesser mean of their recalls)."""
     spread = 1 << 30
-    share = math.ceil(spread * s.audit / max(n, 1))
+    share = math.ceil(spread * size / max(n, 1))
     sample = named.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(spread)) < share).select("id", "dim", "component", "vec").toArrow()
-    asked = {}  # some `audit` vectors, whatever the input
+    asked = {}  # some `size` vectors, whatever the input
     for dim in set(sample.column("dim").to_pylist()):
         part = sample.filter(pa.compute.equal(sample.column("dim"), dim))
         asked[dim] = (part.column("id").to_numpy(), part.column("component").to_numpy(), unit(part))
@@ -263,8 +281,8 @@ def recall(named: DataFrame, s: Settings, n: int) -> float:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(near.sum(axis=1)[some]), pa.array(held[some])], names=["id", "links", "held"])
 
     per_vector = named.mapInArrow(search, "id long, links long, held long").groupBy("id").agg(F.sum("links").alias("links"), F.sum("held").alias("held"))
-    means = per_vector.groupBy((F.col("links") <= s.k).alias("few")).agg(F.avg(F.col("held") / F.col("links")).alias("mean")).collect()
-    return min((r["mean"] for r in means), default=1.0)
+    means = per_vector.groupBy((F.col("links") <= s.k).alias("few")).agg(F.avg(F.col("held") / F.col("links")).alias("mean"), F.count("*").alias("n")).collect()
+    return sum(r["n"] for r in means), min((r["mean"] for r in means), default=None)
 
 
 def link_counts(named: DataFrame, s: Settings, ws: Workspace) -> DataFrame:
@@ -332,14 +350,14 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                 break
         named = ws.write(name(reps, components(links, Workspace(spark, "nndescent"))), f"named{draw}")
         reached = recall(named, s, n)
-        if reached >= s.goal:
+        if reached is None or reached >= s.goal:
             break
-    if reached < s.accepted:
+    if reached is not None and reached < s.accepted:
         raise RuntimeError(f"the neighbour graph reached a recall of {reached:.3f} only")
     counted = named.join(link_counts(named, s, ws), "id", "left").select("vec", "component", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.col("m").alias("n"))
     found = join_hot(rows, ws.write(counted, "counted"), "vec", total).select("vec_id", "n_links", F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
     alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    return found.union(alone).withColumn("recall", F.lit(float(reached)))
+    return found.union(alone).withColumn("recall", F.lit(reached).cast("double"))
 
 
 def _grown(graph: DataFrame | None, links: DataFrame | None, edges: DataFrame, s: Settings, ws: Workspace, name: str) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,10 @@ URL that holds all its tokens: an inverted index from token to rules is joined w
 rule decided, and matched tokens are counted. Mining takes one basket per labelled page; matching takes each distinct set of
 tokens once, so a hot host is a few rows there, and the pages of a hot set are dealt over salts.
 
+Tokens that occur in the same labelled pages and in no others are one item for mining, so a repeated URL of many tokens does not make
+every subset of them an itemset; whichever of the tokens a page has stands for the item. Whether two tokens' pages are the
+same is told by their number and two 64-bit sums over hashes of the baskets.
+
 Pruning uses an index as well: a shorter rule is listed under its rarest token only, so a longer rule meets few others.
 
 List rules come first: a rule (host, path prefix) fits its host and all subdomains; the longest host wins, then the
@@ -66,19 +70,40 @@ def list_rule(host: Column, path: Column, rules: list[ListRule]) -> Column:
     return out
 
 
+def joint_items(labelled: DataFrame) -> DataFrame:
+    """(token, item): the smallest of the tokens that occur in the same baskets names them all."""
+    baskets = labelled.select("tokens").groupBy("tokens").count()
+    held = baskets.select(F.explode("tokens").alias("token"), F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(1), "tokens").alias("b"), "count")
+    wide = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+    marks = held.groupBy("token").agg(F.struct(F.sum("count"), wide("a"), wide("b")).alias("mark"))
+    items = marks.groupBy("mark").agg(F.min("token").alias("item"))
+    return marks.join(items, "mark").select("token", "item")
+
+
 def mine(labelled: DataFrame, min_support: float = 0.002, min_pages: int = 8, min_confidence: float = 0.6, min_lift: float = 2.0, max_tokens: int | None = None) -> DataFrame:
-    """labelled (tokens array<string>, bad boolean): rules (rule_id, antecedent array<string>, confidence, support); max_tokens None keeps every length."""
+    """labelled (tokens array<string>, bad boolean): rules (rule_id, antecedent, confidence, support).
+
+    The antecedent is an array of items, each the array of the tokens that can stand for it; max_tokens None keeps every length.
+    """
     spark = labelled.sparkSession
-    empty = spark.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, support double")
+    empty = spark.createDataFrame([], "rule_id long, antecedent array<array<string>>, confidence double, support double")
     n = labelled.count()
     if not n:
         return empty
-    baskets = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
+    items = joint_items(labelled)
+    sets = labelled.select("tokens", "bad").groupBy("tokens", "bad").count()
+    short = sets.select("tokens", F.explode("tokens").alias("token")).distinct().join(items, "token").groupBy("tokens").agg(F.collect_set("item").alias("items"))
+    # every basket of a set of tokens, also the empty one, takes part as often as it occurs
+    baskets = sets.join(short, "tokens", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    baskets = baskets.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).select("items")
     model = FPGrowth(itemsCol="items", minSupport=(max(math.ceil(min_support * n), min_pages) - 0.5) / n, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(
         (F.col("consequent") == F.array(F.lit(BAD))) & (F.lit(True) if max_tokens is None else F.size("antecedent") <= max_tokens) & (F.col("lift") >= min_lift)
     ).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    return without_implied(rules.select(F.xxhash64("antecedent").alias("rule_id"), "antecedent", "confidence", "support"))
+    kept = without_implied(rules.select(F.xxhash64("antecedent").alias("rule_id"), "antecedent", "confidence", "support"))
+    tokens = items.groupBy("item").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    spelled = kept.select("rule_id", "confidence", "support", F.explode("antecedent").alias("item")).join(tokens, "item")
+    return spelled.groupBy("rule_id").agg(F.array_sort(F.collect_list("tokens")).alias("antecedent"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
 
 
 def without_implied(rules: DataFrame) -> DataFrame:
@@ -101,10 +126,11 @@ def judge(pages: DataFrame, lists: list[ListRule], rules: DataFrame, id_col: str
     done = ruled.where(F.col("listed").isNotNull()).withColumn("confidence", F.lit(None).cast("double"))
     rest = ruled.where(F.col("listed").isNull()).withColumn("tokens", tokens_of(F.col("host"), F.col("path"))).withColumn("shape", F.xxhash64("tokens"))
     shapes = rest.where(F.size("tokens") > 0).groupBy("shape").agg(F.first("tokens").alias("tokens"))
-    index = rules.select("rule_id", "confidence", F.size("antecedent").alias("need"), F.explode("antecedent").alias("token"))
+    index = rules.select("rule_id", "confidence", F.size("antecedent").alias("need"), F.posexplode("antecedent").alias("item", "tokens"))
+    index = index.select("rule_id", "confidence", "need", "item", F.explode("tokens").alias("token"))
     hits = (
         shapes.select("shape", F.explode("tokens").alias("token")).join(index, "token")
-        .groupBy("shape", "rule_id").agg(F.count("*").alias("met"), F.first("need").alias("need"), F.first("confidence").alias("confidence"))
+        .groupBy("shape", "rule_id").agg(F.count_distinct("item").alias("met"), F.first("need").alias("need"), F.first("confidence").alias("confidence"))
         .where("met = need").groupBy("shape").agg(F.max("confidence").alias("confidence"))
     )
     # one shape may stand for a third of all pages: its pages are dealt over salts, and each hit goes to all salts

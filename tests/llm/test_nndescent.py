@@ -70,6 +70,18 @@ def test_small_groups_beside_a_hot_one(spark):
         nndescent.near_duplicates(df, settings=coarse).count()
 
 
+def test_rare_links_are_measured_or_said_not_to_be(spark):
+    rows = planted(3000, 11, [(2, 0.3)] * 10, dim=32)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    coarse = {"orders": 1, "run": 16, "k": 2, "rounds": 1, "repairs": 0, "accepted": 0.0, "audit": 10}
+    grown = nndescent.near_duplicates(df, settings=nndescent.Settings(**coarse)).first().recall
+    assert grown is not None and grown < 0.9
+    alone = spark.createDataFrame(planted(400, 5, [], dim=32), "vec_id long, embedding array<double>")
+    assert {r.recall for r in nndescent.near_duplicates(alone, settings=nndescent.Settings(**coarse)).collect()} == {None}
+    with pytest.raises(RuntimeError, match="recall"):
+        nndescent.near_duplicates(df, settings=nndescent.Settings(**coarse | {"accepted": 0.9})).count()
+
+
 def test_a_pair_at_the_threshold_is_decided_alike_everywhere():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(40, 24))

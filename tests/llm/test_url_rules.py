@@ -1,3 +1,5 @@
+from itertools import product
+
 import itertools
 import math
 import random
@@ -28,6 +30,11 @@ URLS = [
 ]
 
 
+def spelled(rules):
+    """Each choice of a token for every item."""
+    return {tuple(sorted(pick)): round(r.confidence, 9) for r in rules.collect() for pick in product(*r.antecedent)}
+
+
 def test_lists_against_brute_force(spark):
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(0, None, "y")], "page_id long, url string, rule string")
     rules = url_rules.mine(spark.createDataFrame([], "tokens array<string>, bad boolean"))
@@ -56,7 +63,7 @@ def test_mined_rules_against_brute_force(spark):
             if sum(hit) >= max(math.ceil(0.002 * n), 8) and sum(hit) / len(hit) >= 0.6 and sum(hit) / len(hit) / (bad / n) >= 2:
                 want[ante] = sum(hit) / len(hit)
     want = {a: c for a, c in want.items() if not any(set(b) < set(a) and d >= c for b, d in want.items())}
-    assert want and {tuple(r.antecedent): round(r.confidence, 9) for r in mined.collect()} == {a: round(c, 9) for a, c in want.items()}
+    assert want and spelled(mined) == {a: round(c, 9) for a, c in want.items()}
     pages = spark.createDataFrame([(1, "http://a.org/x/9"), (2, "http://a.org/y"), (3, "http://q.a.org/w/x")], "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_rules.judge(pages, [], mined).collect()}
     assert got == {1: "block", 2: "allow", 3: "block"}
@@ -114,3 +121,16 @@ def test_query_against_sql_where_rules_fire(spark, tmp_path):
     mined = [r for r in got if r[3] is None and r[4] == "block"]
     assert len(mined) > 200 and len({r[5] for r in mined}) >= 3
     assert (1502, "casino-win.example.org", "/en/9999999/", None, "block") in {r[:5] for r in mined}
+
+
+def test_a_repeated_url_of_many_tokens_is_one_item(spark):
+    """Twelve bad pages share thirty tokens that no other page has: 2^30 itemsets if each token were an item."""
+    many = [f"p:t{i}" for i in range(30)]
+    rows = [(many + ["h:com"], True)] * 12 + [(["h:com", f"p:x{i % 5}"], False) for i in range(100)]
+    rules = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"))
+    assert [(r.antecedent, round(r.confidence, 9)) for r in rules.collect()] == [([sorted(many)], 1.0)]
+    # one of the item's tokens is enough to match; digits became 0 before mining
+    rows = [(["h:org", "p:t0", "p:u"], True)] * 12 + [(["h:org"], False)] * 40
+    rules = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"))
+    pages = spark.createDataFrame([(1, "http://a.org/t7/else"), (2, "http://a.org/x1"), (3, None), (4, "http://b.com/u")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_rules.judge(pages, [], rules).collect()} == {1: "block", 2: "allow", 3: "allow", 4: "block"}
