@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import KEYS, MAX_LEVELS
+from ..sources import bars as sources
 from . import averages, base_chain, causal, ma_candidates, moves, segments, series
 
 FIELDS = {
@@ -98,6 +99,16 @@ def structure(bars: DataFrame, min_gap: int | None = None, standard: str = "81",
     return per_series(bars, fold, FIELDS, keys)
 
 
+def analyze_available(bars: DataFrame, grid: DataFrame, **options) -> DataFrame:
+    """The batch entry at every observation of a grid (keys, observed): structure of what had arrived by then, with the column observed.
+
+    bars have closed_dt and available_dt; options are those of `structure`. Each observation of each series is a task's group.
+    """
+    seen = sources.observed_bars(bars, grid)
+    found = structure(seen.withColumn("observed", F.col("observed").cast("string")), keys=[*KEYS, "observed"], **options)
+    return found.withColumn("observed", F.col("observed").cast("timestamp_ntz"))
+
+
 def structure_of_strokes(strokes: DataFrame, max_levels: int = MAX_LEVELS, records: set[str] | None = None) -> DataFrame:
     """The records that strokes alone decide: segments, centers, moves, levels. A series' strokes, not its bars, meet in one task."""
     wanted = set(UNIT_RECORDS) if records is None else set(records)

@@ -91,6 +91,19 @@ _PARTS = {
 _NEEDS = {"m": [], "f": ["m"], "s": ["m", "f"], "c": ["m", "f", "s"], "e": [], "l": [], "a": ["l"], "bb": [], "g": []}
 
 
+#: Each observation's view of a series, as a series of its own: the latest version of every bar that had arrived.
+_OBSERVED = """v0 AS (SELECT symbol, dt, open, high, low, close, volume, dt + INTERVAL 65 MINUTE + CASE WHEN seq % 10 = 3 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS arrived, seq FROM hourly),
+    v AS (SELECT * FROM v0 UNION ALL SELECT symbol, dt, open, high + 1, low, close + 1, volume, arrived + INTERVAL 150 MINUTE, seq FROM v0 WHERE seq % 50 = 7),
+    o AS (SELECT DISTINCT symbol, arrived + INTERVAL 30 SECOND AS observed FROM v0 WHERE seq IN (0, 9, 58, 60, 121, 122, 300) OR seq % 211 = 13),
+    w AS (SELECT o.observed, v.*, row_number() OVER (PARTITION BY v.symbol, o.observed, v.dt ORDER BY v.arrived DESC) AS version FROM v JOIN o ON o.symbol = v.symbol AND v.arrived <= o.observed),
+    b AS MATERIALIZED (SELECT symbol || '@' || observed AS symbol, symbol AS name, observed, dt, open, high, low, close, volume, row_number() OVER (PARTITION BY symbol, observed ORDER BY dt) - 1 AS seq FROM w WHERE version = 1)"""
+
+
+def observed(sql: str, *parts: str) -> str:
+    """A statement over the observations' views."""
+    return select(sql, *parts).replace("b AS MATERIALIZED (SELECT *, row_number()", "hourly AS MATERIALIZED (SELECT *, row_number()", 1).replace("FROM b0)", "FROM b0),\n" + _OBSERVED, 1)
+
+
 def select(sql: str, *parts: str, hours: int = 1, orders: bool = False) -> str:
     """A statement over the bars `b` (of events, or the long series of orders) and the named parts, with all that these need."""
     wanted: list[str] = []

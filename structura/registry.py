@@ -486,6 +486,41 @@ def as_of_structure(spark, sf_dir):
     return st.structure(src.visible_bars(bars_of(spark, sf_dir), "2024-01-15 12:00:00")).groupBy(*KEYS, "record").count()
 
 
+def observations(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Bars of which some arrive late and some are corrected later, and an irregular grid of observation times for each series."""
+    first = src.with_arrival(bars_of(spark, sf_dir), "1 hour", late=F.col("seq") % 10 == 3)
+    second = first.where("seq % 50 = 7").withColumn("high", F.col("high") + 1).withColumn("close", F.col("close") + 1).withColumn("available_dt", F.expr("available_dt + interval 150 minutes"))
+    grid = first.where(F.col("seq").isin(0, 9, 58, 60, 121, 122, 300) | (F.col("seq") % 211 == 13)).select(*KEYS, F.expr("available_dt + interval 30 seconds").alias("observed"))
+    return first.unionByName(second), grid
+
+
+def seen_at(record: str, *columns: str):
+    def run(spark, sf_dir):
+        return st.analyze_available(*observations(spark, sf_dir), records={record}).where(F.col("record") == record).select("symbol", "observed", *columns)
+
+    return run
+
+
+@query("observed_bars", oracles.observed("SELECT name AS symbol, observed, count(*) AS n, max(dt) AS last_dt, max(high) AS high, min(low) AS low, CAST(sum(close) AS DOUBLE) AS closes FROM (SELECT name, observed, dt, high, low, CAST(close AS DECIMAL(18,4)) AS close FROM b) GROUP BY 1, 2"))
+def observed_bars(spark, sf_dir):
+    seen = src.observed_bars(*observations(spark, sf_dir))
+    return seen.groupBy("symbol", "observed").agg(F.count("*").alias("n"), F.max("dt").alias("last_dt"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum(F.col("close").cast("decimal(18,4)")).cast("double").alias("closes"))
+
+
+def observed_names(part: str) -> str:
+    return f"(SELECT x.*, n.name, n.observed FROM {part} x JOIN (SELECT DISTINCT symbol, name, observed FROM b) n ON n.symbol = x.symbol)"
+
+
+@query("observed_strokes", oracles.observed(f"SELECT name AS symbol, observed, idx, direction, start_value, end_value, start_dt, end_dt FROM {observed_names('s')}", "s"))
+def observed_strokes(spark, sf_dir):
+    return seen_at("stroke", *longs("idx"), "direction", "start_value", "end_value", "start_dt", "end_dt")(spark, sf_dir)
+
+
+@query("observed_centers", oracles.observed(f"SELECT name AS symbol, observed, idx, zd, zg, gg, dd, n, first, last FROM {observed_names('c')}", "c"))
+def observed_centers(spark, sf_dir):
+    return seen_at("stroke_center", *longs("idx"), "zd", "zg", "gg", "dd", *longs("n", "first", "last"))(spark, sf_dir)
+
+
 @query("replay_ledger")
 def replay_ledger(spark, sf_dir):
     return st.replay_ledger(bars_of(spark, sf_dir))

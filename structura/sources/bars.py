@@ -155,3 +155,24 @@ def sector_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     week = F.window(F.col("ts").cast("timestamp"), "7 days", "7 days", "4 days").getField("start").cast("timestamp_ntz")
     out = ticks.groupBy("symbol", "sector", week.alias("dt")).agg(F.max_by("p", "o").cast("double").alias("close"))
     return numbered(out.withColumn("freq", F.lit("7 days")))
+
+
+def arrival_checked(bars: DataFrame) -> DataFrame:
+    """The bars, each of which must have dt <= closed_dt <= available_dt; the first that has not fails the job by name."""
+    sound = F.coalesce((F.col("dt") <= F.col("closed_dt")) & (F.col("closed_dt") <= F.col("available_dt")), F.lit(False))
+    told = F.concat_ws(" ", F.lit("a bar must close and arrive in this order:"), *KEYS, *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("dt", "closed_dt", "available_dt")))
+    return bars.withColumn("available_dt", F.when(sound, F.col("available_dt")).otherwise(F.raise_error(told).cast("timestamp_ntz")))
+
+
+def observed_bars(bars: DataFrame, grid: DataFrame) -> DataFrame:
+    """What each observation of a grid (keys, observed) sees of its series: the latest version of every bar that had arrived, numbered.
+
+    Rows of one (keys, dt) with different available_dt are versions of a bar. A version is valid from its arrival until the next one's,
+    so an observation takes exactly one of them by range; the grid may be irregular and differ between series. Each
+    observation gets all its bars: the result has a prefix of the series per observation.
+    """
+    version = Window.partitionBy(*KEYS, "dt").orderBy("available_dt")
+    valid = arrival_checked(bars).drop("seq").withColumn("valid_to", F.lead("available_dt").over(version))
+    seen = valid.join(grid.select(*KEYS, F.col("observed").cast("timestamp_ntz").alias("observed")).distinct(), KEYS)
+    seen = seen.where((F.col("available_dt") <= F.col("observed")) & (F.col("valid_to").isNull() | (F.col("observed") < F.col("valid_to")))).drop("valid_to")
+    return seen.withColumn("seq", F.row_number().over(Window.partitionBy(*KEYS, "observed").orderBy("dt")) - 1)
