@@ -164,7 +164,7 @@ GAP_STRENGTH = select("""SELECT symbol, index_a, direction, fill AS fill_index,
             SELECT symbol, index_a, lower AS price FROM g UNION SELECT symbol, index_a, upper FROM g
             UNION SELECT g.symbol, g.index_a, b.low FROM g JOIN b ON b.symbol = g.symbol AND b.seq > g.index_a + 1 AND b.low > g.lower AND b.low < g.upper
             UNION SELECT g.symbol, g.index_a, b.high FROM g JOIN b ON b.symbol = g.symbol AND b.seq > g.index_a + 1 AND b.high > g.lower AND b.high < g.upper)) q WHERE hi_ IS NOT NULL) parts
-        ON parts.symbol = g.symbol AND parts.index_a = g.index_a GROUP BY ALL) z) t)""", "g", hours=4)
+        ON parts.symbol = g.symbol AND parts.index_a = g.index_a GROUP BY ALL) z) t)""", "g")
 FRACTAL_POWER = select("""SELECT symbol, bar_index, kind, CASE WHEN rng <= 0 THEN 'neutral' WHEN NOT contained AND c_low < a_low AND c_close <= (a_high + a_low) / 2 THEN 'severe'
     WHEN (greatest(0, b_high - greatest(b_open, b_close)) / rng >= 0.25 OR (b_close < b_open AND abs(b_close - b_open) / rng >= 0.35)) AND NOT (c_close > c_open AND c_close > (b_high + b_low) / 2) THEN 'strong'
     WHEN (a_close > a_open AND b_close < b_open AND b_high >= a_high AND b_low <= a_low AND abs(b_close - b_open) / rng >= 0.35) OR (b_close > b_open AND c_close < c_open AND c_high >= b_high AND c_low <= b_low AND abs(c_close - c_open) / rng >= 0.35) THEN 'strong'

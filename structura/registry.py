@@ -291,7 +291,7 @@ def gaps(spark, sf_dir):
 
 @query("gap_strength", oracles.GAP_STRENGTH)
 def gap_strength(spark, sf_dir):
-    return wn.gap_strength(src.event_bars(spark, sf_dir, "4 hours")).select("symbol", *longs("index_a"), "direction", *longs("fill_index"), "extreme", "strength", "exhaustion")
+    return wn.gap_strength(bars_of(spark, sf_dir)).select("symbol", *longs("index_a"), "direction", *longs("fill_index"), "extreme", "strength", "exhaustion")
 
 
 @query("fractal_power", oracles.FRACTAL_POWER)
