@@ -2,9 +2,9 @@
 
 Words and word pairs (A-Z lowered) fall into hash buckets. Two multinomials over the buckets, one of a trusted target
 and one of the whole raw corpus, give each bucket a log ratio; a document's value is the mean over its n-grams, so
-length cancels, and a fixed threshold decides. Raw counts cover every document. The target is a bounded sample
-(`target_docs`, by a hash of the id) of the documents that are labelled good; its ids alone are broadcast, so texts
-are never shuffled. Counts are added up in each task and then by bucket.
+length cancels, and a fixed threshold decides. Raw counts cover every document, target counts every document that is
+labelled good. Up to `broadcast_ids` good ids are broadcast, so texts are not shuffled; more of them meet the texts by
+shuffle, and no task or driver holds them all. Counts are added up in each task and then by bucket.
 
 Base rules come first: too few words, or too many words inside repeated five-word windows, fail a document whatever
 its ratio. Windows are compared exactly, not by hash.
@@ -15,7 +15,6 @@ the base rules; repeated label rows count once; repeated rows each get a row; an
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -86,29 +85,25 @@ def base_counts(raw: bytes) -> tuple[int, int, int, int, int]:
 
 def _count_batches(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        raw, target = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
+        hashes, counts = WordHashes(), np.zeros(buckets, dtype=np.int64)
         for batch in batches:
-            for text, trusted in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
-                found = np.bincount(buckets_of(hashes.of(text.as_py().split()), buckets), minlength=buckets)
-                raw += found
-                if trusted:
-                    target += found
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
+            for text in batch.column(1).cast(pa.binary()):
+                counts += np.bincount(buckets_of(hashes.of(text.as_py().split()), buckets), minlength=buckets)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
 
     return run
 
 
-def fit(df: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_docs: int = 20_000, buckets: int = BUCKETS) -> np.ndarray:
-    """Log ratio of each bucket. good_ids: one column of the ids of trusted documents."""
-    spread = 1 << 20
+def fit(df: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, broadcast_ids: int = 100_000) -> np.ndarray:
+    """Log ratio of each bucket. good_ids: one column of the ids of trusted documents, all of which count."""
     good = good_ids.select(F.col(good_ids.columns[0]).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    n = good.count()
-    share = min(spread, math.ceil(spread * target_docs / n)) if n else 0
-    sample = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < share).withColumn("trusted", F.lit(True))
-    marked = text_rows(df, id_col, text_col).join(F.broadcast(sample), "doc_id", "left").select("doc_id", "text", "trusted")
-    counts = marked.mapInArrow(_count_batches(buckets), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    good = F.broadcast(good) if good.count() <= broadcast_ids else good.hint("merge")
+    texts = text_rows(df, id_col, text_col)
+    count = lambda rows, target: rows.mapInArrow(_count_batches(buckets), "bucket long, n long").withColumn("target", F.lit(target))
+    counted = count(texts, False).unionByName(count(texts.join(good, "doc_id", "left_semi"), True))
+    own = lambda target: F.coalesce(F.sum(F.when(F.col("target") == target, F.col("n"))), F.lit(0))
+    counts = counted.groupBy("bucket").agg(own(False).alias("raw"), own(True).alias("target"))
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for part in counts.toArrow().to_batches():
         at = part.column(0).to_numpy()

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from structura.llm import importance, queries
 
@@ -75,3 +76,19 @@ def test_edge_cases(spark):
     assert importance.fit(df.where("false"), df.select("doc_id")).sum() == 0
     two = spark.createDataFrame([(1, "good words"), (2, "raw text")], "doc_id long, text string")
     assert importance.fit(two, two.where("doc_id = 1").select(F.col("doc_id").alias("x"))).any()
+
+
+@pytest.mark.parametrize("broadcast_ids", [100_000, 0])
+def test_every_good_document_counts(spark, broadcast_ids):
+    """More good documents than a bounded sample would hold, with ids that repeat or are null."""
+    n = 21_000
+    df = spark.range(n).selectExpr("id as doc_id", "concat('a', id % 97, ' b', id % 89) as text").unionByName(spark.createDataFrame([(4, "twice a1"), (None, "nowhere")], "doc_id long, text string"))
+    good = spark.range(n).where("id % 50 > 0").selectExpr("cast(id as string) as x").union(spark.createDataFrame([("4",), (None,)], "x string"))
+    raw, target = np.zeros(importance.BUCKETS), np.zeros(importance.BUCKETS)
+    for i, text in [*((i, f"a{i % 97} b{i % 89}") for i in range(n)), (4, "twice a1"), (None, "nowhere")]:
+        at = bucket_counts(text)
+        np.add.at(raw, at, 1)
+        if i is not None and i % 50:
+            np.add.at(target, at, 1)
+    want = np.log((target + 1) / (target.sum() + importance.BUCKETS)) - np.log((raw + 1) / (raw.sum() + importance.BUCKETS))
+    assert np.allclose(importance.fit(df, good, broadcast_ids=broadcast_ids), want, rtol=0, atol=1e-12)
