@@ -23,6 +23,8 @@ _FIELDS = {
     "record": pa.string(), "pos": pa.int64(), "chain": pa.int64(), "seq": pa.int64(), "state": pa.string(), "kind": pa.string(), "first": pa.int64(), "last": pa.int64(),
     "low": pa.float64(), "high": pa.float64(), "start_dt": pa.timestamp("us"), "end_dt": pa.timestamp("us"), "start_value": pa.float64(), "end_value": pa.float64(),
 }
+#: More bars are dealt to more tasks than the session asks for.
+BARS_A_TASK = 1 << 19
 _TYPES = {pa.string(): "string", pa.int64(): "long", pa.float64(): "double", pa.timestamp("us"): "timestamp_ntz"}
 
 
@@ -90,16 +92,19 @@ def _fold(run: int, overlap: int, min_gap: int):
     return fold
 
 
-def _folded(bars: DataFrame, run: int, overlap: int, min_gap: int) -> DataFrame:
+def _folded(bars: DataFrame, run: int, overlap: int, min_gap: int, parts: int) -> DataFrame:
     """Every run's own view. Each run has at least `run` bars; the last one takes the rest."""
-    runs = bars.groupBy(*KEYS).agg(F.greatest(F.lit(1), F.expr(f"(max(seq) + 1) div {run}")).alias("runs"))
-    own = F.least(F.expr(f"seq div {run}"), F.col("runs") - 1)
+    bars = bars.select(*KEYS, F.col("seq").cast("long"), "dt", "open", "high", "low", "close").withColumn("block", F.expr(f"seq div {run}"))
+    # a row a block, not a series: a series' bars must not meet in the task of its key
+    blocks = bars.groupBy(*KEYS, "block").agg(F.max("seq").alias("stop"))
+    runs = blocks.select(*KEYS, "block", F.greatest(F.lit(1), F.expr(f"(max(stop) over (partition by {', '.join(KEYS)}) + 1) div {run}")).alias("runs"))
+    own = F.least(F.col("block"), F.col("runs") - 1)
     both = F.when((own > 0) & (F.col("seq") < own * run + overlap), F.array(own, own - 1)).otherwise(F.array(own))
-    dealt = bars.select(*KEYS, F.col("seq").cast("long"), "dt", "open", "high", "low", "close").join(runs, KEYS)
-    dealt = dealt.withColumn("run", F.explode(both)).withColumn("is_last", F.col("run") == F.col("runs") - 1).drop("runs")
+    dealt = bars.join(runs, [*KEYS, "block"])
+    dealt = dealt.withColumn("run", F.explode(both)).withColumn("is_last", F.col("run") == F.col("runs") - 1).drop("runs", "block")
     schema = ", ".join([*(f"{k} string" for k in KEYS), "run long", *(f"`{n}` {_TYPES[t]}" for n, t in _FIELDS.items())])
     # a fold is slow for its bytes: a fixed number of partitions is not merged for being small
-    dealt = dealt.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS, "run")
+    dealt = dealt.repartition(parts, *KEYS, "run")
     return dealt.groupBy(*KEYS, "run").applyInArrow(_fold(run, overlap, min_gap), schema)
 
 
@@ -109,9 +114,10 @@ def base_chain_of(bars: DataFrame, run: int = 8192, overlap: int = 512, min_gap:
         raise ValueError("an overlap holds at least one bar and at most a run")
     gap = series.min_gap_of("81", min_gap)
     bars = written(bars.select(*KEYS, "seq", "dt", "open", "high", "low", "close"), "bars")
-    longest = bars.agg(F.max("seq")).first()[0]
+    longest, n = bars.agg(F.max("seq"), F.count("*")).first()
+    parts = max(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BARS_A_TASK))
     while True:
-        folded = written(_folded(bars, run, overlap, gap), "runs")
+        folded = written(_folded(bars, run, overlap, gap, parts), "runs")
         sizes = folded.where("record = 'run'").select(*KEYS, "run", F.col("pos").alias("all_bars"), F.col("chain").alias("all_pivots"))
         of = lambda record, at: folded.where(F.col("record") == record).select(*KEYS, at.alias("run"), "seq", "state", F.struct("pos", "chain").alias(record))  # noqa: E731, B023
         met = of("head", F.col("run")).join(of("tail", F.col("run") + 1), [*KEYS, "run", "seq", "state"])

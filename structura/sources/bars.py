@@ -57,7 +57,7 @@ def event_bars(spark: SparkSession, sf_dir: str, period: str = "1 hour") -> Data
     return from_ticks(event_ticks(spark.read.parquet(f"{sf_dir}/events.parquet")), period, "p", "event_id")
 
 
-def order_bars(spark: SparkSession, sf_dir: str, rows_per_bucket: int = 8192) -> DataFrame:
+def order_bars(spark: SparkSession, sf_dir: str, rows_per_bucket: int = 8192, lines_per_task: int = 1 << 20) -> DataFrame:
     """One long series: a bar an order, whose lines are the ticks of a signed walk in exact decimals.
 
     The walk and the numbering are summed by bucket of orders, then over buckets, then inside a bucket: no task holds the series.
@@ -69,7 +69,10 @@ def order_bars(spark: SparkSession, sf_dir: str, rows_per_bucket: int = 8192) ->
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("bucket", F.coalesce(F.sum("moved").over(earlier), F.lit(0)).alias("price_before"), F.coalesce(F.sum("orders").over(earlier), F.lit(0)).alias("seq_before"))
     inside = Window.partitionBy("bucket").orderBy(*LINE_ORDER)
-    ticks = lines.withColumn("walked", F.sum("step").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("tick", F.row_number().over(inside)).withColumn("rank", F.dense_rank().over(Window.partitionBy("bucket").orderBy("l_orderkey")))
+    # more lines are dealt to more tasks than the session asks for
+    parts = -(-lines.count() // lines_per_task)
+    dealt = lines.repartition(parts, "bucket") if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else lines
+    ticks = dealt.withColumn("walked", F.sum("step").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("tick", F.row_number().over(inside)).withColumn("rank", F.dense_rank().over(Window.partitionBy("bucket").orderBy("l_orderkey")))
     price = (F.lit(1000) + F.col("price_before") + F.col("walked")).cast("double")
     ticks = ticks.join(starts, "bucket").select((F.col("seq_before") + F.col("rank") - 1).cast("int").alias("seq"), "tick", price.alias("p"))
     bars = ticks.groupBy("seq").agg(

@@ -1,6 +1,7 @@
 """A series cut into runs gives the rows of the series in one piece."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -65,6 +66,30 @@ def test_one_series_runs_in_many_tasks(spark, monkeypatch):
     assert len(tries) == 1 and tries[0][0] == 12 and tries[0][1] >= 4
 
 
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_no_task_meets_a_whole_series(spark, monkeypatch, broadcast):
+    """The bars of a series must not be dealt by its key: the plan has no join and no exchange by the keys alone but for rows a run."""
+    plans, fold = [], split._folded
+    monkeypatch.setattr(split, "_folded", lambda *given: plans.append(fold(*given)) or plans[-1])
+    monkeypatch.setattr(split, "BARS_A_TASK", 100)
+    rows = walk("a", 1000, 1) + walk("b", 333, 2, step=1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        agree(spark.createDataFrame(rows, SCHEMA), run=64, overlap=32)
+        plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join \[([^\]]*)\]", plan)
+    assert joins and all(re.sub(r"#\d+L?", "", j) == "symbol, freq, block" for j in joins)
+    assert plans[0].rdd.getNumPartitions() == 14
+
+
+def test_lines_are_dealt_to_more_tasks_as_they_grow(spark):
+    few, many = (src.order_bars(spark, "/root/testdata/sf0.001", lines_per_task=n) for n in (1 << 20, 100))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    assert re.search(r"hashpartitioning\(bucket#\d+L?, (?:5|6)\d\), REPARTITION_BY_NUM", many._jdf.queryExecution().executedPlan().toString())
+
+
 def test_runs_agree_soon(spark, monkeypatch):
     tries, fold = [], split._folded
     monkeypatch.setattr(split, "_folded", lambda *given: tries.append(given[1:3]) or fold(*given))
