@@ -150,7 +150,7 @@ def center_events(units: Sequence[Unit], found: Sequence[Center]) -> list[dict]:
     """form or new, extend or upgrade_9, complete, and expand_zs beside a new center whose waves meet the last one's."""
     out: list[dict] = []
     for k, c in enumerate(found):
-        own = waves(units[: c.first + 3], Center(c.first, c.first + 2, c.zd, c.zg, None))
+        own = waves(units, Center(c.first, c.first + 2, c.zd, c.zg, None))
         if not k:
             out.append({"event": "form", "unit": c.first + 2, "center": k})
         else:

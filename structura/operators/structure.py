@@ -7,6 +7,7 @@ series in order, so a series is one task; symbols and periods spread over the cl
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,6 +25,7 @@ FIELDS = {
 RECORDS = ("merged", "stroke", "segment", "stroke_center", "segment_center", "center_event", "same_level", "level_up", "level_unit", "point")
 UNIT_RECORDS = ("segment", "stroke_center", "segment_center", "center_event", "same_level", "level_up", "level_unit")
 _ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "timestamp_ntz": pa.timestamp("us")}
+_BATCH = 20_000
 _BAR_FIELDS = ["dt", "open", "high", "low", "close", "volume"]
 
 
@@ -32,16 +34,20 @@ def _schema(fields: dict[str, str], keys: list[str]) -> str:
 
 
 def per_series(bars: DataFrame, fold: Callable[..., Iterator[dict]], fields: dict[str, str], keys: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Run a fold over each series in order of seq; it yields one dict per output row. Only `columns` are shuffled."""
+    """Run a fold over each series in order of seq; it yields one dict per output row. Only `columns` are shuffled.
+
+    Rows leave the fold in batches, so that a long series' records are never held at once.
+    """
     keys = keys or KEYS
     columns = columns or _BAR_FIELDS
 
-    def run(key, table):
-        ordered = table.sort_by("seq")
-        rows = list(fold(*(ordered.column(c).to_pylist() for c in columns)))
-        arrays = [pa.array([key[i].as_py()] * len(rows), pa.string()) for i in range(len(keys))]
-        arrays += [pa.array([r.get(n) for r in rows], _ARROW[t]) for n, t in fields.items()]
-        return pa.Table.from_arrays(arrays, names=[*keys, *fields])
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordered = pa.Table.from_batches(batches).sort_by("seq")
+        found = iter(fold(*(ordered.column(c).to_pylist() for c in columns)))
+        while rows := list(islice(found, _BATCH)):
+            arrays = [pa.array([key[i].as_py()] * len(rows), pa.string()) for i in range(len(keys))]
+            arrays += [pa.array([r.get(n) for r in rows], _ARROW[t]) for n, t in fields.items()]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *fields])
 
     return bars.select(*keys, "seq", *columns).groupBy(*keys).applyInArrow(run, _schema(fields, keys))
 

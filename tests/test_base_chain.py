@@ -168,3 +168,24 @@ def test_phase():
     p = averages.transition_phase(*zip(*seed, (5, 7), (2.5, 4.5)))
     assert (p.stage, p.events[-1]) == ("center", (4, "return_to_center"))
     assert averages.transition_phase([1], [2]).stage == "before"
+
+
+def test_center_events_read_each_unit_a_few_times():
+    """A copy of all units before each center would cost the square of a series."""
+
+    class Counted(list):
+        read = 0
+
+        def __getitem__(self, at):
+            out = super().__getitem__(at)
+            self.read += len(out) if isinstance(at, slice) else 1
+            return out
+
+    rng, ends = random.Random(1), [100]
+    for i in range(4000):
+        ends.append(ends[-1] + (1 if i % 2 else -1) * rng.randint(1, 9))
+    units = Counted(Unit("up" if b > a else "down", a, b, i, i + 1, min(a, b), max(a, b)) for i, (a, b) in enumerate(zip(ends, ends[1:])))
+    found = base_chain.centers_of(units)
+    units.read = 0
+    events = base_chain.center_events(units, found)
+    assert len(found) > 300 and len(events) > 3000 and units.read < 8 * len(units)
