@@ -27,12 +27,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, filter_texts, text_rows
+from .common import Workspace, filter_texts, text_parts, text_rows
 
 MAX_GRAM = 5
 _LETTERS = regex.compile(r"\p{L}+")
-_MEMORY = 450_000
-_PORTION = 400_000
+_MEMORY = 100_000
+_PORTION = 50_000
 _COUNTED = 200_000
 
 
@@ -120,14 +120,15 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held: dict[str, Counter] = {}
     size = 0
     for batch in batches:
-        for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            words = held.setdefault(lang, Counter())
-            size -= len(words)
-            words.update(_LETTERS.findall(text.lower()))
-            size += len(words)
-            if size > _COUNTED:
-                yield from _counts(held)
-                held, size = {}, 0
+        for part, texts in text_parts(batch, 1):
+            for text, lang in zip(texts, part.column(2).to_pylist()):
+                words = held.setdefault(lang, Counter())
+                size -= len(words)
+                words.update(_LETTERS.findall(text.lower()))
+                size += len(words)
+                if size > _COUNTED:
+                    yield from _counts(held)
+                    held, size = {}, 0
     yield from _counts(held)
 
 
@@ -189,9 +190,9 @@ def predict(df: DataFrame, model: WordModel, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
-            found = list(held.predict(batch.column(1).to_pylist()))
-            lang, score = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            for part, texts in text_parts(batch, 1):
+                lang, score = zip(*held.predict(texts))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return text_rows(df, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 

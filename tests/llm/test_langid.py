@@ -1,10 +1,12 @@
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from structura.llm import langid, queries
-from structura.llm.common import crc_mod
+from structura.llm.common import crc_mod, filter_texts, text_parts
 
 
 def test_held_out_accuracy(spark):
@@ -95,3 +97,34 @@ def test_query_against_brute_force(spark):
             continue
         total = sum(held[w] if w in held else held.setdefault(w, word(w)) for w in words)
         assert got[d][0] == langs[int(np.argmax(total))] and abs(got[d][1] - 1 / np.exp(total - total.max()).sum()) < 1e-6
+
+
+def many_words(rows: int, words: int) -> list[str]:
+    """Texts in which no word comes twice."""
+    letters = lambda k: "".join("abcdefghij"[int(c)] for c in str(k))
+    return [" ".join(letters(10**8 + i * words + j) for j in range(words)) for i in range(rows)]
+
+
+def test_answers_and_memory_do_not_depend_on_how_many_words_came_before(monkeypatch):
+    rng = np.random.default_rng(5)
+    grams = {c: i for i, c in enumerate("abcdefghij")}
+    model = langid.WordModel(["de", "en"], {}, grams, np.log(rng.random((10, 2))))
+    texts = many_words(40, 10_000)
+    tracemalloc.start()
+    found = list(model.predict(texts))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 70e6
+    monkeypatch.setattr(langid, "_MEMORY", 3000)
+    monkeypatch.setattr(langid, "_PORTION", 3000)
+    assert found == list(langid.WordModel(["de", "en"], {}, grams, model.table).predict(texts))
+
+
+def test_a_batch_is_judged_in_parts(spark):
+    rows = [(i, None if i % 50 == 0 else "word " * (20_000 if i % 2 else 1)) for i in range(300)] + [(300, "word " * 500_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    # a part of several texts holds 1 MiB at most; a longer text comes alone
+    got = filter_texts(df, "text", lambda: lambda texts: [len(texts) == 1 or sum(map(len, texts)) <= 1 << 20] * len(texts)).collect()
+    assert [(r.doc_id, r.text) for r in got] == rows
+    for batch in (pa.record_batch([pa.array([], pa.string())], names=["text"]), pa.record_batch([pa.array([None, "", "ä"])], names=["text"])):
+        assert [t for _, texts in text_parts(batch, 0, 1) for t in texts] == ["" if t is None else t for t in batch.column(0).to_pylist()]
