@@ -10,6 +10,8 @@ Counts cover every training document. Each task adds up its words, or its expect
 they are summed by key, so what reaches the driver is of the model's size. Initial states come from a mixture fitted on
 a bounded sample (`start_docs`, by a hash of the id); `rounds` passes of Baum-Welch over all training documents follow.
 
+Texts are split, counted and classed by Arrow's kernels, slices of a batch at a time, never word by word in Python.
+
 Word counts grow with the corpus and are never broadcast. For scoring, documents are dealt into buckets by a hash of
 the id; each bucket asks for the counts of its own distinct words and is scored beside them.
 
@@ -21,40 +23,36 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_rows
+from .common import Workspace, parts, text_rows
 
 _MEMORY = 350_000
-_PADDED = 300_000
-
-
-class _Tails(dict):
-    """Class of a word's last three bytes."""
-
-    def __init__(self, first: int, classes: int):
-        super().__init__()
-        self.first, self.classes = first, classes
+_TEXT = 24 << 20
+_PADDED = 250_000
 
-    def __missing__(self, tail: bytes) -> int:
-        k = self[tail] = self.first + zlib.crc32(tail) % self.classes
-        if len(self) > _MEMORY:
-            self.clear()
-        return k
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, A-Z lowered, and how many each text has."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    split = pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, ""), pa.scalar(None, pa.string()), trimmed))  # no word, not an empty one
+    return split.flatten(), pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
-class _Words(dict):
-    """Classes of the top words; any other word's by its tail, unless it is looked up as itself."""
 
-    def __missing__(self, word: bytes) -> int:
-        return self.tails[word[-3:]]
+def with_ends(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The values of texts in a row, a zero after each text's."""
+    out = np.zeros(len(values) + len(counts), dtype=values.dtype)
+    inside = np.ones(len(out), dtype=bool)
+    inside[np.cumsum(counts + 1) - 1] = False
+    out[inside] = values
+    return out
 
 
 class Classes:
@@ -66,30 +64,20 @@ class Classes:
         self.size = self.first_tail + tail_classes
         self.tail_classes = tail_classes
         self.kind = np.dtype("<i2" if self.size < 1 << 15 else "<i4")
-        self._words()
-
-    def _words(self) -> None:
-        # both tables stay small, which keeps a look-up within the processor's caches
-        self.words = _Words({w: k + 1 for k, w in enumerate(self.top)})
-        self.words.tails = _Tails(self.first_tail, self.tail_classes)
 
     def of_word(self, word: bytes) -> int:
-        return self.words[word]
-
-    def of_text(self, raw: bytes) -> np.ndarray:
-        """Classes of the text's words, then the end."""
-        words = raw.lower().split()
-        out = np.zeros(len(words) + 1, dtype=self.kind)
-        out[:-1] = np.fromiter(map(self.words.__getitem__, words), dtype=self.kind, count=len(words))
+        return int(self.of_words(pa.array([word], pa.binary()))[0])
+
+    def of_words(self, words: pa.Array) -> np.ndarray:
+        """Classes of many words: a top word's own, any other's by its last three bytes."""
+        words = words.cast(pa.binary())
+        out = pc.fill_null(pc.index_in(words, pa.array(self.top, pa.binary())), -1).to_numpy(zero_copy_only=False).astype(self.kind) + self.kind.type(1)
+        others = out == 0
+        tails = pc.binary_slice(words.filter(pa.array(others)), -3, None).dictionary_encode()
+        of_tail = np.array([self.first_tail + zlib.crc32(t) % self.tail_classes for t in tails.dictionary.to_pylist()], dtype=self.kind)
+        out[others] = of_tail[tails.indices.to_numpy(zero_copy_only=False)]
         return out
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "words"}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._words()
-
 
 @dataclass
 class Hmm:
@@ -97,66 +85,92 @@ class Hmm:
     move: np.ndarray
     emit: np.ndarray
 
-    def batches(self, sequences: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-        """Sequences by falling length, in padded batches of bounded size: (places, symbols by step, active by step)."""
+    def batches(self, sequences: list[np.ndarray], most: int | None) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Sequences by falling length, in batches of at most `most` symbols or of one sequence: (places, symbols, active by step).
+
+        Symbols go step by step: first those of all sequences' first step, then of the second in those that have one, and so on.
+        """
         order = sorted(range(len(sequences)), key=lambda k: -len(sequences[k]))
-        while order:
-            steps = len(sequences[order[0]])
-            part, order = order[: max(1, _PADDED // steps)], order[max(1, _PADDED // steps) :]
+        ends = np.cumsum([len(sequences[k]) for k in order])
+        first = 0
+        while first < len(order):
+            end = len(order) if most is None else max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+            part = order[first:end]
             lengths = np.array([len(sequences[k]) for k in part])
-            symbols = np.zeros((steps, len(part)), dtype=np.int32)
+            active = len(part) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
+            begins = np.cumsum(active) - active
+            symbols = np.empty(lengths.sum(), dtype=np.int32)
             for j, k in enumerate(part):
-                symbols[: lengths[j], j] = sequences[k]
-            active = len(part) - np.searchsorted(lengths[::-1], np.arange(steps), side="right")
+                symbols[begins[: lengths[j]] + j] = sequences[k]
             yield part, symbols, active
+            first = end
+
+    def _stride(self, least: float, digits: float) -> int:
+        """Steps that may pass before values are scaled, where one step shrinks their sum to `least` of it at worst."""
+        return max(1, int(digits / -math.log10(least))) if 0 < least < 1 else 1
 
     def log_likelihoods(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Natural logarithms of the sequences' exact probabilities."""
         out = np.zeros(len(sequences))
         emit = np.ascontiguousarray(self.emit.T)
-        for part, symbols, active in self.batches(sequences):
+        stride = self._stride(float(self.move.min() * self.emit.max(axis=0).min()), 200)
+        for part, symbols, active in self.batches(sequences, None):
             total = np.zeros(len(part))
-            alpha = np.broadcast_to(self.start, (len(part), len(self.start)))
-            for t, n in enumerate(active):
-                alpha = (alpha[:n] @ self.move if t else alpha[:n]) * emit[symbols[t, :n]]
-                scale = alpha.sum(axis=1)
-                alpha /= scale[:, None]
-                total[:n] += np.log(scale)
+            alpha, at = np.broadcast_to(self.start, (len(part), len(self.start))), 0
+            for t, n in enumerate(active.tolist()):
+                if t and n < len(alpha):
+                    total[n : len(alpha)] += np.log(alpha[n:].sum(axis=1))
+                alpha = (alpha[:n] @ self.move if t else alpha[:n]) * emit.take(symbols[at : at + n], axis=0)
+                if t % stride == 0:
+                    scale = alpha.sum(axis=1)
+                    alpha /= scale[:, None]
+                    total[:n] += np.log(scale)
+                at += n
+            total[: len(alpha)] += np.log(alpha.sum(axis=1))
             out[part] = total
         return out
 
     def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, moves and emissions of one pass over the sequences.
 
-        Scaled values lie near one, so single precision is enough here; sums are in double.
+        A symbol's probabilities are taken relative to its largest one and values are scaled every few steps, both of which
+        cancel out; `stride` keeps them and their products within a double's range.
         """
         states, symbols_n = self.emit.shape
         start, move, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols_n))
-        emit, step = np.ascontiguousarray(self.emit.T, dtype=np.float32), self.move.astype(np.float32)
-        back = np.ascontiguousarray(step.T)
-        for part, symbols, active in self.batches(sequences):
-            steps = len(active)
-            alpha, seen = np.zeros((steps, len(part), states), dtype=np.float32), np.zeros((steps, len(part), states), dtype=np.float32)
-            now = np.broadcast_to(self.start.astype(np.float32), (len(part), states))
-            for t, n in enumerate(active):
-                now = (now[:n] @ step if t else now[:n]) * emit[symbols[t, :n]]
-                scale = now.sum(axis=1, keepdims=True)
-                now = np.divide(now, scale, out=alpha[t, :n])
-                np.divide(emit[symbols[t, :n]], scale, out=seen[t, :n])
-            beta = np.ones((len(part), states), dtype=np.float32)
-            total = np.zeros((states, states))
-            for t in range(steps - 2, -1, -1):
-                n = active[t + 1]
-                ahead = seen[t + 1, :n] * beta[:n]
-                total += alpha[t, :n].T @ ahead
-                beta[:n] = ahead @ back
-                alpha[t, :n] *= beta[:n]  # now the posterior of the states; where a sequence ends it is alpha itself
-            move += self.move * total
-            start += alpha[0].sum(axis=0, dtype=np.float64)
-            inside = np.arange(len(part)) < active[:, None]
-            flat, gamma = symbols[inside], alpha[inside]
+        emit = np.ascontiguousarray((self.emit / self.emit.max(axis=0)).T)
+        back, ones = np.ascontiguousarray(self.move.T), np.ones((states, 1))
+        stride = self._stride(float(self.move.min()), 120)
+        for part, symbols, active in self.batches(sequences, _PADDED):
+            ns, begins = active.tolist(), (np.cumsum(active) - active).tolist()
+            seen = emit.take(symbols, axis=0)
+            alpha, beta = np.empty_like(seen), np.ones_like(seen)
+            np.multiply(self.start, seen[: ns[0]], out=alpha[: ns[0]])
+            for t in range(1, len(ns)):
+                n, at, last = ns[t], begins[t], begins[t - 1]
+                now = alpha[at : at + n]
+                np.matmul(alpha[last : last + n], self.move, out=now)
+                now *= seen[at : at + n]
+                if t % stride == 0:
+                    now /= now @ ones
+            for t in range(len(ns) - 1, 0, -1):
+                n, at, last = ns[t], begins[t], begins[t - 1]
+                ahead, now = seen[at : at + n], beta[last : last + n]
+                ahead *= beta[at : at + n]
+                np.matmul(ahead, back, out=now)
+                if t % stride == 0:
+                    scale = now @ ones
+                    now /= scale
+                    ahead /= scale  # both meet the same forward values
+            beta *= alpha
+            norm = beta @ ones
+            beta /= norm  # the posterior of the states
+            alpha /= norm
+            goes_on = np.repeat(np.append(active[1:], 0), active) > np.arange(len(symbols)) - np.repeat(begins, active)
+            move += self.move * (alpha.take(np.flatnonzero(goes_on), axis=0).T @ seen[ns[0] :])
+            start += beta[: ns[0]].sum(axis=0)
             for k in range(states):
-                emitted[k] += np.bincount(flat, weights=gamma[:, k], minlength=symbols_n)
+                emitted[k] += np.bincount(symbols, weights=beta[:, k], minlength=symbols_n)
         return start, move, emitted
 
 
@@ -194,18 +208,21 @@ def mixture_start(sequences: list[np.ndarray], symbols: int, states: int, prior:
 
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+    held, size = [], 0
     for batch in batches:
-        for raw in batch.column(1).cast(pa.binary()):
-            held.update(raw.as_py().lower().split())
-            if len(held) > _MEMORY:
+        for part in parts(batch, 1):
+            words, _ = words_of(part.column(1))
+            held.append(words)
+            size += words.nbytes
+            if size > _TEXT:
                 yield _words(held)
-                held.clear()
+                held, size = [], 0
     yield _words(held)
 
 
-def _words(held: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+def _words(held: list[pa.Array]) -> pa.RecordBatch:
+    found = pa.chunked_array(held, pa.string()).value_counts()
+    return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts").cast(pa.int64())], names=["word", "c"])
 
 
 @dataclass
@@ -238,7 +255,7 @@ def fit(
     def class_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, once = np.zeros(classes.size, dtype=np.int64), np.zeros(classes.size, dtype=np.int64)
         for batch in batches:
-            cls = np.fromiter((classes.of_word(w.as_py()) for w in batch.column(0).cast(pa.binary())), dtype=np.int64, count=batch.num_rows)
+            cls = classes.of_words(batch.column(0))
             c = batch.column(1).to_numpy()
             np.add.at(n, cls, c)
             np.add.at(once, cls, c == 1)
@@ -256,8 +273,12 @@ def fit(
 
     def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [classes.of_text(raw.as_py()).tobytes() for raw in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "classes"])
+            for part in parts(batch, 1):
+                words, sizes = words_of(part.column(1))
+                found = with_ends(classes.of_words(words), sizes)
+                ends = np.concatenate([[0], np.cumsum(sizes + 1)]) * found.itemsize
+                column = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(found)])
+                yield pa.RecordBatch.from_arrays([part.column(0), column], names=["doc_id", "classes"])
 
     # each text is split and classed once; every round reads these
     sequences = ws.write(docs.mapInArrow(class_rows, "doc_id long, classes binary"), "sequences")
@@ -308,51 +329,68 @@ def score(df: DataFrame, model: Model, counts: DataFrame, buckets: int, id_col:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         m = shared.value
-        words = right.column("word").cast(pa.binary()).to_pylist()
-        held = dict(zip(words, range(len(words))))
-        known, of_word = len(words), m.classes.of_word
-        cls, c = [of_word(w) for w in words], right.column("c").to_pylist()
-        texts = left.column("text").cast(pa.binary())
-        for raw in texts:  # split here and again below: the words of a whole bucket would take too much memory
-            for w in set(raw.as_py().lower().split()).difference(held):
-                held[w] = len(cls)
-                cls.append(of_word(w))
-        cls, c = np.array(cls, dtype=np.int32), np.array(c + [0] * (len(cls) - known), dtype=np.int64)
+        words, c = right.column("word").combine_chunks().cast(pa.string()), right.column("c").to_numpy()
+        cls = m.classes.of_words(words)
         base, within = np.log10(c + 1.0), m.within(cls, c) / math.log(10)
+        of_unseen = m.within(np.arange(m.classes.size), np.zeros(m.classes.size, dtype=np.int64)) / math.log(10)
         whole, end = math.log10(m.tokens + m.distinct + 1), int(m.class_tokens[0])
-        out: list[tuple] = []
-        sequences = []
-        for doc, raw in zip(left.column("doc_id").to_pylist(), texts):
-            text = raw.as_py().lower().split()
-            at = np.fromiter(map(held.__getitem__, text), dtype=np.int64, count=len(text))
-            n = len(at) + 1
-            out.append((doc, n, int((at < known).sum()) + (end > 0), m.tokens, float(base[at].sum() + math.log10(end + 1) - whole * n), float(within[at].sum())))
-            sequences.append(np.append(cls[at], np.int32(0)))
-        logs = m.hmm.log_likelihoods(sequences)
-        columns = list(zip(*out)) if out else [()] * 6
-        arrays = [pa.array(x, k) for x, k in zip(columns, [pa.int64()] * 4 + [pa.float64()])] + [pa.array(np.array(columns[5]) + logs / math.log(10), pa.float64())]
-        return pa.Table.from_arrays(arrays, names=[x.split()[0] for x in SCHEMA.split(", ")])
+        split = [words_of(part.column(0)) for batch in left.select(["text"]).to_batches() for part in parts(batch, 0)]
+        places = pc.index_in(pa.chunked_array([w for w, _ in split], pa.string()), words).combine_chunks()  # a word that was asked twice has its first place
+        found: list[np.ndarray] = []
+        sequences: list[np.ndarray] = []
+        begin = 0
+        for text, sizes in split:
+            at = places.slice(begin, len(text))
+            begin += len(text)
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            at = at.drop_null().to_numpy()
+            kinds, bases, shares = np.empty(len(known), dtype=cls.dtype), np.zeros(len(known)), np.empty(len(known))
+            unseen = m.classes.of_words(text.filter(pa.array(~known)))
+            kinds[known], kinds[~known] = cls[at], unseen
+            bases[known] = base[at]
+            shares[known], shares[~known] = within[at], of_unseen[unseen]
+            found.append(np.array([sizes, *(_sums(x, sizes) for x in (known.astype(np.int64), bases, shares))]))
+            sequences += np.split(with_ends(kinds, sizes), np.cumsum(sizes + 1)[:-1])
+        n, known, bases, shares = np.hstack([np.empty((4, 0)), *found])
+        n = n.astype(np.int64) + 1
+        columns = [
+            left.column("doc_id"), n, known.astype(np.int64) + (end > 0), np.full(len(n), m.tokens, dtype=np.int64),
+            bases + math.log10(end + 1) - whole * n, shares + m.hmm.log_likelihoods(sequences) / math.log(10),
+        ]
+        return pa.Table.from_arrays([x if isinstance(x, pa.ChunkedArray) else pa.array(x) for x in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, SCHEMA)
 
 
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of each text's values, which lie in a row."""
+    out = np.zeros(len(sizes), dtype=values.dtype)
+    some = sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+    return out
+
+
 def _asked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, word) pairs of what a task has seen, each once while memory lasts."""
-    held: dict[int, set[bytes]] = {}
+    held: dict[int, list[pa.Array]] = {}
     size = 0
     for batch in batches:
-        for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary())):
-            words = held.setdefault(bucket, set())
-            size -= len(words)
-            words.update(raw.as_py().lower().split())
-            size += len(words)
-            if size > 2 * _MEMORY:
-                yield _asked(held)
-                held, size = {}, 0
-    yield _asked(held)
-
-
-def _asked(held: dict[int, set[bytes]]) -> pa.RecordBatch:
-    pairs = [(b, w) for b, words in held.items() for w in words]
-    bucket, word = zip(*pairs) if pairs else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(word, pa.binary()).cast(pa.string())], names=["bucket", "word"])
+        for part in parts(batch, 2):
+            for bucket in part.column(0).unique().to_pylist():
+                words, _ = words_of(part.column(2).filter(pc.equal(part.column(0), bucket)))
+                held.setdefault(bucket, []).append(words)
+                size += words.nbytes
+            if size > _TEXT:
+                held = {b: [pa.chunked_array(words, pa.string()).unique()] for b, words in held.items()}
+                size = 0
+                if sum(len(words[0]) for words in held.values()) > 2 * _MEMORY:
+                    yield from _asked(held)
+                    held = {}
+    yield from _asked(held)
+
+
+def _asked(held: dict[int, list[pa.Array]]) -> Iterator[pa.RecordBatch]:
+    for bucket, words in held.items():
+        found = pa.chunked_array(words, pa.string()).unique()
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), bucket), pa.int64()), found], names=["bucket", "word"])
