@@ -166,8 +166,10 @@ class Hmm:
             norm = beta @ ones
             beta /= norm  # the posterior of the states
             alpha /= norm
-            goes_on = np.repeat(np.append(active[1:], 0), active) > np.arange(len(symbols)) - np.repeat(begins, active)
-            move += self.move * (alpha.take(np.flatnonzero(goes_on), axis=0).T @ seen[ns[0] :])
+            goes_on = np.flatnonzero(np.repeat(np.append(active[1:], 0), active) > np.arange(len(symbols)) - np.repeat(begins, active))
+            for i in range(0, len(goes_on), 1 << 14):
+                some = goes_on[i : i + (1 << 14)]
+                move += self.move * (alpha.take(some, axis=0).T @ seen[ns[0] + i : ns[0] + i + len(some)])
             start += beta[: ns[0]].sum(axis=0)
             for k in range(states):
                 emitted[k] += np.bincount(symbols, weights=beta[:, k], minlength=symbols_n)
